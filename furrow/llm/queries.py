@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import pii
+from furrow.llm import pii, warc
 from furrow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,23 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(table(spark, sf_dir, "pages"))
+
+
+#: Base32 digit i of a SHA-1 takes five bits from two neighbouring hexadecimal digits.
+BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+ORACLES["op10_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(sha1(coalesce(html, ''))) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS responder FROM p GROUP BY h)
+SELECT p.page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr({BASE32}, 1 + CAST(((
+    (instr('0123456789abcdef', substr(p.h, 1 + CAST((5 * i) // 4 AS INT), 1)) - 1) * 16
+    + greatest(instr('0123456789abcdef', substr(p.h || '0', 2 + CAST((5 * i) // 4 AS INT), 1)) - 1, 0)) >> CAST(3 - (5 * i) % 4 AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = responder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> responder THEN responder END AS refers_to
+FROM p JOIN g USING (h)
+"""
