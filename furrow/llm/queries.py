@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import pii, warc
+from furrow.llm import pii, token_counts, warc
 from furrow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ SELECT p.page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
   CASE WHEN p.page_id <> responder THEN responder END AS refers_to
 FROM p JOIN g USING (h)
 """
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
