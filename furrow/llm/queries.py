@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import decontaminate, embedding_dedup, jaccard_join, pii, quality, token_counts, warc
+from furrow.llm import decontaminate, embedding_dedup, jaccard_join, mixing, pii, quality, token_counts, toxicity, warc
 from furrow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,40 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN m ON m.a = e.vec_id
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def share_sql(name: str, nodes: str, parent: str) -> str:
+    """One level of budgeting: nodes has parent's columns, name, weight, cap and amount."""
+    over = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+{name}_o AS (SELECT *, cap / weight AS f, coalesce(sum(cap) OVER ({over} ORDER BY cap / weight, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
+  sum(weight) OVER ({over} ORDER BY cap / weight, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w0 FROM ({nodes}) WHERE weight > 0),
+{name}_f AS (SELECT *, c0 + f * w0 <= amount + 1e-6 AS isfull FROM {name}_o),
+{name}_t AS (SELECT *, sum(CASE WHEN isfull THEN cap ELSE 0 END) OVER ({over}) AS taken, sum(CASE WHEN isfull THEN 0 ELSE weight END) OVER ({over}) AS rest FROM {name}_f),
+{name} AS (SELECT *, CASE WHEN isfull THEN cap ELSE weight * (amount - taken) / rest END AS got FROM {name}_t)"""
+
+
+ORACLES["op4_mixing"] = rf"""
+WITH r AS (SELECT doc_id, 'domain' || coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT) % 4, 0) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM r GROUP BY ALL),
+total AS (SELECT floor(sum(tokens) * CAST(0.6 AS DOUBLE)) AS budget FROM leaf),
+{share_sql("a", "SELECT domain, domain AS name, CAST(CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 WHEN 'domain3' THEN 1 ELSE 1 END AS DOUBLE) AS weight, sum(tokens) * 2 AS cap, any_value(budget) AS amount FROM leaf, total GROUP BY domain", "").strip()},
+{share_sql("b", "SELECT leaf.domain, lang, lang AS name, CAST(1 AS DOUBLE) AS weight, sum(tokens) * 2 AS cap, any_value(a.got) AS amount FROM leaf JOIN a USING (domain) GROUP BY leaf.domain, lang", "domain").strip()},
+{share_sql("c", "SELECT leaf.domain, leaf.lang, source, source AS name, CAST(1 AS DOUBLE) AS weight, sum(tokens) * 2 AS cap, any_value(b.got) AS amount FROM leaf JOIN b USING (domain, lang) GROUP BY leaf.domain, leaf.lang, source", "domain, lang").strip()},
+g AS (SELECT leaf.*, CASE WHEN tokens = 0 THEN 1 ELSE CAST(floor((got + 1e-6) / tokens) AS BIGINT) END AS times, floor(got + 1e-6) AS whole FROM leaf JOIN c USING (domain, lang, source)),
+o AS (SELECT r.*, g.times, CASE WHEN tokens = 0 THEN 0 ELSE whole - times * tokens END AS rest, md5('17:' || CAST(g.times AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM r JOIN g USING (domain, lang, source)),
+p AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS run FROM o)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(times + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM p WHERE times + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -68,21 +68,27 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For an array of strings without nulls: each word's hash, and the first word's number of each text, and last the number of words."""
+def spans(texts: pa.Array, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For an array of strings without nulls: its bytes, where each run of bytes of `member` starts and ends, and the first run's number of each text, and last the number of runs."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
     data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    inside = ~SPACE[data]
+    inside = member[data]
     bounds = np.zeros(len(data) + 1, bool)
     bounds[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
     starts = np.flatnonzero(inside & (~before | bounds[:-1]))
     ends = np.flatnonzero(inside & (~after | bounds[1:])) + 1
-    return hash_words(data, starts, ends), np.searchsorted(starts, offsets)
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For an array of strings without nulls: each word's hash, and the first word's number of each text, and last the number of words."""
+    data, starts, ends, first = spans(texts, ~SPACE)
+    return hash_words(data, starts, ends), first
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
