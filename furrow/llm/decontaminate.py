@@ -24,7 +24,7 @@ from furrow.llm.common import ascii_lower, cut
 WINDOW, K = 10, 5
 #: Everything below 0x80 but digits and letters parts words.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which the benchmark's fingerprints are broadcast (16 bytes each); more are joined by a shuffle.
+#: Rows up to which the benchmark's fingerprints, and the digests of texts that were hit, are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -95,9 +95,11 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K
     hits = hits.groupBy("key", "length").agg(F.collect_set("fingerprint").alias("hits"))
     hits = cut(hits, "benchmark-hits")
     # of the texts that were hit, the windows in question, compared word for word
-    asked = hits.select("key").distinct()
+    asked = hits.select(F.xxhash64("key").alias("short")).distinct()
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     again = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("key"), "text")
-    again = again.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("words"))
+    again = again.join(asked, F.xxhash64("key") == F.col("short"), "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("words"))
     again = again.join(hits, "key")
     found = None
     for n, v in prints.items():
