@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import cut
+from furrow.llm.common import cut, release
 from furrow.llm.graph import components
 from furrow.llm.shingles import BASE, mix, pieces, set_keys, shingles
 
 K = 5
 #: The threshold as a fraction, so that all bounds are in whole numbers.
 SIMILARITY = (3, 4)
+#: Rounds in which sets that share too few signatures leave.
+PRUNINGS = 2
 #: Words of the parity sketch.
 SKETCH = 16
 #: Rounds in which members of a group meet a least member before open pairs are joined.
@@ -110,50 +112,67 @@ def band(number: int, t: tuple[int, int] = SIMILARITY) -> Band:
     return Band(number, low, high, segments, wide)
 
 
-def bands_of(n: int, t: tuple[int, int] = SIMILARITY) -> list[int]:
-    """The band of a size, and the next if a larger partner can lie there."""
-    own = max(0, math.ceil(math.log2(n / 6)))
-    while n > 6 << own:
-        own += 1
-    while own and n <= 6 << (own - 1):
-        own -= 1
-    return [own, own + 1] if n * t[1] // t[0] > 6 << own else [own]
+def band_numbers(n: np.ndarray, t: tuple[int, int] = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """For each size its band, and the next one if a larger partner can lie there, else -1."""
+    tops = 6 << np.arange(40, dtype=np.int64)
+    own = np.searchsorted(tops, n)
+    return own, np.where(n * t[1] // t[0] > tops[own], own + 1, -1)
 
 
-def signatures(grams: np.ndarray, t: tuple[int, int] = SIMILARITY) -> tuple[np.ndarray, int]:
-    """The signatures of one set, and how many of them it may leave out when it looks for partners.
+def signatures(grams: np.ndarray, first: np.ndarray, t: tuple[int, int] = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, owners, spare) of the sets that grams[first[i]:first[i + 1]] are.
 
-    The spare budget is the least over the set's bands, and 0 where one has neighbours or the prefix had to help: then signatures stand for different budgets.
+    spare is how many signatures a set shares with no partner at most: it shares more with each partner
+    that it has. It is the least over the set's bands, and 0 where one has neighbours or the prefix had to
+    help, as signatures then stand for different budgets.
     """
-    n = len(grams)
-    if n < 2 or most_different(n, n * t[1] // t[0], t) < 1:
-        return np.zeros(0, np.uint64), 0
-    out, spare, lacking = [], 1 << 30, False
-    for number in bands_of(n, t):
-        b = band(number, t)
-        salt = np.uint64((number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        spread = mix(grams ^ salt)
-        segment = ((spread >> np.uint64(32)) * np.uint64(b.segments) >> np.uint64(32)).astype(np.int64)
-        sizes = np.bincount(segment, minlength=b.segments)
-        sums = np.zeros(b.segments, np.uint64)
-        np.add.at(sums, segment, spread)
-        tag = mix((np.arange(b.segments, dtype=np.uint64) + np.uint64(1)) * BASE + salt)
-        used = sizes > 0
-        out.append(mix(sums[used] + tag[used]))
-        budget = int(used.sum())
-        if b.wide:
-            inner = (segment < b.wide) & (sizes[segment] > 1)
-            less = segment[inner]
-            out.append(mix(sums[less] - spread[inner] + tag[less]))
-            budget += int((sizes[: b.wide] > 1).sum())
-        left = budget - int(budget_needed(n, b.high, t))
-        lacking |= left < 0
-        spare = min(spare, left if not b.wide else 0)
-    if lacking:
-        prefix = np.sort(mix(grams))[: n - -(-n * t[0] // t[1]) + 1]
+    n = np.diff(first)
+    out, owners = [], []
+    spare, lacking = np.full(len(n), 1 << 30, np.int64), np.zeros(len(n), bool)
+    able = most_different(n, n * t[1] // t[0], t) >= 1  # others have no partners
+    for numbers in band_numbers(n, t):
+        docs = np.flatnonzero(able & (numbers >= 0))
+        if not len(docs):
+            continue
+        kinds = {k: band(int(k), t) for k in np.unique(numbers[docs])}
+        size = n[docs]
+        m, wide, high, salt = (np.array([f(kinds[k]) for k in numbers[docs]], d) for f, d in ((lambda b: b.segments, np.int64), (lambda b: b.wide, np.int64), (lambda b: b.high, np.int64), (lambda b: (b.number + 1) * int(BASE) % (1 << 64), np.uint64)))
+        of = np.repeat(np.arange(len(docs)), size)
+        member = np.arange(len(of)) + np.repeat(first[docs] - (np.cumsum(size) - size), size)
+        spread = mix(grams[member] ^ salt[of])
+        start = np.cumsum(m) - m
+        segment = (((spread >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        cell = start[of] + segment
+        cells = int(m.sum())
+        sizes = np.bincount(cell, minlength=cells)
+        # sums modulo 2^64 of halves that doubles hold exactly
+        low = np.bincount(cell, weights=(spread & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=cells)
+        top = np.bincount(cell, weights=(spread >> np.uint64(32)).astype(np.float64), minlength=cells)
+        sums = low.astype(np.uint64) + (top.astype(np.uint64) << np.uint64(32))
+        used = np.flatnonzero(sizes)
+        whose = np.searchsorted(start, used, "right") - 1
+        tag = lambda own, seg: mix((seg.astype(np.uint64) + np.uint64(1)) * BASE + salt[own])
+        out.append(mix(sums[used] + tag(whose, used - start[whose])))
+        owners.append(docs[whose])
+        budget = np.bincount(whose, minlength=len(docs))
+        if wide.any():
+            inner = np.flatnonzero((segment < wide[of]) & (sizes[cell] > 1))
+            out.append(mix(sums[cell[inner]] - spread[inner] + tag(of[inner], segment[inner])))
+            owners.append(docs[of[inner]])
+            two = used[(used - start[whose] < wide[whose]) & (sizes[used] > 1)]
+            budget += np.bincount(np.searchsorted(start, two, "right") - 1, minlength=len(docs))
+        left = budget - budget_needed(size, high, t)
+        lacking[docs] |= left < 0
+        spare[docs] = np.minimum(spare[docs], np.where(wide > 0, 0, left))
+    for i in np.flatnonzero(lacking):
+        own = grams[first[i] : first[i + 1]]
+        prefix = np.sort(mix(own))[: len(own) - -(-len(own) * t[0] // t[1]) + 1]
         out.append(mix(prefix ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        spare = 0
-    return np.concatenate(out), max(0, spare)
+        owners.append(np.full(len(prefix), i))
+    spare[lacking | ~able] = 0
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
+    return np.concatenate(out), np.concatenate(owners), spare
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -162,17 +181,18 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
-def class_batches(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+def class_batches(k: int, t: tuple[int, int]):
+    schema = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("spare", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 grams, first = shingles(piece.column("text"), k)
                 k1, k2 = set_keys(grams, first)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), pa.array(np.diff(first)), pa.array(k1), pa.array(k2)], schema=schema)
+                _, _, spare = signatures(grams, first, t)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "r1", "r2", "text_key")), *(pa.array(v) for v in (np.diff(first), k1, k2, spare))], schema=schema)
 
-    return run, "doc_id long, text_key long, n long, k1 long, k2 long"
+    return run, "doc_id long, r1 long, r2 long, text_key long, n long, k1 long, k2 long, spare long"
 
 
 def signature_batches(k: int, t: tuple[int, int]):
@@ -180,48 +200,46 @@ def signature_batches(k: int, t: tuple[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: set[int] = set()  # copies within a batch index once
+            done = np.zeros(0, np.int64)  # copies within a batch index once
             for piece in pieces(batch):
                 grams, first = shingles(piece.column("text"), k)
                 keys, _ = set_keys(grams, first)
-                sigs, counts, owners = [], [], []
-                for i, key in enumerate(keys.tolist()):
-                    if key not in done and first[i + 1] > first[i]:
-                        done.add(key)
-                        s, _ = signatures(grams[first[i] : first[i + 1]], t)
-                        sigs.append(s)
-                        counts.append(len(s))
-                        owners.append(key)
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), counts))], schema=schema)
+                sigs, owners, _ = signatures(grams, first, t)
+                new = np.zeros(len(keys), bool)
+                new[np.unique(keys, return_index=True)[1]] = True
+                new &= ~np.isin(keys, done)
+                done = np.concatenate([done, keys[new]])
+                mine = new[owners]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[mine].view(np.int64)), pa.array(keys[owners[mine]])], schema=schema)
 
     return run, "sig long, k1 long"
 
 
-def set_batches(k: int, t: tuple[int, int]):
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("spare", pa.int32()), ("sketch", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
+def set_batches(k: int):
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 grams, first = shingles(piece.column("text"), k)
                 k1, k2 = set_keys(grams, first)
-                sets = [grams[first[i] : first[i + 1]] for i in range(piece.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(k1), pa.array(k2), pa.array(np.diff(first)), pa.array([signatures(s, t)[1] for s in sets], pa.int32()),
-                        pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.LargeListArray.from_arrays(pa.array(first), pa.array(grams.view(np.int64))).cast(pa.list_(pa.int64())),
-                    ],
-                    schema=schema,
-                )
+                sketches = [sketch(grams[first[i] : first[i + 1]]) for i in range(piece.num_rows)]
+                members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sketches, pa.list_(pa.int64())), members], schema=schema)
 
-    return run, "k1 long, k2 long, n long, spare int, sketch array<long>, members array<long>"
+    return run, "k1 long, k2 long, sketch array<long>, members array<long>"
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """Of rows (sig, c) those whose signature different classes share."""
+    groups = rows.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("sig")
+    return rows.join(groups, "sig", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Of the pairs (a, b), class numbers, those that link."""
     a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb")).join(pairs.select("b").distinct(), "b", "left_semi")
     both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ma", "mb")).cast("long"))
     return both.where(f"{t[1]} * both >= {t[0]} * (na + nb - both)").select("a", "b")
 
@@ -230,83 +248,133 @@ def sketch_distance(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH))
 
 
+def labels_of(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return rows.withColumn("comp", F.col("c"))
+    return rows.join(comps, rows.c == comps.node, "left").select(*rows.columns, F.coalesce("component", "c").alias("comp"))
+
+
 def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members, edges). members: doc_id, n_shingles, and class (null without words) for each row of docs; edges: links (u, v) between classes that join up all linked classes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    run, schema = class_batches(k)
+    """(members, edges). members: doc_id, r1, r2 (two hashes of the row), n_shingles, k1, k2 (digests of the set), and c, the class's number, where it may have links; edges: links (u, v) between classes that join up all linked classes."""
+    spark = docs.sparkSession
+    texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "r1", "r2", "text", F.xxhash64("text").alias("text_key"))
+    run, schema = class_batches(k, t)
     members = cut(texts.mapInArrow(run, schema), "jaccard-members")
     run, schema = signature_batches(k, t)
-    # both uses of sigs, and Python behind them, share one shuffle
-    sigs = docs.select("text").where("text is not null").mapInArrow(run, schema).repartition("sig")
-    groups = sigs.groupBy("sig").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("sig")
-    shared = cut(sigs.join(groups.hint("shuffle_hash"), "sig").distinct(), "jaccard-shared")
-    # whole sets of the classes in such groups, one text for each
-    asked = shared.select("k1").distinct()
-    classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("text_key").alias("text_key"))
-    classes = cut(classes.join(asked, "k1", "left_semi"), "jaccard-classes")
-    wanted = classes.select("text_key").distinct()
+    # both uses of the signatures, and Python behind them, share one shuffle
+    sigs = docs.select("text").where("text is not null").mapInArrow(run, schema).withColumnRenamed("k1", "c").repartition("sig")
+    shared = cut(crowded(sigs).distinct(), "jaccard-shared")
+    release(spark)
+    # a set shares more than `spare` signatures with each partner, so one with no more shared at all has none
+    classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min("spare").alias("spare"))
+    classes = cut(classes.join(shared.groupBy(F.col("c").alias("k1")).agg(F.count("*").alias("held")), "k1").where("held > spare").drop("held").withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
+    rows = shared.withColumnRenamed("c", "k1").join(classes.select("k1", "c", "spare"), "k1").select("sig", "c", "spare")
+    for _ in range(PRUNINGS):
+        rows = crowded(rows)
+        rows = cut(rows.join(rows.groupBy("c").agg(F.count("*").alias("held")).where("held > 0"), "c").where("held > spare").drop("held"), "jaccard-rows")
+    classes = classes.join(rows.select("c").distinct(), "c", "left_semi")
+    # the sets that are left, from one text for each
+    wanted = cut(classes.select("text_key").distinct(), "jaccard-texts")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     picked = texts.where("text is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")).select("text")
-    run, schema = set_batches(k, t)
-    sets = picked.mapInArrow(run, schema).withColumn("c", F.xxhash64("k1", "k2"))
-    sets = cut(sets.join(classes.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "jaccard-sets")
-    index = cut(shared.join(sets.select("k1", "c", "n", "spare", "sketch"), "k1").select("sig", "c", "n", "spare", "sketch"), "jaccard-index")
+    run, schema = set_batches(k)
+    sets = cut(picked.mapInArrow(run, schema).join(classes.select("k1", "k2", "c", "n"), ["k1", "k2"]).dropDuplicates(["c"]).drop("k1", "k2"), "jaccard-sets")
+    release(spark)
 
-    parts = (t[1] - t[0], t[1] + t[0])
-    possible = f"(x.n + y.n) * {parts[0]} >= {parts[1]} * ({sketch_distance('x.sketch', 'y.sketch')}) and least(x.n, y.n) * {t[1]} >= greatest(x.n, y.n) * {t[0]}"
     found, comps, tried = None, None, None
-    narrow = index.select("sig", "c", "n", "sketch")
+    narrow = rows.select("sig", "c")
     for _ in range(STAR_ROUNDS):
-        labelled = narrow.withColumn("comp", F.col("c"))
-        if comps is not None:
-            labelled = narrow.join(comps, narrow.c == comps.node, "left").select("sig", "c", "n", "sketch", F.coalesce("component", "c").alias("comp"))
+        labelled = labels_of(narrow, comps)
         # the leader of a group is the least member of its least component; members of other components meet it
-        leaders = labelled.groupBy("sig").agg(F.min(F.struct("comp", "c", "n", "sketch")).alias("l"), F.max("comp").alias("top")).where("l.comp <> top").select("sig", "l.*")
+        leaders = labelled.groupBy("sig").agg(F.min(F.struct("comp", "c")).alias("l"), F.max("comp").alias("top")).where("l.comp <> top").select("sig", "l.comp", "l.c")
         x, y = labelled.alias("x"), leaders.alias("y")
-        pairs = x.join(y, F.expr(f"x.sig = y.sig and x.comp <> y.comp and {possible}")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-        # of its leaders a class meets the one with which it shares most
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m")).groupBy("a").agg(F.max(F.struct("m", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        pairs = x.join(y, F.expr("x.sig = y.sig and x.comp <> y.comp")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "jaccard-star")
-        new = cut(verified(pairs, sets, t), "jaccard-links")
+        # of its leaders a class meets the one with which it shares most
+        pairs = cut(pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "jaccard-star")
+        new = cut(verified(sketched(pairs, sets, t), sets, t), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        n = new.count()
-        if not n:
+        release(spark)
+        if not new.count():
             break
         found = new if found is None else found.unionByName(new)
         comps = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # what is still open: groups across components, pairwise, without each set's most crowded groups
-    labelled = index.withColumn("comp", F.col("c"))
-    if comps is not None:
-        labelled = index.join(comps, index.c == comps.node, "left").select(*index.columns, F.coalesce("component", "c").alias("comp"))
+    labelled = labels_of(rows, comps)
     crowd = labelled.groupBy("sig").agg(F.count("*").alias("g"), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("sig", "g")
-    rows = cut(labelled.join(crowd, "sig"), "jaccard-open")
+    left = labelled.join(crowd, "sig")
     order = Window.partitionBy("c").orderBy(F.desc("g"), "sig")
-    asks = rows.withColumn("at", F.row_number().over(order)).where("at > spare")
-    x, y = asks.alias("x"), rows.alias("y")
-    pairs = x.join(y, F.expr(f"x.sig = y.sig and x.comp <> y.comp and {possible}")).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    new = verified(cut(pairs, "jaccard-open-pairs"), sets, t)
+    left = cut(left.withColumn("at", F.row_number().over(order)).join(sets.select("c", "n", "sketch"), "c"), "jaccard-open")
+    x, y = left.where("at > spare").alias("x"), left.alias("y")
+    pairs = x.join(y, F.expr(f"x.sig = y.sig and x.comp <> y.comp and {possible('x.n', 'y.n', 'x.sketch', 'y.sketch', t)}")).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    new = cut(verified(cut(pairs, "jaccard-open-pairs"), sets, t), "jaccard-links")
     found = new if found is None else found.unionByName(new)
-    members = members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.xxhash64("k1", "k2")).alias("c"))
+    release(spark)
+    members = members.join(classes.select("k1", "k2", "c"), ["k1", "k2"], "left").select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), "k1", "k2", "c")
     return members, found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def linked_components(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def possible(na: str, nb: str, a: str, b: str, t: tuple[int, int]) -> str:
+    """SQL for what every linked pair meets: close sizes, and sketches that differ in no more cells than linked sets may in members."""
+    return f"({na} + {nb}) * {t[1] - t[0]} >= {t[1] + t[0]} * ({sketch_distance(a, b)}) and least({na}, {nb}) * {t[1]} >= greatest({na}, {nb}) * {t[0]}"
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return cut(pairs.join(a, "a").join(b, "b").where(possible("na", "nb", "sa", "sb", t)).select("a", "b"), "jaccard-sketched")
+
+
+def grouped(docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """members of links() with the group that links and equal sets make: g0, g1, g2, null without words."""
     members, edges = links(docs, k, t)
     comps = components(edges)
-    labelled = members.join(comps, members.c == comps.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "c").alias("comp"))
-    least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = members.join(comps, members.c == comps.node, "left")
+    own = F.col("n_shingles") > 0
+    return rows.select(
+        "doc_id", "r1", "r2", "n_shingles",
+        F.when(own, F.col("component").isNotNull()).alias("g0"), F.when(own, F.coalesce("component", "k1")).alias("g1"), F.when(own, F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)).alias("g2"),
+    )
+
+
+def linked_components(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    rows = cut(grouped(docs, k, t), "jaccard-groups")
+    group = ["g0", "g1", "g2"]
+    least = rows.where("g1 is not null").groupBy(*group).agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    # most documents are alone: only groups with more than one row meet their rows again
+    out = rows.join(least.where("rows > 1").drop("rows"), group, "left")
+    alone = F.col("component_id").isNull() & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with r1 and r2, two hashes of id and text."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "text", "doc_id").alias("r2"))
 
 
 def keep_first(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs without all but one row of each component: the row with the component's least doc_id stays, of several such the one whose columns come first. Rows without words stay."""
-    spark_rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-docs")
-    found = linked_components(spark_rows.select(F.col("__row").alias("doc_id"), "text"), k, t)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")
-    ids = spark_rows.select("__row", "doc_id").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
-    first = ids.groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.__row").alias("__row"))
-    return spark_rows.join(first, "__row", "left_semi").select(docs.columns)
+    """docs with one row of each group of linked documents, all columns kept: the row of the least doc_id (null last). Rows without words stay. Of several rows with that id and text, one stays."""
+    rows = cut(grouped(docs, k, t), "jaccard-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "r1", "r2")
+    group = ["g0", "g1", "g2"]
+    first = rows.where("g1 is not null").groupBy(*group).agg(F.min(order).alias("o"), F.count("*").alias("rows")).where("rows > 1").select(*group, "o.r1", "o.r2")
+    kept = first.select("r1", "r2", F.lit(True).alias("kept"))
+    several = rows.join(first.select(*group), group, "left_semi").groupBy("r1", "r2").agg(F.count("*").alias("rows"))
+    several = cut(several.join(kept, ["r1", "r2"], "left"), "jaccard-decided")
+    dropped, repeated = several.where("kept is null").select("r1", "r2"), several.where("kept and rows > 1").select("r1", "r2")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    named = docs.withColumn("__r1", F.xxhash64("doc_id", "text")).withColumn("__r2", F.xxhash64(F.lit(3), "text", "doc_id"))
+    on = lambda keys: [F.col("__r1") == keys.r1, F.col("__r2") == keys.r2]
+    out = named.join(dropped, on(dropped), "left_anti")
+    if repeated.count():
+        again = out.join(repeated, on(repeated), "left_semi").dropDuplicates(["__r1", "__r2"])
+        out = out.join(repeated, on(repeated), "left_anti").unionByName(again)
+    return out.select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import decontaminate, embedding_dedup, jaccard_join, mixing, pii, quality, token_counts, toxicity, warc
+from furrow.llm import decontaminate, embedding_dedup, jaccard_join, lm_scoring, mixing, pii, quality, token_counts, toxicity, warc
 from furrow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ FROM p WHERE times + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END > 0
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
