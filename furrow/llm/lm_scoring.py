@@ -38,9 +38,7 @@ from furrow.llm.shingles import SPACE, hash_words, pieces, spans
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of the frequent vocabulary at most, and those that serve as contexts.
-VOCABULARY, COMMON, PAIRED = 1 << 17, 256, 48
-#: A token seen less often is spelt even where it could be known: so the escape and the spelling are learnt.
-LEAST = 2
+VOCABULARY, COMMON, PAIRED = 1 << 18, 256, 48
 #: Slots of the tables (powers of two), and of a block.
 SLOTS = (1 << 19, 1 << 20, 1 << 20)
 BLOCK = 4096
@@ -125,8 +123,8 @@ def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         alive = at != root
     if not levels:
         return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    nodes = np.array([x[0] for x in levels[::-1]]).T
-    bits = np.array([x[1] for x in levels[::-1]]).T
+    nodes = np.array([x[0] for x in levels[::-1]], np.int32).T
+    bits = np.array([x[1] for x in levels[::-1]], np.uint8).T
     has = nodes >= 0
     return np.concatenate([[0], np.cumsum(has.sum(1))]), nodes[has] - n + 1, bits[has].astype(np.uint8)
 
@@ -258,9 +256,12 @@ def table_batches(code):
                 symbols, known = lookup(code.value, hashes)
                 ctx = contexts(code.value, symbols, known, first)
                 held = held or [np.zeros(2 * s, np.uint32) for s in SLOTS]
-                for a in range(0, len(hashes), WINDOW * 4):
-                    z = min(len(hashes), a + WINDOW * 4)
-                    got = bits_of(code.value, data, starts[a:z], ends[a:z], symbols[a:z], known[a:z], (ctx[0][a:z], ctx[1][a:z]), np.zeros(1, np.int64))
+                once = np.flatnonzero(known)
+                once = once[code.value.counts[symbols[once]] == 1]
+                escape, unknown = np.full(len(once), len(code.value.hashes)), np.zeros(len(once), bool)
+                runs = [slice(a, a + 4 * WINDOW) for a in range(0, len(hashes), 4 * WINDOW)]
+                for own, code_of, is_known in [*((r, symbols[r], known[r]) for r in runs), (once, escape, unknown)]:
+                    got = bits_of(code.value, data, starts[own], ends[own], code_of, is_known, (ctx[0][own], ctx[1][own]), np.zeros(1, np.int64))
                     for i in range(3):
                         held[i] += np.bincount((got.slots[i] << np.uint32(1)) | got.values, minlength=2 * SLOTS[i]).astype(np.uint32)
         for i, counts in enumerate(held or []):
@@ -410,8 +411,9 @@ def train(docs: DataFrame) -> tuple[DataFrame, tuple[int, int], Code, list]:
     counts = cut(docs.mapInArrow(count_batches, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
     got = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = got["n"] or 0, got["v"]
-    hashes, c = frequent(counts.where(f"c >= {LEAST}"), VOCABULARY)
-    code = make_code(hashes, c, n - int(c.sum()))
+    hashes, c = frequent(counts, VOCABULARY)
+    # tokens seen once stand for the unknown: they teach the escape and the spelling besides their own codes
+    code = make_code(hashes, c, n - int(c.sum()) + int((c == 1).sum()))
     shared = docs.sparkSession.sparkContext.broadcast(code)
     run, schema = table_batches(shared)
     blocks = docs.mapInArrow(run, schema).groupBy("part", "block").applyInArrow(sum_blocks, "part int, block int, slots binary")
