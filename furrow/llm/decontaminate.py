@@ -131,5 +131,9 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, most: float = 0.0, window: int = WINDOW, k: int = K) -> DataFrame:
     """The rows of docs of whose words at most that share is hit, with all their columns."""
     found = overlaps(docs, items, window, k)
-    named = docs.withColumn("__key", F.md5(F.col("text").cast("binary"))).join(found.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit")), "__key", "left")
-    return named.where(F.col("__hit").isNull() | (F.col("__hit") <= F.size(words_of(F.col("text"))) * F.lit(most))).select(docs.columns)
+    found = found.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"))
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    named = docs.withColumn("__key", F.md5(F.col("text").cast("binary"))).join(found, "__key", "left")
+    # words are counted only where there are hits
+    return named.where(F.when(F.col("__hit").isNull(), True).otherwise(F.col("__hit") <= F.size(words_of(F.col("text"))) * F.lit(most))).select(docs.columns)

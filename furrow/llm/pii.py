@@ -39,6 +39,8 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 NOT_LETTER = re.compile(r"[\W\d_]+")
 OPENING, CLOSING = "([{<\"'`*#$%&|", ".,;:!?)]}>\"'`*#$%&|"
 
+#: Texts with added spans up to which these are broadcast to mask them; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Code points around a slot in which its pattern's words are looked for.
 CONTEXT = 96
 #: Identifiers that the patterns may discover have so many code points.
@@ -219,27 +221,33 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
-    """docs with every span that extract() finds replaced by its kind in brackets; all columns and rows stay. A null text stays null."""
-    whole = docs.withColumn("__rid", F.monotonically_increasing_id())
-    whole = cut(whole, "pii-docs")
-    rows = whole.select(F.col("__rid").alias("doc_id"), "text")
-    spans = extract(rows, **how).select(F.col("doc_id").alias("__rid"), F.expr("array_sort(concat(base, added))").alias("__spans")).where(F.size("__spans") > 0)
-    out = whole.join(spans, "__rid", "left")
-    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked("text", "__spans"))).select(docs.columns)
+    """docs with every span that extract() finds replaced by its kind in brackets; all columns and rows stay. A null text stays null.
+
+    Base spans are found again beside the texts; only what the patterns added must meet its text, by a hash of it.
+    """
+    found = extract(docs.select(F.xxhash64("text").alias("doc_id"), "text"), **how)
+    added = cut(found.where(F.size("added") > 0).groupBy(F.col("doc_id").alias("__text")).agg(F.first("added").alias("__added")), "pii-added")
+    if added.count() <= BROADCAST_ROWS:
+        added = F.broadcast(added)
+    out = docs.withColumn("__text", F.xxhash64("text")).join(added, "__text", "left")
+    return out.withColumn("text", masked("text", "__added")).select(docs.columns)
 
 
 @F.pandas_udf(T.StringType())
-def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def masked(texts: pd.Series, added: pd.Series) -> pd.Series:
     """Each text with a mark for every span, from left to right; of spans that overlap the first one's mark stands."""
 
-    def one(text: str | None, found: list | None) -> str | None:
-        if text is None or found is None:
-            return text
+    def one(text: str | None, more: list | None) -> str | None:
+        if text is None:
+            return None
+        spans = base_spans(text) if LIKELY.search(text) else []
+        if more is not None:
+            spans = sorted([*spans, *((s["start"], s["kind"], s["end"]) for s in more)])
         out, at = [], 0
-        for s in found:
-            if s["start"] >= at:
-                out += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
-            at = max(at, s["end"])
+        for start, kind, end in spans:
+            if start >= at:
+                out += [text[at:start], f"[{KINDS[kind]}]"]
+            at = max(at, end)
         return "".join([*out, text[at:]])
 
-    return pd.Series([one(t, f) for t, f in zip(texts, spans, strict=True)], dtype=object)
+    return pd.Series([one(t, m) for t, m in zip(texts, added, strict=True)], dtype=object)

@@ -21,10 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.llm.common import cut
 from furrow.llm.shingles import pieces, words
@@ -90,9 +92,15 @@ def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("rid", "doc_id", "host", "path")), lists], schema=schema)
 
 
-def featured(docs: DataFrame, host: str = "source", path: str = "lang", rid: str | None = None) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def feature_list(texts: pd.Series) -> pd.Series:
+    """features() beside other columns."""
+    return pd.Series([row for piece in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])) for row in features(piece.column(0))], dtype=object)
+
+
+def featured(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     rows = docs.select(
-        (F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
     )
     return cut(rows.mapInArrow(feature_batches, "rid long, doc_id long, host string, path string, x array<double>"), "quality-features")
@@ -139,13 +147,8 @@ def prior_strength(groups: DataFrame, toward: str) -> float:
     return float(min(max(within / spread if spread > 0 else 1e6, 1.0), 1e6))
 
 
-def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rid: str | None = None, most: int = FIT_ROWS) -> DataFrame:
-    """rid, doc_id, evidence, host_posterior, path_posterior, score for every row of docs."""
-    rows = featured(docs, host, path, rid)
-    weights, offset = train(rows, labels, most=most)
-    terms = " + ".join(f"x[{i}] * {w!r}d" for i, w in enumerate(weights.tolist()))
-    own = rows.select("rid", "doc_id", "host", "path", F.expr(f"greatest(-30d, least(30d, {offset!r}d + {terms}))").alias("evidence")).withColumn("p", F.expr("1 / (1 + exp(-evidence))"))
-    own = cut(own, "quality-evidence")
+def sites(own: DataFrame) -> tuple[DataFrame, float, float]:
+    """(paths, prior, strength) from each document's host, path and p: paths (host, path, n, total, host_posterior), the corpus's mean, and the strength of a host's mean as a path's prior."""
     sums = [F.count("*").alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares")]
     paths = cut(own.groupBy("host", "path").agg(*sums), "quality-paths")
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
@@ -156,20 +159,51 @@ def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     hosts = hosts.select("host", F.expr(f"(total + {strong!r}d * {prior!r}d) / (n + {strong!r}d)").alias("host_posterior"))
     paths = paths.join(hosts, "host")
     stronger = prior_strength(paths, "host_posterior")
-    paths = cut(paths.select("host", "path", "n", "total", "host_posterior"), "quality-sites")
-    joined = own.join(paths, ["host", "path"])
-    post = F.expr(f"greatest(1e-6d, least(1 - 1e-6d, (total - p + {stronger!r}d * host_posterior) / (n - 1 + {stronger!r}d)))")
-    joined = joined.withColumn("path_posterior", post)
-    site = F.expr(f"ln(path_posterior / (1 - path_posterior)) - {float(np.log(prior / (1 - prior)))!r}d")
-    return joined.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + site)))).select("rid", "doc_id", "evidence", "host_posterior", "path_posterior", "score")
+    return cut(paths.select("host", "path", "n", "total", "host_posterior"), "quality-sites"), prior, stronger
+
+
+def evidence(x: str, model: tuple[np.ndarray, float]) -> Column:
+    """The model's logit of a document with features x."""
+    weights, offset = model
+    terms = " + ".join(f"{x}[{i}] * {w!r}d" for i, w in enumerate(weights.tolist()))
+    return F.expr(f"greatest(-30d, least(30d, {offset!r}d + {terms}))")
+
+
+def chance(logit: str) -> Column:
+    return F.expr(f"1 / (1 + exp(-{logit}))")
+
+
+def path_posterior(p: str, strength: float) -> Column:
+    """What the others on its path say of a document with chance p."""
+    return F.expr(f"greatest(1e-6d, least(1 - 1e-6d, (total - {p} + {strength!r}d * host_posterior) / (n - 1 + {strength!r}d)))")
+
+
+def joint(logit: str, path: str, prior: float) -> Column:
+    return F.expr(f"1 / (1 + exp(-({logit} + ln({path} / (1 - {path})) - {float(np.log(prior / (1 - prior)))!r}d)))")
+
+
+def scores(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """rid, doc_id, evidence, host_posterior, path_posterior, score for what featured() gives."""
+    own = rows.select("rid", "doc_id", "host", "path", evidence("x", model).alias("evidence")).withColumn("p", chance("evidence"))
+    paths, prior, strength = sites(own)
+    joined = own.join(paths, ["host", "path"]).withColumn("path_posterior", path_posterior("p", strength)).withColumn("score", joint("evidence", "path_posterior", prior))
+    return joined.select("rid", "doc_id", "evidence", "host_posterior", "path_posterior", "score")
+
 
+def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, host: str = "source", path: str = "lang", most: int = FIT_ROWS) -> DataFrame:
+    rows = featured(docs, host, path)
+    return scores(rows, train(rows, labels, most=most)).drop("rid").withColumn("predicted", (F.col("score") >= keep).cast("int"))
 
-def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **how) -> DataFrame:
-    return scores(docs, labels, **how).drop("rid").withColumn("predicted", (F.col("score") >= keep).cast("int"))
 
+def accepted(docs: DataFrame, labels: DataFrame, keep: float = KEEP, host: str = "source", path: str = "lang", most: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, with all their columns.
 
-def accepted(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **how) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all their columns."""
-    numbered = cut(docs.withColumn("__rid", F.monotonically_increasing_id()), "quality-docs")
-    good = scores(numbered, labels, rid="__rid", **how).where(F.col("score") >= keep).select(F.col("rid").alias("__rid"))
-    return numbered.join(good, "__rid", "left_semi").select(docs.columns)
+    Features are worked out again beside the texts, so no text is shuffled to meet its score.
+    """
+    rows = featured(docs, host, path)
+    model = train(rows, labels, most=most)
+    paths, prior, strength = sites(rows.select("host", "path", evidence("x", model).alias("e")).withColumn("p", chance("e")))
+    paths = paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "total", "host_posterior")
+    named = docs.select(F.struct(*docs.columns).alias("__doc"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((host, "__host"), (path, "__path"))), feature_list(F.col("text")).alias("__x"))
+    out = named.withColumn("__e", evidence("__x", model)).join(paths, ["__host", "__path"]).withColumn("__post", path_posterior("(1 / (1 + exp(-__e)))", strength))
+    return out.where(joint("__e", "__post", prior) >= keep).select("__doc.*")
