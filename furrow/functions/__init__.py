@@ -1 +1 @@
-"""Spark-native analytics for georeferenced field-sensor data."""
+"""Expressions over columns."""

@@ -1 +1 @@
-"""Spark-native analytics for georeferenced field-sensor data."""
+"""Operators: DataFrames in, DataFrames out."""

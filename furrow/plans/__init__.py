@@ -1 +1 @@
-"""Spark-native analytics for georeferenced field-sensor data."""
+"""Whole analyses made of operators."""

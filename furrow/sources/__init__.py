@@ -1 +1 @@
-"""Spark-native analytics for georeferenced field-sensor data."""
+"""Where layers come from: files, schemas, coordinate systems."""
