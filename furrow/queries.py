@@ -295,25 +295,25 @@ GAPPY = CELLS + ", w AS (SELECT floor((x - x0) / 10) AS ix, floor((y - y0) / 10)
 
 
 def impute_sql(test: str) -> str:
-    return f"WITH pts, {GAPPY}, n AS (SELECT a.grid_id, avg(b.v) AS m FROM g a JOIN g b ON {test} WHERE a.v IS NULL GROUP BY a.grid_id) SELECT g.grid_id, round(coalesce(v, m), 4) + 0e0 AS v FROM g LEFT JOIN n USING (grid_id)"
+    return f"WITH pts, {GAPPY}, n AS (SELECT a.grid_id, avg(b.v) AS m FROM g a JOIN g b ON {test} WHERE a.v IS NULL GROUP BY a.grid_id) SELECT g.grid_id, round(coalesce(v, m), 9) + 0e0 AS v FROM g LEFT JOIN n USING (grid_id)"
 
 
 @query(impute_sql("abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1"))
 def impute_rook(spark, d):
-    return rounded(grid.impute_spatial_mean(gappy(spark, d), ["v"], "rook").select("grid_id", "v"), 4)
+    return rounded(grid.impute_spatial_mean(gappy(spark, d), ["v"], "rook").select("grid_id", "v"), 9)
 
 
 @query(impute_sql("greatest(abs(a.ix - b.ix), abs(a.iy - b.iy)) = 1"))
 def impute_queen(spark, d):
-    return rounded(grid.impute_spatial_mean(gappy(spark, d), ["v"], "queen").select("grid_id", "v"), 4)
+    return rounded(grid.impute_spatial_mean(gappy(spark, d), ["v"], "queen").select("grid_id", "v"), 9)
 
 
 @query(f"""WITH pts, {GAPPY}, k AS (SELECT a.grid_id, b.v, row_number() OVER (PARTITION BY a.grid_id ORDER BY (a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy), b.grid_id) AS r FROM g a JOIN g b ON a.grid_id <> b.grid_id AND abs(a.ix - b.ix) <= 6 AND abs(a.iy - b.iy) <= 6 WHERE a.v IS NULL),
-n AS (SELECT grid_id, avg(v) AS m FROM k WHERE r <= 8 GROUP BY grid_id) SELECT g.grid_id, round(coalesce(v, m), 4) + 0e0 AS v FROM g LEFT JOIN n USING (grid_id)""")
+n AS (SELECT grid_id, avg(v) AS m FROM k WHERE r <= 8 GROUP BY grid_id) SELECT g.grid_id, round(coalesce(v, m), 9) + 0e0 AS v FROM g LEFT JOIN n USING (grid_id)""")
 def impute_knn(spark, d):
     # whole-number places, so that equal distances are equal
     cells = gappy(spark, d).withColumn("x", F.col("ix").cast("double")).withColumn("y", F.col("iy").cast("double"))
-    return rounded(grid.impute_spatial_mean(cells, ["v"], "knn", 8).select("grid_id", "v"), 4)
+    return rounded(grid.impute_spatial_mean(cells, ["v"], "knn", 8).select("grid_id", "v"), 9)
 
 
 @query("WITH pts SELECT p.rid, q.rid AS plot, CAST(q.target AS DOUBLE) AS target FROM pts p LEFT JOIN plots q ON p.x BETWEEN q.x0 AND q.x0 + q.w AND p.y BETWEEN q.y0 AND q.y0 + q.h")
