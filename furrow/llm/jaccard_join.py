@@ -12,7 +12,7 @@ A set that has not (it is known at once) also indexes its prefix by the prefix-f
 of two such sets meets there. Nothing is lost by chance.
 
 Candidates come from groups of equal signatures, never as all pairs of a group: first each member meets
-the group's least member; links found so merge classes into components; groups within one component are
+a few leaders of the group; links found so merge classes into components; groups within one component are
 settled. What remains open meets pairwise across components, and there each set leaves out its most
 crowded groups as far as its spare budget goes, and a parity sketch (whose distance never exceeds the
 true difference) ends hopeless pairs within the join. Every candidate is verified on whole sets.
@@ -43,12 +43,10 @@ from furrow.llm.shingles import BASE, mix, pieces, set_keys, shingles
 K = 5
 #: The threshold as a fraction, so that all bounds are in whole numbers.
 SIMILARITY = (3, 4)
-#: Rounds in which sets that share too few signatures leave.
-PRUNINGS = 2
 #: Words of the parity sketch.
 SKETCH = 16
-#: Rounds in which members of a group meet a least member before open pairs are joined.
-STAR_ROUNDS = 4
+#: Rounds in which members of a group meet its leaders before open pairs are joined, and leaders of a round.
+STAR_ROUNDS, LEADERS = 4, 4
 #: Candidate texts up to which their digests are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -230,10 +228,42 @@ def set_batches(k: int):
     return run, "k1 long, k2 long, sketch array<long>, members array<long>"
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Of rows (sig, c) those whose signature different classes share."""
-    groups = rows.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("sig")
-    return rows.join(groups, "sig", "left_semi")
+def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, k1) in order, without repeats, those whose signature several classes share. Only one row is carried from batch to batch, however many share a signature."""
+    schema = pa.schema([("sig", pa.int64()), ("k1", pa.int64())])
+    last: tuple[int, int, bool] | None = None  # the row before, and whether it is still to be given out
+    for batch in batches:
+        sig, k1 = batch.column("sig").to_numpy(), batch.column("k1").to_numpy()
+        if not len(sig):
+            continue
+        head = 1 if last else 0
+        if last:
+            sig, k1 = np.insert(sig, 0, last[0]), np.insert(k1, 0, last[1])
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1])
+        waiting = bool(last and last[2])
+        sig, k1 = sig[new], k1[new]
+        same = sig[1:] == sig[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if head and not waiting:  # its row went out before, or has no claim of its own
+            several[0] = several[0] and last[2]
+        pending = not several[-1] if len(several) > 1 or not head else (last[2] and not several[-1])
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[several]), pa.array(k1[several])], schema=schema)
+        last = (sig[-1], k1[-1], bool(pending))
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """rows (sig, c, …) of one signature for each different set of classes, with w, how many signatures it stands for.
+
+    Near copies share many signatures among the same classes; one such group says what all of them do. Sets are told apart by two hashes.
+    """
+    groups = rows.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(c))").alias("h1"), F.expr("bit_xor(xxhash64(c, 5))").alias("h2"))
+    kept = groups.where("least <> most").groupBy("size", "least", "most", "h1", "h2").agg(F.min("sig").alias("sig"), F.count("*").alias("w")).select("sig", "w")
+    kept = cut(kept, "jaccard-groups")
+    if kept.count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    return rows.join(kept, "sig")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -261,18 +291,19 @@ def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple
     run, schema = class_batches(k, t)
     members = cut(texts.mapInArrow(run, schema), "jaccard-members")
     run, schema = signature_batches(k, t)
-    # both uses of the signatures, and Python behind them, share one shuffle
-    sigs = docs.select("text").where("text is not null").mapInArrow(run, schema).withColumnRenamed("k1", "c").repartition("sig")
-    shared = cut(crowded(sigs).distinct(), "jaccard-shared")
+    sigs = docs.select("text").where("text is not null").mapInArrow(run, schema).repartition("sig").sortWithinPartitions("sig", "k1")
+    shared = cut(sigs.mapInArrow(shared_batches, schema), "jaccard-shared")
     release(spark)
     # a set shares more than `spare` signatures with each partner, so one with no more shared at all has none
+    held = shared.groupBy("k1").agg(F.count("*").alias("held"))
     classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min("spare").alias("spare"))
-    classes = cut(classes.join(shared.groupBy(F.col("c").alias("k1")).agg(F.count("*").alias("held")), "k1").where("held > spare").drop("held").withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
-    rows = shared.withColumnRenamed("c", "k1").join(classes.select("k1", "c", "spare"), "k1").select("sig", "c", "spare")
-    for _ in range(PRUNINGS):
-        rows = crowded(rows)
-        rows = cut(rows.join(rows.groupBy("c").agg(F.count("*").alias("held")).where("held > 0"), "c").where("held > spare").drop("held"), "jaccard-rows")
-    classes = classes.join(rows.select("c").distinct(), "c", "left_semi")
+    classes = cut(classes.join(held, "k1").where("held > spare").drop("held").withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
+    few = classes.count() <= BROADCAST_ROWS
+    alive = classes.select("k1", "c", "spare")
+    rows = cut(shared.join(F.broadcast(alive) if few else alive, "k1").select("sig", "c", "spare"), "jaccard-rows")
+    rows = cut(collapsed(rows), "jaccard-rows")
+    classes = cut(classes.join(rows.select("c").distinct(), "c", "left_semi"), "jaccard-classes")
+    release(spark)
     # the sets that are left, from one text for each
     wanted = cut(classes.select("text_key").distinct(), "jaccard-texts")
     if wanted.count() <= BROADCAST_ROWS:
@@ -283,31 +314,34 @@ def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple
     release(spark)
 
     found, comps, tried = None, None, None
-    narrow = rows.select("sig", "c")
-    for _ in range(STAR_ROUNDS):
+    weight = rows.groupBy("c").agg(F.sum("w").alias("held"))
+    narrow = cut(rows.select("sig", "c", "w").join(weight, "c"), "jaccard-narrow")
+    for turn in range(STAR_ROUNDS):
         labelled = labels_of(narrow, comps)
-        # the leader of a group is the least member of its least component; members of other components meet it
-        leaders = labelled.groupBy("sig").agg(F.min(F.struct("comp", "c")).alias("l"), F.max("comp").alias("top")).where("l.comp <> top").select("sig", "l.comp", "l.c")
+        # a group's leaders: the member that shares most of all (copies of one text gather around it), and some by hash
+        orders = [F.col("held") if j == 0 else F.xxhash64("c", F.lit(turn), F.lit(j)) for j in range(LEADERS)]
+        leaders = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), *(F.max(F.struct(o.alias("o"), "c", "comp")).alias(f"l{j}") for j, o in enumerate(orders)))
+        leaders = leaders.where("low <> top").select("sig", F.posexplode(F.array(*(F.struct(F.col(f"l{j}.c").alias("c"), F.col(f"l{j}.comp").alias("comp")) for j in range(LEADERS)))).alias("j", "l")).select("sig", "j", "l.*")
         x, y = labelled.alias("x"), leaders.alias("y")
-        pairs = x.join(y, F.expr("x.sig = y.sig and x.comp <> y.comp")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"))
+        pairs = x.join(y, F.expr("x.sig = y.sig and x.comp <> y.comp")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), "j", F.col("x.w").alias("m"))
+        # of its leaders of each kind a class meets the one with which it shares most
+        pairs = pairs.groupBy("a", "j", "b").agg(F.sum("m").alias("m")).groupBy("a", "j").agg(F.max(F.struct("m", "b")).alias("best")).select("a", F.col("best.b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        # of its leaders a class meets the one with which it shares most
-        pairs = cut(pairs.groupBy("a").agg(F.max(F.struct("m", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "jaccard-star")
+        pairs = cut(pairs, "jaccard-star")
         new = cut(verified(sketched(pairs, sets, t), sets, t), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         release(spark)
         if not new.count():
             break
         found = new if found is None else found.unionByName(new)
-        comps = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        comps = cut(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-components")
     # what is still open: groups across components, pairwise, without each set's most crowded groups
     labelled = labels_of(rows, comps)
     crowd = labelled.groupBy("sig").agg(F.count("*").alias("g"), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("sig", "g")
     left = labelled.join(crowd, "sig")
-    order = Window.partitionBy("c").orderBy(F.desc("g"), "sig")
-    left = cut(left.withColumn("at", F.row_number().over(order)).join(sets.select("c", "n", "sketch"), "c"), "jaccard-open")
+    order = Window.partitionBy("c").orderBy(F.desc("g"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    left = cut(left.withColumn("at", F.sum("w").over(order)).join(sets.select("c", "n", "sketch"), "c"), "jaccard-open")
     x, y = left.where("at > spare").alias("x"), left.alias("y")
     pairs = x.join(y, F.expr(f"x.sig = y.sig and x.comp <> y.comp and {possible('x.n', 'y.n', 'x.sketch', 'y.sketch', t)}")).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     if tried is not None:
