@@ -231,26 +231,23 @@ def set_batches(k: int):
 def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (sig, k1) in order, without repeats, those whose signature several classes share. Only one row is carried from batch to batch, however many share a signature."""
     schema = pa.schema([("sig", pa.int64()), ("k1", pa.int64())])
-    last: tuple[int, int, bool] | None = None  # the row before, and whether it is still to be given out
+    held: tuple[int, int] | None = None  # the last row so far, and whether it was given out
+    given = False
     for batch in batches:
         sig, k1 = batch.column("sig").to_numpy(), batch.column("k1").to_numpy()
         if not len(sig):
             continue
-        head = 1 if last else 0
-        if last:
-            sig, k1 = np.insert(sig, 0, last[0]), np.insert(k1, 0, last[1])
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1])
-        waiting = bool(last and last[2])
+        if held:
+            sig, k1 = np.insert(sig, 0, held[0]), np.insert(k1, 0, held[1])
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1])])
         sig, k1 = sig[new], k1[new]
         same = sig[1:] == sig[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        if head and not waiting:  # its row went out before, or has no claim of its own
-            several[0] = several[0] and last[2]
-        pending = not several[-1] if len(several) > 1 or not head else (last[2] and not several[-1])
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[several]), pa.array(k1[several])], schema=schema)
-        last = (sig[-1], k1[-1], bool(pending))
+        out = several.copy()
+        out[0] &= not given
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(k1[out])], schema=schema)
+        held, given = (sig[-1], k1[-1]), bool(several[-1]) or (len(sig) == 1 and given)
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
