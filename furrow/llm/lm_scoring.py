@@ -42,8 +42,8 @@ VOCABULARY, COMMON, PAIRED = 1 << 18, 256, 48
 #: Slots of the tables (powers of two), and of a block.
 SLOTS = (1 << 19, 1 << 20, 1 << 20)
 BLOCK = 4096
-#: Bits of a text between updates of its weights, tokens of a window, bytes of text that go through at once.
-STEP, WINDOW, PIECE = 256, 1 << 16, 1 << 20
+#: Bits of a text before its weights first learn (later steps are longer), tokens of a window, bytes of text that go through at once.
+STEP, WINDOW, PIECE = 128, 1 << 16, 1 << 19
 RATE, LEVEL_RATE, LEVELS = 2.0, 0.5, 24
 END = np.uint64(0x454E44)
 GATES = 32
@@ -251,7 +251,7 @@ def table_batches(code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for piece in pieces(batch, most=PIECE):
+            for piece in pieces(batch, most=4 * PIECE):  # adding up whole tables pays for larger pieces
                 data, starts, ends, hashes, first = tokens(piece.column("text"))
                 symbols, known = lookup(code.value, hashes)
                 ctx = contexts(code.value, symbols, known, first)
@@ -259,7 +259,7 @@ def table_batches(code):
                 once = np.flatnonzero(known)
                 once = once[code.value.counts[symbols[once]] == 1]
                 escape, unknown = np.full(len(once), len(code.value.hashes)), np.zeros(len(once), bool)
-                runs = [slice(a, a + 4 * WINDOW) for a in range(0, len(hashes), 4 * WINDOW)]
+                runs = [slice(a, a + 5 * WINDOW) for a in range(0, len(hashes), 5 * WINDOW)]
                 for own, code_of, is_known in [*((r, symbols[r], known[r]) for r in runs), (once, escape, unknown)]:
                     got = bits_of(code.value, data, starts[own], ends[own], code_of, is_known, (ctx[0][own], ctx[1][own]), np.zeros(1, np.int64))
                     for i in range(3):
@@ -299,54 +299,54 @@ def packed(counts: np.ndarray) -> np.ndarray:
 
 
 def first_weights() -> np.ndarray:
-    """Weights of each gate to start with: the finest context that has seen enough leads."""
-    w = np.zeros((GATES, 4), np.float32)
+    """Weights (input, gate) to start with: the finest context that has seen enough leads."""
+    w = np.zeros((3, GATES), np.float32)
     for g in range(GATES):
         one, two = g % 4, g // 4 % 4
-        lead = 2 if two >= 2 else 1 if one >= 2 else 0
-        w[g, :3] = [0.25, 0.25 * (one > 0), 0.25 * (two > 0)]
-        w[g, lead] += 0.5
-        w[g, :3] /= w[g, :3].sum()
-    return w
+        w[:, g] = [0.25, 0.25 * (one > 0), 0.25 * (two > 0)]
+        w[2 if two >= 2 else 1 if one >= 2 else 0, g] += 0.5
+    return w / w.sum(0)
 
 
 def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text's bits; weights (text, gate, input) and levels (text, level) go on learning."""
+    """The log10 probability of each text's bits; weights (input, text, gate) and levels (text, level) go on learning."""
     n = len(bits.first) - 1
     size = np.diff(bits.first)
     total = np.zeros(n)
     seen = [tables[i][bits.slots[i]] for i in range(3)]
-    x = np.empty((4, len(bits.values)), np.float32)
-    for i in range(3):
-        np.multiply(seen[i] >> 2, np.float32(1 / 256), out=x[i])
-    x[3] = 0.3
     gates = (seen[1] & 3) + ((seen[2] & 3) << 2) + (bits.spelt.astype(np.int16) << 4)
+    for s in seen:
+        s >>= 2
     # the longest first: those still active at a step are a prefix
     order = np.argsort(-size, kind="stable")
-    for step in range(int(-(-size.max() // STEP)) if n else 0):
-        active = order[: int(np.searchsorted(-size[order], -step * STEP, "left"))]
-        lengths = np.minimum(size[active] - step * STEP, STEP)
-        at = ragged(bits.first[active] + step * STEP, lengths)
+    done, longest = 0, int(size.max()) if n else 0
+    while done < longest:
+        step = STEP + done // 8  # what is learnt changes less and less
+        active = order[: int(np.searchsorted(-size[order], -done, "left"))]
+        lengths = np.minimum(size[active] - done, step)
+        at = ragged(bits.first[active] + done, lengths)
+        done += step
         local = np.repeat(np.arange(len(active)), lengths)
-        xs, ys = x[:, at], bits.values[at]
         cells, spots = len(active) * GATES, len(active) * LEVELS
         cell = local * GATES + gates[at]
-        flat = weights[active].reshape(cells, 4)
-        w = flat[cell]
-        z1 = xs[0] * w[:, 0] + xs[1] * w[:, 1] + xs[2] * w[:, 2] + xs[3] * w[:, 3]
-        np.clip(z1, -13, 13, out=z1)
-        spot = local * LEVELS + ((z1 + np.float32(12)) * np.float32(LEVELS / 24)).astype(np.int64).clip(0, LEVELS - 1)
+        w = weights[:, active].reshape(3, cells)
+        xs = [np.multiply(s[at], np.float32(1 / 256), dtype=np.float32) for s in seen]
+        z = w[0][cell] * xs[0]
+        for i in (1, 2):
+            z += w[i][cell] * xs[i]
+        np.clip(z, -13, 13, out=z)
+        spot = local * LEVELS + ((z + np.float32(12)) * np.float32(LEVELS / 24)).astype(np.int64).clip(0, LEVELS - 1)
         bias = levels[active].ravel()
-        p1 = 1 / (1 + np.exp(-z1))
-        p2 = 1 / (1 + np.exp(-z1 - bias[spot]))
-        p = (p1 + p2) * np.float32(0.5)
+        z += bias[spot]
+        p = 1 / (1 + np.exp(-z))
         np.clip(p, 2**-18, 1 - 2**-18, out=p)
-        total[active] += np.bincount(local, weights=np.log(np.where(ys, p, 1 - p)), minlength=len(active))
-        wrong = ys - p1
-        many = np.bincount(cell, minlength=cells) + 200
-        slope = np.stack([np.bincount(cell, weights=wrong * xs[i], minlength=cells) for i in range(4)], 1)
-        weights[active] = (flat + (RATE / many)[:, None] * slope).reshape(len(active), GATES, 4)
-        off = np.bincount(spot, weights=ys - p2, minlength=spots) / (np.bincount(spot, weights=p2 * (1 - p2), minlength=spots) + 8)
+        wrong = bits.values[at] - p
+        total[active] += np.add.reduceat(np.log1p(-np.abs(wrong)), np.cumsum(lengths) - lengths)
+        rate = RATE / (np.bincount(cell, minlength=cells) + 200)
+        for i in range(3):
+            w[i] += rate * np.bincount(cell, weights=wrong * xs[i], minlength=cells)
+        weights[:, active] = w.reshape(3, len(active), GATES)
+        off = np.bincount(spot, weights=wrong, minlength=spots) / (np.bincount(spot, weights=p * (1 - p), minlength=spots) + 8)
         levels[active] = np.clip(bias + LEVEL_RATE * off, -3, 3).reshape(len(active), LEVELS)
     return total / np.log(10)
 
@@ -366,7 +366,7 @@ def score_batches(code, tables):
                 of = np.repeat(np.arange(n), size)
                 ctx = contexts(c, symbols, known, first)
                 score = np.zeros(n)
-                weights, levels = np.repeat(start[None], n, 0), np.zeros((n, LEVELS), np.float32)
+                weights, levels = np.repeat(start[:, None], n, 1), np.zeros((n, LEVELS), np.float32)
                 for a in range(0, max(1, int(size.max())), WINDOW):  # windows of each text's tokens
                     lengths = np.clip(size - a, 0, WINDOW)
                     own = ragged(first[:-1] + a, lengths)
