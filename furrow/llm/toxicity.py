@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-A text's terms are its words and their beginnings of four and six letters; those that separate the labels
-in the examples make up the vocabulary. Examples and texts are TF-IDF vectors over it. For each text the
+A text's terms are its words and their beginnings of four and six letters; those that mark toxic examples
+make up the vocabulary. Examples and texts are TF-IDF vectors over it. For each text the
 examples with the highest cosine are found exactly: an inverted index keeps its postings in blocks with
 each term's largest weight per block, the sum of a text's weights times these bounds what a block can
 reach, and blocks are opened from the best bound down until no other can beat the k-th result. The
@@ -36,8 +36,8 @@ from furrow.llm.shingles import BASE, hash_words, mix, pieces, spans
 EXAMPLES = 24_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term belongs to the vocabulary from so many examples and such a z-score of its log odds; so many at most.
-SUPPORT, APART, TERMS = 4, 4.0, 4096
+#: A term belongs to the vocabulary from so many examples, if such a share of them is toxic and its log odds have such a z-score; so many terms at most.
+SUPPORT, MARK, APART, TERMS = 4, 0.5, 4.0, 1024
 BEGINNINGS = (4, 6)
 #: Labels of ids with this remainder are held out.
 FOLDS, HELD_OUT = 5, 0
@@ -99,21 +99,30 @@ class Index:
     blank: float  # probability of a text without terms
     curve: tuple[float, float] = (1.0, 0.0)
 
+    def opened(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the blocks that share a term, and their cosines."""
+        cell = (t[:, None] * self.blocks + blocks).ravel()
+        length = self.starts[cell + 1] - self.starts[cell]
+        at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length - self.starts[cell], length)
+        entries, inverse = np.unique(self.entries[at], return_inverse=True)
+        return entries, np.bincount(inverse, weights=self.weights[at] * np.repeat(np.repeat(w, len(blocks)), length), minlength=len(entries))
+
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k entries with the highest cosine to the unit vector (terms t, weights w), and the cosines."""
         reach = w @ self.bound[t]
-        best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-reach, kind="stable"):
-            if reach[b] <= 0 or (len(best_s) == k and reach[b] < best_s[-1] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for i, x in zip(t, w, strict=True):
-                a, z = self.starts[i * self.blocks + b], self.starts[i * self.blocks + b + 1]
-                scores[self.entries[a:z] - b * BLOCK] += x * self.weights[a:z]
-            hit = np.flatnonzero(scores > 0)
-            best_s, best_e = np.concatenate([best_s, scores[hit]]), np.concatenate([best_e, hit + b * BLOCK])
-            order = np.lexsort((best_e, -np.round(best_s, 12)))[:k]
-            best_s, best_e = best_s[order], best_e[order]
+        order = np.argsort(-reach, kind="stable")
+        order = order[reach[order] > 0]
+        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
+        at, many = 0, 2
+        while at < len(order) and (len(best_s) < k or reach[order[at]] >= best_s[-1] - 1e-9):
+            blocks = order[at : at + many]
+            at, many = at + many, many * 4  # most texts need few blocks; the rest opens them in few steps
+            if len(best_s) == k:
+                blocks = blocks[reach[blocks] >= best_s[-1] - 1e-9]
+            entries, scores = self.opened(t, w, blocks)
+            best_e, best_s = np.concatenate([best_e, entries]), np.concatenate([best_s, scores])
+            top = np.lexsort((best_e, -np.round(best_s, 9)))[:k]
+            best_e, best_s = best_e[top], best_s[top]
         return best_e, best_s
 
     def vote(self, entries: np.ndarray, cosines: np.ndarray, without: tuple[int, int] | None = None) -> float:
@@ -145,55 +154,78 @@ def vector(index_terms: np.ndarray, idf: np.ndarray, hashes: np.ndarray, counts:
 
 def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES, k: int = NEIGHBOURS) -> Index | None:
     """The index of the examples. Term counts are summed up by Spark; what comes to the driver is bounded by TERMS and by `most` short vectors."""
-    rows = cut(training_rows(docs, labels, label, most).mapInArrow(term_rows, "doc_id long, y long, terms array<long>, counts array<long>"), "toxic-examples")
+    # equal texts with equal labels are one example: copies don't make their words marks of a label
+    texts = training_rows(docs, labels, label, most).groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rows = cut(texts.select("doc_id", "y", "text").mapInArrow(term_rows, "doc_id long, y long, terms array<long>, counts array<long>"), "toxic-examples")
     got = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     n, n1 = got["n"], got["toxic"] or 0
     if not n or not n1 or n1 == n:
         return None
     odds = F.expr(f"ln((d1 + 0.5d) / ({n1} - d1 + 0.5d)) - ln((d0 + 0.5d) / ({n - n1} - d0 + 0.5d))")
-    df = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0")).where(f"d1 + d0 >= {SUPPORT}")
-    df = df.withColumn("z", odds / F.sqrt(F.expr("1 / (d1 + 0.5d) + 1 / (d0 + 0.5d)"))).where(f"abs(z) >= {APART}").orderBy(F.desc(F.abs("z")), "t").limit(TERMS)
+    df = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0")).where(f"d1 + d0 >= {SUPPORT} and d1 >= {MARK} * (d1 + d0)")
+    df = df.withColumn("z", odds / F.sqrt(F.expr("1 / (d1 + 0.5d) + 1 / (d0 + 0.5d)"))).where(f"z >= {APART}").orderBy(F.desc("z"), "t").limit(TERMS)
     chosen = df.select("t", (F.col("d1") + F.col("d0")).alias("d")).collect()
     chosen.sort(key=lambda r: r["t"] % (1 << 64))
     vocabulary = np.array([r["t"] for r in chosen], np.int64).view(np.uint64)
     idf = np.log((n + 1) / (np.array([r["d"] for r in chosen], float) + 1)) + 1
-    sparse = rows.crossJoin(F.broadcast(df.agg(F.collect_set("t").alias("known"))))  # one row of at most TERMS numbers
-    sparse = sparse.select("doc_id", "y", F.expr("filter(arrays_zip(terms, counts), x -> array_contains(known, x.terms))").alias("f")).collect()
+    sparse = cut(rows.mapInArrow(projection(vocabulary, idf), "doc_id long, y long, t array<long>, w array<double>"), "toxic-vectors")
+    blank = sparse.where("size(t) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     vectors: dict[tuple, list] = {}
-    blank = [0.5, 1.0]
-    own = []
-    for r in sorted(sparse, key=lambda r: (r["doc_id"], r["y"])):
-        t, w = vector(vocabulary, idf, np.array([x["terms"] for x in r["f"]], np.int64).view(np.uint64), np.array([x["counts"] for x in r["f"]], float))
-        order = np.argsort(t)
-        if not len(t):
-            blank[0] += r["y"]
-            blank[1] += 1
-            continue
-        key = (tuple(t[order].tolist()), tuple(np.round(w[order], 12).tolist()))
-        e = vectors.setdefault(key, [0, 0, r["doc_id"]])
+    for r in sparse.where("size(t) > 0").orderBy("doc_id", "y").collect():
+        e = vectors.setdefault((tuple(r["t"]), tuple(round(w, 12) for w in r["w"])), [0, 0, r["doc_id"]])
         e[0] += r["y"]
         e[1] += 1
-        own.append((key, r["y"]))
     # entries with the same leading terms stand together, which keeps the blocks' bounds tight
     keys = sorted(vectors, key=lambda v: [v[0][i] for i in np.argsort(-np.array(v[1]), kind="stable")])
-    place = {v: i for i, v in enumerate(keys)}
     blocks = max(1, -(-len(keys) // BLOCK))
-    post = [(t, i, w) for i, v in enumerate(keys) for t, w in zip(*v, strict=True)]
-    post.sort()
+    post = sorted((t, i, w) for i, v in enumerate(keys) for t, w in zip(*v, strict=True))
     t, e, w = (np.array([p[j] for p in post]) for j in range(3)) if post else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     bound = np.zeros((len(vocabulary), blocks))
     np.maximum.at(bound, (t.astype(np.int64), e.astype(np.int64) // BLOCK), w)
     starts = np.searchsorted(t * blocks + e // BLOCK, np.arange(len(vocabulary) * blocks + 1))
-    index = Index(vocabulary, idf, blocks, bound, starts, e.astype(np.int64), w, np.array([vectors[v][0] for v in keys]), np.array([vectors[v][1] for v in keys]), np.array([vectors[v][2] for v in keys], np.int64), n1 / n, blank[0] / blank[1])
+    toxic, votes, ids = (np.array([vectors[v][j] for v in keys], np.int64) for j in range(3))
+    index = Index(vocabulary, idf, blocks, bound, starts, e.astype(np.int64), w, toxic, votes, ids, n1 / n, (blank["toxic"] + n1 / n) / (blank["n"] + 1))
     # calibration on the examples, each without its own vote
-    found = {v: index.nearest(np.array(v[0]), np.array(v[1]), k) for v in keys}
-    if own:
-        logits = np.array([[index.vote(*found[v], without=(place[v], y))] for v, y in own])
-        slope, offset = fit(logits, np.array([y for _, y in own], float))
+    told = sparse.where("size(t) > 0").mapInArrow(votes_of(docs.sparkSession.sparkContext.broadcast(index), k), "y long, logit double").toArrow()
+    if told.num_rows:
+        slope, offset = fit(told.column("logit").to_numpy()[:, None], told.column("y").to_numpy().astype(float))
         index.curve = (float(slope[0]), offset) if slope[0] > 0 else (1.0, 0.0)
     return index
 
 
+def projection(vocabulary: np.ndarray, idf: np.ndarray):
+    """Examples as vectors over the vocabulary: numbers of terms, in order, and weights."""
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("t", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ts, ws = [], []
+            for hashes, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
+                t, w = vector(vocabulary, idf, hashes.values.to_numpy().view(np.uint64), counts.values.to_numpy())
+                order = np.argsort(t)
+                ts.append(t[order])
+                ws.append(w[order])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(ts, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.float64()))], schema=schema)
+
+    return run
+
+
+def votes_of(index, k: int):
+    """(y, logit) of each example by its neighbours, its own vote left out."""
+    schema = pa.schema([("y", pa.int64()), ("logit", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys, logits = batch.column("y").to_pylist(), []
+            for t, w, y in zip(batch.column("t"), batch.column("w"), ys, strict=True):
+                entries, cosines = index.value.nearest(t.values.to_numpy(), w.values.to_numpy(), k)
+                own = np.flatnonzero(cosines > 1 - 1e-9)
+                logits.append(index.value.vote(entries, cosines, without=(int(entries[own[0]]), y) if len(own) else None))
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int64()), pa.array(logits, pa.float64())], schema=schema)
+
+    return run
+
+
 def score(docs: DataFrame, index: Index | None, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples, at most k) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
