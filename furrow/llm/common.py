@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset (tests on one machine).
-LOCAL_SHARED = "/tmp/furrow-shared"
+from furrow.scratch import cut, fresh_path, release, shared_dir
+
+__all__ = ["UPPER", "ascii_lower", "crc_mod", "cut", "fresh_path", "release", "shared_dir", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,39 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}"
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df in the shared folder and read it again: the lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more, rather than at the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of our own under the shared one."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. All-ASCII texts take the faster built-in, which then does the same."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
