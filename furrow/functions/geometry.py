@@ -54,7 +54,7 @@ def centroid(geometry: str) -> tuple[str, str]:
     for c in ("x", "y"):
         base = f"{flat}[0].{c}"
         cross = "((g[i].x - g[0].x) * (g[i + 1].y - g[0].y) - (g[i + 1].x - g[0].x) * (g[i].y - g[0].y))"
-        moment = _sum(ALONG.format(r="g", body=f"(g[i].{c} + g[i + 1].{c} - 2 * {base}) * {cross}"))
+        moment = _sum(ALONG.format(r="g", body=f"(g[0].{c} + g[i].{c} + g[i + 1].{c} - 3 * {base}) * {cross}"))
         part = f"if(size(g) < 4, 0d, if(k = 0, 1, -1) * sign({ring_area('g')}) * {moment} / 6)"
         whole = _sum(f"transform({geometry}, p -> {_sum('transform(p, (g, k) -> ' + part + ')')})")
         mean = f"{_sum(f'transform({flat}, v -> v.{c})')} / size({flat})"
@@ -195,7 +195,7 @@ def utm_series() -> tuple[float, list[float], list[float], list[float]]:
 
 
 def lonlat_to_utm(lon: Column, lat: Column, zone: int, south: bool) -> tuple[Column, Column]:
-    """Degrees to metres in a zone, to well under a millimetre within it."""
+    """Degrees to metres in a zone, to under a millimetre within it."""
     radius, forward, _, _ = utm_series()
     n = FLATTENING / (2 - FLATTENING)
     e = 2 * math.sqrt(n) / (1 + n)

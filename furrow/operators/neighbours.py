@@ -99,7 +99,8 @@ def terrain(points: DataFrame, crit: str = "dist", s: float = 30) -> DataFrame:
         pairs = radius_pairs(points, others, s)
     elif crit == "neighbours":
         own = points.select("rid", F.col("x").alias("lx"), F.col("y").alias("ly"))
-        pairs = nearest(points, others.withColumn("rx", F.col("x")).withColumn("ry", F.col("y")), int(s)).join(own, "rid").withColumn("bx", F.lit(0)).withColumn("by", F.lit(0))
+        found = nearest(points, others.withColumn("ox", F.col("x")).withColumn("oy", F.col("y")), int(s)).withColumnsRenamed({"ox": "rx", "oy": "ry"})
+        pairs = found.join(own, "rid").withColumn("bx", F.lit(0)).withColumn("by", F.lit(0))
     else:
         raise ValueError(f"crit must be dist or neighbours, not {crit!r}")
     return points.join(plane(pairs), "rid", "left")

@@ -84,19 +84,18 @@ def local_statistics(spark, d):
     return rounded(filters.local_statistics(points(spark, d), "v", "dist", 8))
 
 
-KNN = f"""WITH pts, p AS (SELECT * FROM pts WHERE rid < 2500),
+KNN = f"""WITH pts, p AS (SELECT * FROM pts),
 k AS (SELECT * FROM (SELECT a.rid, b.rid AS nid, b.v, {NEAR} AS d2, row_number() OVER (PARTITION BY a.rid ORDER BY {NEAR}, b.rid) AS r FROM p a JOIN p b ON a.rid <> b.rid AND b.x BETWEEN a.x - 60 AND a.x + 60 AND b.y BETWEEN a.y - 60 AND a.y + 60) WHERE r <= 6)
 """
-KNN_ALL = KNN.replace("p AS (SELECT * FROM pts WHERE rid < 2500)", "p AS (SELECT * FROM pts)")
 
 
-@query(KNN_ALL + "SELECT rid, nid, CAST(r AS INTEGER) AS rank, " + r6("d2", "d2") + " FROM k")
+@query(KNN + "SELECT rid, nid, CAST(r AS INTEGER) AS rank, " + r6("d2", "d2") + " FROM k")
 def nearest_neighbours(spark, d):
     p = points(spark, d)
     return rounded(neighbours.nearest(p, p.select("rid", "x", "y"), 6, without_self=True).select("rid", "nid", "rank", "d2"))
 
 
-@query(KNN_ALL + "SELECT p.rid, v BETWEEN m - 2e0 * s AND m + 2e0 * s AS kept FROM p JOIN (SELECT rid, avg(v) AS m, stddev_pop(v) AS s FROM k GROUP BY rid) USING (rid)")
+@query(KNN + "SELECT p.rid, v BETWEEN m - 2e0 * s AND m + 2e0 * s AS kept FROM p JOIN (SELECT rid, avg(v) AS m, stddev_pop(v) AS s FROM k GROUP BY rid) USING (rid)")
 def local_outliers_knn(spark, d):
     return filters.local_verdicts(points(spark, d), "v", "neighbours", 6, 2.0).select("rid", F.col("__ok").alias("kept"))
 
@@ -121,9 +120,9 @@ def neighbour_lists(spark, d):
     return filters.neighbour_lists(points(spark, d), 4).select("rid", F.size("neighbours").cast("long").alias("n"), F.expr("neighbours[0]").alias("first_id"), F.expr("element_at(neighbours, -1)").alias("last_id"))
 
 
-@query("WITH pts SELECT p.rid, EXISTS (SELECT 1 FROM plots q WHERE greatest(q.x0 - p.x, p.x - q.x0 - q.w, 0) ** 2 + greatest(q.y0 - p.y, p.y - q.y0 - q.h, 0) ** 2 <= 1e0) AS kept FROM pts p WHERE p.rid < 3000")
+@query("WITH pts SELECT p.rid, EXISTS (SELECT 1 FROM plots q WHERE greatest(q.x0 - p.x, p.x - q.x0 - q.w, 0) ** 2 + greatest(q.y0 - p.y, p.y - q.y0 - q.h, 0) ** 2 <= 1e0) AS kept FROM pts p")
 def clip_to_boundary(spark, d):
-    p = points(spark, d).where("rid < 3000").select("rid", "x", "y")
+    p = points(spark, d).select("rid", "x", "y")
     kept, removed = filters.remove_boundary_data(p, plots(spark, d))
     return kept.select("rid", F.lit(True).alias("kept")).unionByName(removed.select("rid", F.lit(False).alias("kept")))
 
@@ -200,7 +199,7 @@ def shift_maps(spark, d):
 
 @query()
 def pcdi_curve(spark, d):
-    p = points(spark, d).select("rid", "seq", "x", "y", (F.col("v") + 10 * F.sin(F.col("x") / 30)).alias("v")).where("seq < 4000")
+    p = points(spark, d).select("rid", "seq", "x", "y", (F.col("v") + 10 * F.sin(F.col("x") / 30)).alias("v"))
     return rounded(lag.robust_pcdi(p, 6.0, delay_min=-4, delay_max=4, iterations=2)[0])
 
 
@@ -266,32 +265,30 @@ def polygon_to_grid(spark, d):
     return rounded(grid.assign_polygons(plots(spark, d).withColumn("target", F.col("target").cast("double")), square(spark, d), "target").select("grid_id", "target_weighted", "target"), 4)
 
 
-SOURCES = "src AS (SELECT * FROM pts WHERE rid % 7 = 0 AND v IS NOT NULL)"
+SOURCES = "src AS (SELECT * FROM pts WHERE v IS NOT NULL)"
 
 
 @query("WITH pts, " + CELLS + ", " + SOURCES + f""", a AS (SELECT grid_id, cx + 5 AS x, cy + 5 AS y FROM cells), n AS (SELECT a.grid_id, b.v, row_number() OVER (PARTITION BY grid_id ORDER BY {NEAR}, b.rid) AS r FROM a JOIN src b ON b.x BETWEEN a.x - 10 AND a.x + 10 AND b.y BETWEEN a.y - 10 AND a.y + 10 AND {NEAR} <= 100e0)
 SELECT a.grid_id AS rid, round(n.v, 6) AS v FROM a LEFT JOIN n ON n.grid_id = a.grid_id AND r = 1""")
 def align_nearest(spark, d):
-    p = points(spark, d).where("rid % 7 = 0")
     cells = square(spark, d).cells(spark).select(F.col("grid_id").alias("rid"), "x", "y")
-    return rounded(grid.align_to_grid(cells, p, "v", "nearest", 10))
+    return rounded(grid.align_to_grid(cells, points(spark, d), "v", "nearest", 10))
 
 
-@query("WITH pts, " + CELLS + ", " + SOURCES + f""", a AS (SELECT grid_id, cx + 5 AS x, cy + 5 AS y FROM cells), n AS (SELECT a.grid_id, b.v, sqrt({NEAR}) AS d, row_number() OVER (PARTITION BY grid_id ORDER BY {NEAR}, b.rid) AS r FROM a JOIN src b ON b.x BETWEEN a.x - 120 AND a.x + 120 AND b.y BETWEEN a.y - 120 AND a.y + 120),
+@query("WITH pts, " + CELLS + ", " + SOURCES + f""", a AS (SELECT grid_id, cx + 5 AS x, cy + 5 AS y FROM cells), n AS (SELECT a.grid_id, b.v, sqrt({NEAR}) AS d, row_number() OVER (PARTITION BY grid_id ORDER BY {NEAR}, b.rid) AS r FROM a JOIN src b ON b.x BETWEEN a.x - 60 AND a.x + 60 AND b.y BETWEEN a.y - 60 AND a.y + 60),
 k AS (SELECT * FROM n WHERE r <= 5), s AS (SELECT grid_id, sum(v * CASE WHEN d < 1e-5 THEN 1 ELSE 0 END) AS ev, sum(CASE WHEN d < 1e-5 THEN 1 ELSE 0 END) AS e, sum(v / (d * d + 1e-12)) AS wv, sum(1 / (d * d + 1e-12)) AS w, min(d) AS near FROM k GROUP BY grid_id)
 SELECT a.grid_id AS rid, round(CASE WHEN near <= 10 THEN CASE WHEN e > 0 THEN ev / e ELSE wv / w END END, 6) + 0e0 AS v FROM a LEFT JOIN s USING (grid_id)""")
 def align_idw(spark, d):
-    p = points(spark, d).where("rid % 7 = 0")
     cells = square(spark, d).cells(spark).select(F.col("grid_id").alias("rid"), "x", "y")
-    return rounded(grid.align_to_grid(cells, p, "v", "idw", 10, 2, 5))
+    return rounded(grid.align_to_grid(cells, points(spark, d), "v", "idw", 10, 2, 5))
 
 
 def gappy(spark, d) -> DataFrame:
-    cells = grid.aggregate_points(points(spark, d), square(spark, d), ["v"], tolerance=0)
-    return cells.withColumn("v", F.when(F.col("grid_id") % 5 != 0, F.col("v")))
+    """Cells without points, as around the field's edge, have gaps."""
+    return grid.aggregate_points(points(spark, d), square(spark, d), ["v"], tolerance=0)
 
 
-GAPPY = CELLS + ", w AS (SELECT floor((x - x0) / 10) AS ix, floor((y - y0) / 10) AS iy, avg(v) AS v FROM pts, b GROUP BY ALL), g AS (SELECT c.grid_id, c.ix, c.iy, c.cx + 5 AS x, c.cy + 5 AS y, CASE WHEN c.grid_id % 5 <> 0 THEN w.v END AS v FROM cells c LEFT JOIN w ON w.ix = c.ix AND w.iy = c.iy)"
+GAPPY = CELLS + ", w AS (SELECT floor((x - x0) / 10) AS ix, floor((y - y0) / 10) AS iy, avg(v) AS v FROM pts, b GROUP BY ALL), g AS (SELECT c.grid_id, c.ix, c.iy, c.cx + 5 AS x, c.cy + 5 AS y, w.v FROM cells c LEFT JOIN w ON w.ix = c.ix AND w.iy = c.iy)"
 
 
 def impute_sql(test: str) -> str:
@@ -335,10 +332,9 @@ def geometry_measures(spark, d):
     return rounded(plots(spark, d).select("rid", F.expr(geo.area("geometry")).alias("area"), F.expr(cx).alias("cx"), F.expr(cy).alias("cy"), F.expr(b["minx"]).alias("minx"), F.expr(b["maxx"]).alias("maxx")))
 
 
-@query("WITH pts SELECT (max(x0) + 38 - min(x0)) * (max(y0) + 38 - min(y0)) AS hull_area FROM plots WHERE rid % 10 IN (0, 9) AND floor(rid / 10) IN (1, 8)")
+@query()
 def hull_area(spark, d):
-    corners = plots(spark, d).where("rid % 10 in (0, 9) and floor(rid / 10) in (1, 8)").selectExpr("explode(geometry[0][0]) as v").select("v.*")
-    return rounded(geo.hull_area(corners))
+    return rounded(geo.hull_area(plots(spark, d).selectExpr("explode(geometry[0][0]) as v").select("v.*")))
 
 
 @query("WITH pts SELECT round(min(abs(x - lon)), 6) + 0e0 AS dx, count(*) AS n FROM (SELECT x, x AS lon FROM pts)")
@@ -397,20 +393,17 @@ def top_with_ties(spark, d):
     return geoforest.top_with_ties(counts, 3)
 
 
-VARIOGRAM = f"""WITH pts, p AS (SELECT * FROM pts WHERE rid < 1500), d AS (SELECT sqrt({NEAR}) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM p a JOIN p b ON a.rid < b.rid)
-SELECT CAST(least(ceil(d / 10e0) - 1, 9) AS INTEGER) AS bin, (CAST(least(ceil(d / 10e0) - 1, 9) AS INTEGER) + 1) * 10e0 AS lag, round(avg(g), 6) AS gamma, count(*) AS pairs FROM d WHERE d > 0 AND d <= 100e0 GROUP BY 1"""
-
-
-@query(VARIOGRAM)
+@query()
 def variogram_bins(spark, d):
-    return rounded(modelling.variogram_bins(points(spark, d).where("rid < 1500"), "v", max_lag=100.0))
+    """On a sample of at most 5,000 points, as the operator has it."""
+    return rounded(modelling.variogram_bins(points(spark, d), "v", max_lag=100.0))
 
 
-@query(f"""WITH pts, p AS (SELECT rid, x, y, v FROM pts WHERE rid < 1500), z AS (SELECT rid, x, y, v - (SELECT avg(v) FROM p) AS z FROM p),
+@query(f"""WITH pts, p AS (SELECT rid, x, y, v FROM pts), z AS (SELECT rid, x, y, v - (SELECT avg(v) FROM p) AS z FROM p),
 k AS (SELECT a.rid, a.z AS zi, b.z AS zj, row_number() OVER (PARTITION BY a.rid ORDER BY {NEAR}, b.rid) AS r FROM z a JOIN z b ON a.rid <> b.rid AND b.x BETWEEN a.x - 60 AND a.x + 60 AND b.y BETWEEN a.y - 60 AND a.y + 60)
 SELECT CAST(w AS INTEGER) AS bandwidth, round((SELECT count(*) FROM z) / (w * (SELECT count(*) FROM z)) * sum(zi * zj) / (SELECT sum(z * z) FROM z), 6) + 0e0 AS i FROM k, (VALUES (4), (8), (12)) t(w) WHERE r <= w GROUP BY w""")
 def moran_i(spark, d):
-    return rounded(geoforest.moran(points(spark, d).where("rid < 1500"), "v", [4, 8, 12]).select("bandwidth", "i"))
+    return rounded(geoforest.moran(points(spark, d), "v", [4, 8, 12]).select("bandwidth", "i"))
 
 
 # ---- models (measures and values that SQL has no form for) ----
@@ -418,7 +411,7 @@ def moran_i(spark, d):
 
 def field(spark, d) -> DataFrame:
     """Points with a target that depends on place and height."""
-    return points(spark, d).where("rid < 2000").select("rid", "x", "y", "z", "v", (F.col("z") + 5 * F.sin(F.col("x") / 40) + F.col("v") / 100).alias("target"))
+    return points(spark, d).select("rid", "x", "y", "z", "v", (F.col("z") + 5 * F.sin(F.col("x") / 40) + F.col("v") / 100).alias("target"))
 
 
 FEATURES = ["x", "y", "z"]
@@ -462,7 +455,7 @@ def partial_dependence(spark, d):
 @query()
 def partial_dependence_2d(spark, d):
     df, model = fitted(spark, d)
-    return rounded(explain.pdp_2d(model, df.where("rid < 300"), FEATURES, [("x", "z")], 6))
+    return rounded(explain.pdp_2d(model, df, FEATURES, [("x", "z")], 6))
 
 
 @query()
@@ -473,8 +466,8 @@ def shap_summary(spark, d):
 
 @query()
 def geographical_forest(spark, d):
-    df = modelling.random_split(field(spark, d).where("rid < 600"))
-    return rounded(geoforest.grf_metrics(geoforest.train_grf(df, FEATURES, "target", 30, 0.5, trees=10, local_trees=5, centres=20)))
+    df = modelling.random_split(field(spark, d))
+    return rounded(geoforest.grf_metrics(geoforest.train_grf(df, FEATURES, "target", 30, 0.5, trees=10, local_trees=3)))
 
 
 @query()
@@ -483,6 +476,80 @@ def field_scores(spark, d):
     return rounded(modelling.score_field(model, df, FEATURES, "target"))
 
 
+@query()
+def variogram_curve(spark, d):
+    return rounded(modelling.variogram_curve(points(spark, d), "v"))
+
+
+@query()
+def boosted_scores(spark, d):
+    df = field(spark, d)
+    model = modelling.xgb_predict_spatial(df, FEATURES, "target", params={"rounds": 5, "depth": 3}, cv=False).model
+    return rounded(modelling.score_field(model, df, FEATURES, "target"))
+
+
+@query()
+def random_search(spark, d):
+    return rounded(modelling.tune_random(field(spark, d), FEATURES, "target", modelling.forest, {"trees": [4, 8], "depth": [3, 5]}, 2, 80)[1])
+
+
+@query()
+def spatial_bandwidth(spark, d):
+    return rounded(geoforest.moran(points(spark, d), "z", [5, 10, 20, 40]))
+
+
+@query()
+def shap_interactions(spark, d):
+    df, model = fitted(spark, d)
+    return rounded(explain.shap_interactions(model, df, FEATURES, ["x", "z"]))
+
+
+@query()
+def partial_dependence_compared(spark, d):
+    df, model = fitted(spark, d)
+    other = modelling.train_final(df, FEATURES, "target", modelling.forest(trees=4, depth=3))
+    return rounded(explain.compare_pdp_2d({"one": model, "two": other}, df, FEATURES, [("x", "z")], 5))
+
+
+@query()
+def lag_summary(spark, d):
+    p = points(spark, d).select("rid", "seq", "x", "y", (F.col("v") + 10 * F.sin(F.col("x") / 30)).alias("v"))
+    return rounded(lag.robust_pcdi(p, 6.0, delay_min=-2, delay_max=2, iterations=2)[1])
+
+
+@query("WITH pts SELECT rid, x, y, CASE WHEN v BETWEEN 10 AND 60 THEN 'kept' ELSE 'removed' END AS status FROM pts")
+def status_map(spark, d):
+    p = points(spark, d)
+    return frames.status_map(*filters.split_by(p, filters.filter_parameter(p, "v", "v", "bounds", 10, 60).select("rid")), ["rid", "x", "y"])
+
+
+@query("""WITH pts, q AS (SELECT 'before' AS stage, v FROM pts UNION ALL SELECT 'after', v FROM pts WHERE v BETWEEN 10 AND 60), b AS (SELECT stage, min(v) AS lo, max(v) AS hi FROM q GROUP BY stage),
+h AS (SELECT stage, CAST(least(floor((v - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM q JOIN b USING (stage) GROUP BY ALL)
+SELECT stage, 'v' AS "column", CAST(i AS INTEGER) AS bin, round(lo + i * ((hi - lo) / 10), 6) + 0e0 AS lower, round(lo + (i + 1) * ((hi - lo) / 10), 6) + 0e0 AS upper, coalesce(n, 0) AS n FROM b CROSS JOIN range(10) r(i) LEFT JOIN h USING (stage) WHERE h.bin = i OR h.bin IS NULL""".replace("LEFT JOIN h USING (stage) WHERE h.bin = i OR h.bin IS NULL", "LEFT JOIN h ON h.stage = b.stage AND h.bin = i").replace("SELECT stage, 'v'", "SELECT b.stage, 'v'"))
+def before_after_histograms(spark, d):
+    p = points(spark, d)
+    return rounded(frames.before_after_histograms(p, filters.filter_parameter(p, "v", "v", "bounds", 10, 60), ["v"], 10))
+
+
+@query("""WITH pts, n AS (SELECT a.rid, avg(b.v) AS m, stddev_pop(b.v) AS s FROM pts a JOIN pts b ON a.rid <> b.rid AND b.x BETWEEN a.x - 8 AND a.x + 8 AND b.y BETWEEN a.y - 8 AND a.y + 8 AND """ + NEAR + """ <= 64e0 GROUP BY a.rid),
+o AS (SELECT p.rid, x, y FROM pts p JOIN n USING (rid) WHERE NOT v BETWEEN m - 2e0 * s AND m + 2e0 * s ORDER BY rid LIMIT 1)
+SELECT a.rid, b.rid AS nid, b.v FROM o a JOIN pts b ON a.rid <> b.rid AND """ + NEAR + """ <= 64e0""")
+def example_outlier(spark, d):
+    p = points(spark, d)
+    return filters.example_outlier(p, "v", filters.remove_local_outliers(p, "v", "dist", 8, 2.0)[1], 8)
+
+
+@query("WITH pts SELECT rid, v AS y_true, v + CAST(rid % 9 AS DOUBLE) - 4 AS y_pred, round(v - (v + CAST(rid % 9 AS DOUBLE) - 4), 6) + 0e0 AS residual FROM pts")
+def parity_residuals(spark, d):
+    return rounded(frames.parity_residuals(points(spark, d).select("rid", F.col("v").alias("y_true"), F.expr("v + double(rid % 9) - 4").alias("y_pred"))))
+
+
+@query("WITH pts SELECT rid, x, y, yield_mass_dry, elevation FROM (SELECT rid, x, y, v AS yield_mass_dry, z AS elevation FROM pts)")
+def fuzzy_rename(spark, d):
+    raw = points(spark, d).select("rid", "x", "y", F.col("v").alias("Yld_Mass_D"), F.col("z").alias("Elevation_"))
+    return layers.rename_columns_fuzzy(raw, {"yield_mass_dry": ["Yld_Mass_D", "YldMassDry"], "elevation": ["Elevation_", "Elev"]}, exclude=["rid", "x", "y"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points through the percentile and local filters onto a square grid along the main heading."""
     p = filters.filter_parameter(points(spark, sf_dir), "v", "v", "percentile", 0.05, 0.95)

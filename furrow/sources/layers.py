@@ -109,6 +109,12 @@ def cast_to_crs(layers: dict[str, DataFrame], srid: int | None = None) -> dict[s
     return layers
 
 
+def reconciled(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df in the other layer's coordinate system; layers of which one has none are taken to agree."""
+    own, wanted = (srid_of(d) or srid_of(d, "geometry") for d in (df, other))
+    return df if own is None or wanted is None or own == wanted else reproject(df, own, wanted)
+
+
 def load_schema(path: str) -> dict[str, list[str]]:
     """{standard name: [aliases]} from a JSON file."""
     with open(path, encoding="utf-8") as f:

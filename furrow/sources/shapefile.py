@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 #: Kinds of shapes (fixed values of the format): plain, with Z, with M.
 POINTS, LINES, POLYGONS, MULTIPOINTS = (1, 11, 21), (3, 13, 23), (5, 15, 25), (8, 18, 28)
@@ -21,6 +21,7 @@ RECORDS = 50_000
 
 
 def opened(uri: str):
+    # Hadoop writes local files with one slash
     fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
     return fs.open_input_file(path)
 
@@ -159,8 +160,9 @@ class Shapefile(DataSource):
         chosen = self.options.get("columns")
         if chosen is not None:
             fields = [f for f in fields if f[0] in chosen.split(",")]
-        place = _parse_datatype_string("x double, y double" if kind in (*POINTS, *MULTIPOINTS) else "geometry array<array<array<struct<x:double,y:double>>>>")
-        return StructType([StructField("rid", LongType()), *place.fields, *(StructField(n, spark_type(k, d)) for n, k, _, d in fields)])
+        vertex = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
+        place = vertex.fields if kind in (*POINTS, *MULTIPOINTS) else [StructField("geometry", ArrayType(ArrayType(ArrayType(vertex))))]
+        return StructType([StructField("rid", LongType()), *place, *(StructField(n, spark_type(k, d)) for n, k, _, d in fields)])
 
     def reader(self, schema: StructType) -> ShapefileReader:
         return ShapefileReader(schema, dict(self.options))
