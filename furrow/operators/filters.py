@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from furrow.functions import geometry as geo
 from furrow.operators.neighbours import radius_pairs
@@ -125,26 +124,26 @@ def boundary_parts(polygons: DataFrame, geometry: str = "geometry") -> list:
     return [[[(v["x"], v["y"]) for v in ring] for ring in part] for row in polygons.select(geometry).collect() for part in row[0]]
 
 
-def remove_boundary_data(points: DataFrame, trial: DataFrame, zone: float = 0.0, grow: float = 1.0, geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
+def remove_boundary_data(points: DataFrame, trial: DataFrame, zone: float = 0.0, grow: float = 1.0, geometry: str = "geometry", tile: float = 100.0) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): points within the union of the polygons grown by `grow` and then shrunk by `zone`; the edge is inside.
 
-    The grown union's edge is worked out on the driver from the (small) boundary layer; a point is kept if
-    it lies in the grown union and at least `zone` from its edge.
+    A point lies in the grown union if a polygon is at most `grow` away, and stays if no piece of the
+    union's edge is nearer than `zone`. Both are joins by tiles; only the edge, with a zone, is worked out
+    on the driver, from a (small) boundary layer.
     """
-    parts = boundary_parts(trial, geometry)
-    segments = np.array([(*a, *b) for rings in parts for r in rings for a, b in zip(r[:-1], r[1:], strict=True)], float).reshape(-1, 4)
-    edge = region_pieces(parts, grow) if zone else segments
-
-    @F.pandas_udf(T.BooleanType())
-    def within(x: pd.Series, y: pd.Series) -> pd.Series:
-        p = np.stack([x.to_numpy(float), y.to_numpy(float)], 1)
-        if not len(segments):
-            return pd.Series(np.zeros(len(p), bool))
-        inside = np.any([inside_polygon(p, rings) for rings in parts], axis=0) | (distance_to(p, segments) <= grow)
-        return pd.Series(inside & (distance_to(p, edge) >= zone) if zone else inside)
-
-    flagged = points.withColumn("__in", F.coalesce(within("x", "y"), F.lit(False)))
-    return flagged.where("__in").drop("__in"), flagged.where("not __in").drop("__in")
+    from furrow.operators.grid import SAME_TILE, on_tiles, tiled
+
+    grown = tiled(trial.select(geometry), tile, grow, geometry)
+    placed = on_tiles(points.where("x is not null and y is not null").select("rid", "x", "y"), tile)
+    inside = placed.join(grown, F.expr(f"{SAME_TILE} and {geo.distance('x', 'y', geometry)} <= {float(grow)!r}d"), "left_semi")
+    if zone:
+        pieces = region_pieces(boundary_parts(trial, geometry), grow)
+        edge = points.sparkSession.createDataFrame(pd.DataFrame(pieces, columns=["ax", "ay", "bx", "by"]), "ax double, ay double, bx double, by double")
+        reach = lambda a, b: F.explode(F.expr(f"sequence(cast(floor((least({a}, {b}) - {float(zone)!r}d) / {tile!r}d) as bigint), cast(floor((greatest({a}, {b}) + {float(zone)!r}d) / {tile!r}d) as bigint))"))
+        edge = edge.select("*", reach("ax", "bx").alias("__px")).select("*", reach("ay", "by").alias("__py"))
+        near = geo.segment_distance2("x", "y", "struct(ax as x, ay as y)", "struct(bx as x, by as y)")
+        inside = inside.join(edge, F.expr(f"__tx = __px and __ty = __py and {near} < {float(zone) ** 2!r}d"), "left_anti")
+    return split_by(points, inside.select("rid"))
 
 
 def remove_local_outliers(points: DataFrame, value: str, crit: str = "dist", s: float = 15, sd_threshold: float = 2.0) -> tuple[DataFrame, DataFrame]:

@@ -164,8 +164,17 @@ def assign_polygons(polygons: DataFrame, grid: Grid, value: str, geometry: str =
     """The grid's cells with <value>_weighted, the sum of value times the share of the cell that a polygon covers (0 where polygons only touch), and <value>, the plain mean over polygons that meet the cell."""
     cells = grid.cells(polygons.sparkSession) if cells is None else cells
     cx, cy = grid.corner()
-    met = polygon_cells(polygons.select(F.col(value).alias("__v"), F.col(geometry).alias("geometry")), grid).withColumn("cx", F.expr(cx)).withColumn("cy", F.expr(cy))
-    met = met.withColumn("o", geo.overlap("geometry", F.expr(grid.outline()))).where("o.touches")
+    box = geo.bounds("geometry")
+    layer = polygons.select(F.col(value).alias("__v"), F.col(geometry).alias("geometry"))
+    layer = layer.selectExpr("*", *(f"{box[k]} as {k}" for k in box), f"size(flatten(geometry)) = 1 and size(flatten(flatten(geometry))) = 5 and {geo.area('geometry')} = ({box['maxx']} - {box['minx']}) * ({box['maxy']} - {box['miny']}) as upright")
+    met = polygon_cells(layer, grid).withColumn("cx", F.expr(cx)).withColumn("cy", F.expr(cy))
+    # upright rectangles on an upright grid overlap by arithmetic, others by clipping
+    plain = f"upright and {'false' if grid.angle else 'true'}"
+    side = lambda c, s, lo, hi: f"greatest(0d, least({c} + {s!r}d, {hi}) - greatest({c}, {lo}))"
+    native = met.where(plain).withColumn("o", F.expr(f"named_struct('touches', true, 'area', {side('cx', grid.length, 'minx', 'maxx')} * {side('cy', grid.width, 'miny', 'maxy')})"))
+    native = native.where(f"minx <= cx + {grid.length!r}d and maxx >= cx and miny <= cy + {grid.width!r}d and maxy >= cy")
+    clipped = met.where(f"not ({plain})").withColumn("o", geo.overlap("geometry", F.expr(grid.outline()))).where("o.touches")
+    met = native.select("ix", "iy", "__v", "o").unionByName(clipped.select("ix", "iy", "__v", "o"))
     sums = met.groupBy("ix", "iy").agg(F.coalesce(F.sum(F.col("__v") * F.col("o.area") / (grid.length * grid.width)), F.lit(0.0)).alias(f"{value}_weighted"), F.avg("__v").alias(value))
     return cells.join(sums, ["ix", "iy"], "left")
 
@@ -233,17 +242,30 @@ def impute_spatial_mean(cells: DataFrame, columns: list[str], method: str = "roo
     return cells.join(means, "grid_id", "left").withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
+def tiled(polygons: DataFrame, tile: float, margin: float = 0.0, geometry: str = "geometry") -> DataFrame:
+    """polygons copied to the tiles (__px, __py) that their bounds, wider by margin, reach, with the bounds as __x0, __y0, __x1, __y1."""
+    box = geo.bounds(geometry)
+    bounded = polygons.where(f"size(flatten(flatten({geometry}))) > 0").selectExpr("*", *(f"{box[k]} {'-' if k[1] == 'i' else '+'} {float(margin)!r}d as {v}" for k, v in (("minx", "__x0"), ("miny", "__y0"), ("maxx", "__x1"), ("maxy", "__y1"))))
+    reach = lambda a, b: F.explode(F.expr(f"sequence(cast(floor({a} / {tile!r}d) as bigint), cast(floor({b} / {tile!r}d) as bigint))"))
+    return bounded.select("*", reach("__x0", "__x1").alias("__px")).select("*", reach("__y0", "__y1").alias("__py"))
+
+
+def on_tiles(points: DataFrame, tile: float) -> DataFrame:
+    return points.withColumns({f"__t{c}": F.expr(f"cast(floor({c} / {tile!r}d) as bigint)") for c in "xy"})
+
+
+#: A point's tile is a polygon's, and it lies in its bounds: what is cheap to ask comes before the exact test.
+SAME_TILE = "__tx = __px and __ty = __py and x between __x0 and __x1 and y between __y0 and __y1"
+
+
 def join_polygons(points: DataFrame, polygons: DataFrame, geometry: str = "geometry", tile: float = 100.0) -> DataFrame:
     """points with the attributes of each polygon that holds them, edges included; points in none stay with nulls, points in several repeat.
 
     Polygons are copied to the tiles that their bounds reach, points have one tile, and the exact test is the join's residual.
     """
-    box = geo.bounds(geometry)
-    reach = lambda c: F.explode(F.expr(f"sequence(cast(floor({box['min' + c]} / {tile!r}d) as bigint), cast(floor({box['max' + c]} / {tile!r}d) as bigint))"))
-    p = polygons.select("*", reach("x").alias("__px")).select("*", reach("y").alias("__py"))
-    left = points.withColumn("__tx", F.expr(f"cast(floor(x / {tile!r}d) as bigint)")).withColumn("__ty", F.expr(f"cast(floor(y / {tile!r}d) as bigint)"))
-    on = F.expr(f"__tx = __px and __ty = __py and {geo.covers('x', 'y', geometry)}")
-    return left.join(p, on, "left").drop("__tx", "__ty", "__px", "__py", geometry)
+    on = F.expr(f"{SAME_TILE} and {geo.covers('x', 'y', geometry)}")
+    out = on_tiles(points, tile).join(tiled(polygons, tile, geometry=geometry), on, "left")
+    return out.drop("__tx", "__ty", "__px", "__py", "__x0", "__y0", "__x1", "__y1", geometry)
 
 
 def block_key(points: DataFrame, size: float) -> DataFrame:
