@@ -32,6 +32,8 @@ from furrow.llm.common import cut
 from furrow.llm.shingles import pieces, words
 
 FIT_ROWS = 20_000
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 20
 RIDGE = 1.0
 KEEP = 0.5
 
@@ -41,7 +43,7 @@ NAMES = (*KINDS, "length", "word_length", "repeats", "variety", "few")
 
 
 def byte_kinds() -> np.ndarray:
-    kind = np.full(256, KINDS.index("symbol"), np.int64)
+    kind = np.full(256, KINDS.index("symbol"), np.int32)
     for name, members in (("space", b" \t\r\x0b\x0c"), ("line", b"\n"), ("stop", b".,;:'\"()-"), ("mark", b"!?"), ("bar", b"|"), ("digit", b"0123456789")):
         kind[list(members)] = KINDS.index(name)
     kind[65:91], kind[97:123], kind[128:] = KINDS.index("upper"), KINDS.index("lower"), KINDS.index("high")
@@ -60,8 +62,9 @@ def features(texts: pa.Array) -> np.ndarray:
     data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.zeros(0, np.uint8)
     n, size = len(raw), np.diff(offsets)
     counts = np.zeros((n, len(KINDS)))
-    owner = np.repeat(np.arange(n), size)
-    counts += np.bincount(owner * len(KINDS) + BYTE_KINDS[data], minlength=n * len(KINDS)).reshape(n, len(KINDS)) if n else 0
+    if n:
+        cell = np.repeat(np.arange(n, dtype=np.int32) * np.int32(len(KINDS)), size) + BYTE_KINDS[data]
+        counts += np.bincount(cell, minlength=n * len(KINDS)).reshape(n, len(KINDS))
     hashes, first = words(texts)
     many = np.diff(first)
     of = np.repeat(np.arange(n), many)
@@ -86,7 +89,7 @@ def features(texts: pa.Array) -> np.ndarray:
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float64()))])
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, most=PIECE):
             x = features(piece.column("text"))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("rid", "doc_id", "host", "path")), lists], schema=schema)
@@ -95,7 +98,7 @@ def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def feature_list(texts: pd.Series) -> pd.Series:
     """features() beside other columns."""
-    return pd.Series([row for piece in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])) for row in features(piece.column(0))], dtype=object)
+    return pd.Series([row for piece in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), most=PIECE) for row in features(piece.column(0))], dtype=object)
 
 
 def featured(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:

@@ -91,7 +91,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(data, starts, ends), first
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most that many bytes of text, or one row; nulls are left as they are."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
