@@ -46,6 +46,7 @@ BLOCK = 4096
 STEP, WINDOW, PIECE = 128, 1 << 16, 1 << 19
 RATE, LEVEL_RATE, LEVELS = 2.0, 0.5, 24
 END = np.uint64(0x454E44)
+TOP = 20
 GATES = 32
 
 
@@ -92,6 +93,7 @@ class Code:
     """
 
     hashes: np.ndarray
+    buckets: np.ndarray  # where the hashes with each value of the first TOP bits begin
     counts: np.ndarray
     rank: np.ndarray
     offsets: np.ndarray
@@ -152,7 +154,8 @@ def make_code(hashes: np.ndarray, counts: np.ndarray, rare: int) -> Code:
     more, byte_nodes, byte_bits = huffman(byte_weights())
     nodes = np.concatenate([nodes, byte_nodes + len(hashes) + 1]).astype(np.uint32) * np.uint32(0x85EBCA77)
     offsets = np.concatenate([offsets, offsets[-1] + more[1:]])
-    return Code(hashes, counts, rank, offsets, nodes, np.concatenate([bits, byte_bits]), np.diff(offsets))
+    buckets = np.searchsorted(hashes, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP))
+    return Code(hashes, buckets, counts, rank, offsets, nodes, np.concatenate([bits, byte_bits]), np.diff(offsets))
 
 
 @dataclass
@@ -169,7 +172,13 @@ def lookup(code: Code, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbol, known) of tokens."""
     if not len(code.hashes):
         return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(code.hashes, hashes), len(code.hashes) - 1)
+    # hashes are even, so a bucket holds few: step from its begin
+    last = len(code.hashes) - 1
+    at = np.minimum(code.buckets[(hashes >> np.uint64(64 - TOP)).astype(np.int64)], last)
+    behind = np.flatnonzero((code.hashes[at] < hashes) & (at < last))
+    while len(behind):
+        at[behind] += 1
+        behind = behind[(code.hashes[at[behind]] < hashes[behind]) & (at[behind] < last)]
     known = code.hashes[at] == hashes
     return np.where(known, at, len(code.hashes)), known
 
