@@ -6,8 +6,6 @@ positions plus the shift, which needs no window over the whole layer.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,7 +129,3 @@ def robust_pcdi(df: DataFrame, header_width: float, **how) -> tuple[DataFrame, D
     bests = scores.groupBy("iter").agg(F.max(F.struct("rsc", (-F.col("delay")).alias("d"))).alias("m")).agg(F.stddev_pop(-F.col("m.d")).alias("sd_best"))
     summary = best_delay(curve.withColumnRenamed("avg_rsc", "rsc")).crossJoin(bests).withColumn("doubtful", F.col("sd_best") > DOUBTFUL)
     return curve, summary
-
-
-def power_of_two(extent: float, pixel: float) -> int:
-    return int(2 ** math.ceil(math.log2(extent / pixel)))

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -323,10 +322,6 @@ def train_final(df: DataFrame, features: list[str], target: str, estimator) -> M
     return estimator.fit(assembled(df, features, target))
 
 
-def features_array(df: DataFrame) -> DataFrame:
-    return df.withColumn("features", vector_to_array("features"))
-
-
 def predictors(df: DataFrame, excluded: list[str]) -> list[str]:
     """The columns that are not on the list of those which are no features."""
     return [c for c in df.columns if c not in set(excluded)]
