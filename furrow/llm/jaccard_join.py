@@ -214,7 +214,7 @@ def signature_batches(k: int, t: tuple[int, int]):
 
 
 def set_batches(k: int):
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,9 +223,9 @@ def set_batches(k: int):
                 k1, k2 = set_keys(grams, first)
                 sketches = [sketch(grams[first[i] : first[i + 1]]) for i in range(piece.num_rows)]
                 members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(sketches, pa.list_(pa.int64())), members], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column("text_key"), pa.array(k1), pa.array(k2), pa.array(sketches, pa.list_(pa.int64())), members], schema=schema)
 
-    return run, "k1 long, k2 long, sketch array<long>, members array<long>"
+    return run, "text_key long, k1 long, k2 long, sketch array<long>, members array<long>"
 
 
 def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,10 +263,16 @@ def collapsed(rows: DataFrame) -> DataFrame:
     return rows.join(kept, "sig")
 
 
+def only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the wanted classes (one column). While these are few their numbers are broadcast, and other sets never leave their files."""
+    wanted = wanted.toDF("c").distinct()
+    return sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "c", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b), class numbers, those that link."""
-    a = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    b = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb")).join(pairs.select("b").distinct(), "b", "left_semi")
+    """Of the pairs (a, b), class numbers in a table, those that link."""
+    a = only(sets, pairs.select("a")).select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
+    b = only(sets, pairs.select("b")).select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ma", "mb")).cast("long"))
     return both.where(f"{t[1]} * both >= {t[0]} * (na + nb - both)").select("a", "b")
 
@@ -305,9 +311,11 @@ def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple
     wanted = cut(classes.select("text_key").distinct(), "jaccard-texts")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    picked = texts.where("text is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")).select("text")
+    picked = texts.where("text is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     run, schema = set_batches(k)
-    sets = cut(picked.mapInArrow(run, schema).join(classes.select("k1", "k2", "c", "n"), ["k1", "k2"]).dropDuplicates(["c"]).drop("k1", "k2"), "jaccard-sets")
+    # a class has one text, so each class gets one row
+    names = classes.select("text_key", "k1", "k2", "c", "n")
+    sets = cut(picked.mapInArrow(run, schema).join(F.broadcast(names) if few else names, ["text_key", "k1", "k2"]).drop("text_key", "k1", "k2"), "jaccard-sets")
     release(spark)
 
     found, comps, tried = None, None, None
@@ -379,8 +387,8 @@ def linked_components(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARI
     rows = cut(grouped(docs, k, t), "jaccard-groups")
     group = ["g0", "g1", "g2"]
     least = rows.where("g1 is not null").groupBy(*group).agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
-    # most documents are alone: only groups with more than one row meet their rows again
-    out = rows.join(least.where("rows > 1").drop("rows"), group, "left")
+    # most documents are alone: only groups with more than one row meet their rows again, as a table of their own, so that Spark can split a crowded group
+    out = rows.join(cut(least.where("rows > 1").drop("rows"), "jaccard-least"), group, "left")
     alone = F.col("component_id").isNull() & F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -396,6 +404,7 @@ def keep_first(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) ->
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "r1", "r2")
     group = ["g0", "g1", "g2"]
     first = rows.where("g1 is not null").groupBy(*group).agg(F.min(order).alias("o"), F.count("*").alias("rows")).where("rows > 1").select(*group, "o.r1", "o.r2")
+    first = cut(first, "jaccard-first")
     kept = first.select("r1", "r2", F.lit(True).alias("kept"))
     several = rows.join(first.select(*group), group, "left_semi").groupBy("r1", "r2").agg(F.count("*").alias("rows"))
     several = cut(several.join(kept, ["r1", "r2"], "left"), "jaccard-decided")
