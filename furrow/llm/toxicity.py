@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples.
 
-A text's terms are its words and their beginnings of four and six letters; those that mark toxic examples
-make up the vocabulary. Examples and texts are TF-IDF vectors over it. For each text the
-examples with the highest cosine are found exactly: an inverted index keeps its postings in blocks with
-each term's largest weight per block, the sum of a text's weights times these bounds what a block can
-reach, and blocks are opened from the best bound down until no other can beat the k-th result. The
+A text's terms are its words and their beginnings of four and six letters. All terms of the examples make
+up the vocabulary, and examples and texts are TF-IDF vectors over it; a term that occurs more in toxic
+examples weighs 1 + z times as much, z being the z-score of its log odds. For each text the examples with the
+highest cosine are found exactly: the commonest terms' weights are a dense matrix that many texts are
+multiplied with at once, all other terms' come from an inverted index; the k-th best of the blocks' largest
+sums bounds the k-th result from below, and what can reach it is worked out again in double precision.
+(nearest() does the same for one text by block-max bounds, which leave out little where texts are long.) The
 neighbours vote with weights that grow as distance falls, and a logistic curve fitted on the examples
 (each without itself) turns votes into probabilities. Neighbours' ids are the evidence.
 
 Examples are at most EXAMPLES labelled rows, those whose ids have the smallest hashes; only so much is
 collected or broadcast, whatever the corpus. Texts are scored whole, each on its own.
 
-Edge cases: null and empty texts, and texts without a term of the vocabulary, get the share of toxic rows
-among the examples without one; equal vectors are one entry of the index with all their votes; ties at
+Edge cases: null and empty texts, and texts without a term of any example, get the share of toxic rows
+among the examples without terms; equal vectors are one entry of the index with all their votes; ties at
 the k-th place go to the entry that comes first; labels that are null are ignored, of several for one id
 the largest holds; without labels every score is 0.5 - just below it, so nothing is flagged; repeated rows
 get equal scores; an empty table gives an empty result; other columns don't matter, whatever their names.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ from furrow.llm.shingles import BASE, hash_words, mix, pieces, spans
 EXAMPLES = 24_000
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term belongs to the vocabulary from so many examples, if such a share of them is toxic and its log odds have such a z-score; so many terms at most.
-SUPPORT, MARK, APART, TERMS = 4, 0.5, 4.0, 1024
+#: So many of the commonest terms are columns of the dense matrix; so many texts are multiplied with it at once.
+COMMON, TOGETHER = 512, 64
 BEGINNINGS = (4, 6)
 #: Labels of ids with this remainder are held out.
 FOLDS, HELD_OUT = 5, 0
@@ -59,8 +62,8 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, terms, counts) of each text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    """(doc_id, y, terms, counts) of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
     for batch in batches:
         for piece in pieces(batch):
             hashes, of = terms(piece.column("text"))
@@ -69,7 +72,7 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
             counts = np.diff(np.concatenate([new, [len(h)]]))
             first = np.searchsorted(o[new], np.arange(piece.num_rows + 1))
-            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v)) for v in (h[new].view(np.int64), counts.astype(np.int64))]
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v)) for v in (h[new].view(np.int64), counts.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), *lists], schema=schema)
 
 
@@ -98,6 +101,25 @@ class Index:
     prior: float
     blank: float  # probability of a text without terms
     curve: tuple[float, float] = (1.0, 0.0)
+    keys: np.ndarray | None = None  # digests of the entries, sorted
+    counts: np.ndarray | None = None  # how often a posting's entry has the term; tasks work out the weights
+
+    def weigh(self) -> None:
+        """Weights and bounds from counts, in single precision."""
+        length = np.diff(self.starts)
+        self.weights = (1 + np.log(np.maximum(np.arange(int(self.counts.max(initial=1)) + 1), 1))).astype(np.float32)[self.counts] * np.repeat(self.idf.astype(np.float32), length)
+        norms = np.sqrt(np.bincount(self.entries, weights=self.weights * self.weights, minlength=len(self.votes))).astype(np.float32)
+        self.weights /= norms[self.entries]
+        self.bound = (np.maximum.reduceat(self.weights, self.starts[:-1]) if len(self.weights) else np.zeros(0))[:, None]
+
+    def __getstate__(self) -> dict:
+        state = {c: v for c, v in self.__dict__.items() if c not in ("begins", "common")}
+        return state if self.counts is None else state | {"weights": None, "bound": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.counts is not None:
+            self.weigh()
 
     def opened(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries of the blocks that share a term, and their cosines."""
@@ -125,6 +147,56 @@ class Index:
             best_e, best_s = best_e[top], best_s[top]
         return best_e, best_s
 
+    @cached_property
+    def begins(self) -> np.ndarray:
+        """Where each term's postings start, one more at the end."""
+        return self.starts[:: self.blocks]
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """(columns, dense): each term's column or -1, and the weights of the commonest terms, entry x column."""
+        often = np.argsort(-np.diff(self.begins), kind="stable")[:COMMON]
+        columns = np.full(len(self.begins) - 1, -1, np.int64)
+        columns[often] = np.arange(len(often))
+        dense = np.zeros((len(self.votes), len(often)), np.float32)
+        for i, t in enumerate(often):
+            own = slice(self.begins[t], self.begins[t + 1])
+            dense[self.entries[own], i] = self.weights[own]
+        return columns, dense
+
+    def nearest_many(self, first: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As nearest() for many texts: text i has the terms and weights from first[i] to first[i + 1]."""
+        columns, dense = self.common
+        n, m = len(first) - 1, len(self.votes)
+        for a in range(0, n, TOGETHER):
+            b = min(n, a + TOGETHER)
+            asked = np.zeros((b - a, dense.shape[1]))
+            own = slice(first[a], first[b])
+            column, of = columns[t[own]], np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
+            asked[of[column >= 0], column[column >= 0]] = w[own][column >= 0]
+            sums = asked.astype(np.float32) @ dense.T
+            rest, scale = t[own][column < 0], w[own][column < 0]
+            bounds = np.searchsorted(of[column < 0], np.arange(b - a + 1))
+            begin, end = self.begins[rest], self.begins[rest + 1]
+            for i in range(b - a):
+                x, z = bounds[i], bounds[i + 1]
+                part = np.zeros(m)
+                if z > x:
+                    lists = [slice(p, q) for p, q in zip(begin[x:z].tolist(), end[x:z].tolist(), strict=True)]
+                    values = np.concatenate([self.weights[p] for p in lists]) * np.repeat(scale[x:z], end[x:z] - begin[x:z])
+                    part = np.bincount(np.concatenate([self.entries[p] for p in lists]), weights=values, minlength=m)
+                total = part + sums[i]
+                tops = np.maximum.reduceat(total, np.arange(0, m, BLOCK))
+                least = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else 0.0
+                # sums are in single precision: what may be equal is kept
+                found = np.flatnonzero((total >= least - 1e-4) & (total > 0))
+                if len(found) > 4 * k:
+                    least = np.partition(total[found], len(found) - k)[len(found) - k]
+                    found = found[total[found] >= least - 1e-4]
+                exact = part[found] + dense[found].astype(float) @ asked[i]
+                top = np.lexsort((found, -np.round(exact, 9)))[:k]
+                yield found[top], exact[top]
+
     def vote(self, entries: np.ndarray, cosines: np.ndarray, without: tuple[int, int] | None = None) -> float:
         """The toxic share among neighbours by weight of nearness, as a logit; without: an entry and label that don't count once."""
         toxic, votes = self.toxic[entries].astype(float), self.votes[entries].astype(float)
@@ -143,71 +215,76 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * logit + self.curve[1], -30, 30))))
 
 
-def vector(index_terms: np.ndarray, idf: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's known terms and their TF-IDF weights, scaled to length one."""
-    at = np.searchsorted(index_terms, hashes)
-    known = (at < len(index_terms)) & (index_terms[np.minimum(at, len(index_terms) - 1)] == hashes) if len(index_terms) else np.zeros(len(hashes), bool)
-    t = at[known]
-    w = (1 + np.log(counts[known])) * idf[t]
-    return t, w / np.linalg.norm(w) if len(w) else w
-
-
 def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES, k: int = NEIGHBOURS) -> Index | None:
-    """The index of the examples. Term counts are summed up by Spark; what comes to the driver is bounded by TERMS and by `most` short vectors."""
-    # equal texts with equal labels are one example: copies don't make their words marks of a label
+    """The index of the examples. What comes to the driver is bounded by `most` vectors."""
+    # equal texts with equal labels are one example: copies don't make a word common
     texts = training_rows(docs, labels, label, most).groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    rows = cut(texts.select("doc_id", "y", "text").mapInArrow(term_rows, "doc_id long, y long, terms array<long>, counts array<long>"), "toxic-examples")
+    rows = texts.select("doc_id", "y", "text").mapInArrow(term_rows, "doc_id long, y long, terms array<long>, counts array<int>")
+    rows = cut(rows.withColumn("key", F.xxhash64("terms", "counts")), "toxic-examples")
     got = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     n, n1 = got["n"], got["toxic"] or 0
     if not n or not n1 or n1 == n:
         return None
-    odds = F.expr(f"ln((d1 + 0.5d) / ({n1} - d1 + 0.5d)) - ln((d0 + 0.5d) / ({n - n1} - d0 + 0.5d))")
-    df = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0")).where(f"d1 + d0 >= {SUPPORT} and d1 >= {MARK} * (d1 + d0)")
-    df = df.withColumn("z", odds / F.sqrt(F.expr("1 / (d1 + 0.5d) + 1 / (d0 + 0.5d)"))).where(f"z >= {APART}").orderBy(F.desc("z"), "t").limit(TERMS)
-    chosen = df.select("t", (F.col("d1") + F.col("d0")).alias("d")).collect()
-    chosen.sort(key=lambda r: r["t"] % (1 << 64))
-    vocabulary = np.array([r["t"] for r in chosen], np.int64).view(np.uint64)
-    idf = np.log((n + 1) / (np.array([r["d"] for r in chosen], float) + 1)) + 1
-    sparse = cut(rows.mapInArrow(projection(vocabulary, idf), "doc_id long, y long, t array<long>, w array<double>"), "toxic-vectors")
-    blank = sparse.where("size(t) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
-    vectors: dict[tuple, list] = {}
-    for r in sparse.where("size(t) > 0").orderBy("doc_id", "y").collect():
-        e = vectors.setdefault((tuple(r["t"]), tuple(round(w, 12) for w in r["w"])), [0, 0, r["doc_id"]])
-        e[0] += r["y"]
-        e[1] += 1
-    # entries with the same leading terms stand together, which keeps the blocks' bounds tight
-    keys = sorted(vectors, key=lambda v: [v[0][i] for i in np.argsort(-np.array(v[1]), kind="stable")])
-    blocks = max(1, -(-len(keys) // BLOCK))
-    post = sorted((t, i, w) for i, v in enumerate(keys) for t, w in zip(*v, strict=True))
-    t, e, w = (np.array([p[j] for p in post]) for j in range(3)) if post else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    bound = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(bound, (t.astype(np.int64), e.astype(np.int64) // BLOCK), w)
-    starts = np.searchsorted(t * blocks + e // BLOCK, np.arange(len(vocabulary) * blocks + 1))
-    toxic, votes, ids = (np.array([vectors[v][j] for v in keys], np.int64) for j in range(3))
-    index = Index(vocabulary, idf, blocks, bound, starts, e.astype(np.int64), w, toxic, votes, ids, n1 / n, (blank["toxic"] + n1 / n) / (blank["n"] + 1))
+    blank = rows.where("size(terms) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    index = index_of(rows.where("size(terms) > 0").toArrow(), n, n1, n1 / n, (blank["toxic"] + n1 / n) / (blank["n"] + 1))
     # calibration on the examples, each without its own vote
-    told = sparse.where("size(t) > 0").mapInArrow(votes_of(docs.sparkSession.sparkContext.broadcast(index), k), "y long, logit double").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    told = rows.where("size(terms) > 0").mapInArrow(votes_of(shared, k), "y long, logit double").toArrow()
+    shared.destroy()
     if told.num_rows:
         slope, offset = fit(told.column("logit").to_numpy()[:, None], told.column("y").to_numpy().astype(float))
         index.curve = (float(slope[0]), offset) if slope[0] > 0 else (1.0, 0.0)
     return index
 
 
-def projection(vocabulary: np.ndarray, idf: np.ndarray):
-    """Examples as vectors over the vocabulary: numbers of terms, in order, and weights."""
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("t", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ts, ws = [], []
-            for hashes, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
-                t, w = vector(vocabulary, idf, hashes.values.to_numpy().view(np.uint64), counts.values.to_numpy())
-                order = np.argsort(t)
-                ts.append(t[order])
-                ws.append(w[order])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(ts, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.float64()))], schema=schema)
-
-    return run
+def index_of(table: pa.Table, n: int, n1: int, prior: float, blank: float) -> Index:
+    """The index of examples (key, y, doc_id, terms, counts); equal vectors, which have equal keys, are one entry. n, n1: examples and toxic ones in all."""
+    keys, once, place = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
+    votes = np.bincount(place)
+    toxic = np.bincount(place, weights=table.column("y").to_numpy()).astype(np.int64)
+    ids = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(ids, place, table.column("doc_id").to_numpy())
+    if len(once) < len(place):
+        table, place = table.take(np.sort(once)), place[np.sort(once)]
+    of = np.repeat(place.astype(np.int32), pc.list_value_length(table.column("terms")).to_numpy())
+    hashes, counts = (pc.list_flatten(table.column(c)).to_numpy() for c in ("terms", "counts"))
+    del table
+    hashes = hashes.view(np.uint64)
+    vocabulary = np.unique(hashes)
+    t = np.empty(len(hashes), np.int32)
+    for a in range(0, len(t), 1 << 20):
+        t[a : a + (1 << 20)] = np.searchsorted(vocabulary, hashes[a : a + (1 << 20)])
+    del hashes
+    d, d1 = (np.bincount(t, weights=x[of], minlength=len(vocabulary)) for x in (votes, toxic))
+    d0 = d - d1
+    odds = np.log((d1 + 0.5) / (n1 - d1 + 0.5)) - np.log((d0 + 0.5) / (n - n1 - d0 + 0.5))
+    marks = 1 + np.maximum(0, odds / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)))
+    idf = (np.log((n + 1) / (d + 1)) + 1) * marks
+    starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(vocabulary)))])
+    # postings in order of terms and entries; sorted as numbers in place, as the driver has little room
+    m, c = len(keys), int(counts.max(initial=1)) + 1
+    post = t.astype(np.int64)
+    post *= m
+    post += of
+    post *= c
+    post += counts
+    del t, of
+    post.sort()
+    counts = (post % c).astype(np.min_scalar_type(c))
+    post //= c
+    post %= m
+    entries = post.astype(np.min_scalar_type(m))
+    return Index(vocabulary, idf, 1, np.zeros((0, 1)), starts, entries, np.zeros(0), toxic, votes, ids, prior, blank, keys=keys, counts=counts)
+
+
+def vectors(index: Index, n: int, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, terms, weights) of n texts: their known terms, weights scaled to length one. of, hashes: each text's different terms, in order of texts."""
+    at = np.minimum(np.searchsorted(index.vocabulary, hashes), max(0, len(index.vocabulary) - 1))
+    known = index.vocabulary[at] == hashes if len(index.vocabulary) else np.zeros(len(hashes), bool)
+    t, of = at[known], of[known]
+    w = (1 + np.log(counts[known])) * index.idf[t]
+    w /= np.sqrt(np.bincount(of, weights=w * w, minlength=n))[of]
+    return np.searchsorted(of, np.arange(n + 1)), t, w
 
 
 def votes_of(index, k: int):
@@ -216,11 +293,11 @@ def votes_of(index, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, logits = batch.column("y").to_pylist(), []
-            for t, w, y in zip(batch.column("t"), batch.column("w"), ys, strict=True):
-                entries, cosines = index.value.nearest(t.values.to_numpy(), w.values.to_numpy(), k)
-                own = np.flatnonzero(cosines > 1 - 1e-9)
-                logits.append(index.value.vote(entries, cosines, without=(int(entries[own[0]]), y) if len(own) else None))
+            ys, own = batch.column("y").to_pylist(), np.searchsorted(index.value.keys, batch.column("key").to_numpy())
+            of = np.repeat(np.arange(len(ys)), batch.column("terms").value_lengths().to_numpy())
+            hashes, counts = (batch.column(c).flatten().to_numpy() for c in ("terms", "counts"))
+            found = index.value.nearest_many(*vectors(index.value, len(ys), of, hashes.view(np.uint64), counts), k)
+            logits = [index.value.vote(*got, without=(int(e), y)) for got, e, y in zip(found, own, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int64()), pa.array(logits, pa.float64())], schema=schema)
 
     return run
@@ -228,7 +305,7 @@ def votes_of(index, k: int):
 
 def score(docs: DataFrame, index: Index | None, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples, at most k) for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,17 +318,14 @@ def score(docs: DataFrame, index: Index | None, k: int = NEIGHBOURS) -> DataFram
                     continue
                 scores, evidence = np.full(n, index.blank), [[] for _ in range(n)]
                 hashes, of = terms(piece.column("text"))
-                at = np.searchsorted(index.vocabulary, hashes)
-                known = (at < len(index.vocabulary)) & (index.vocabulary[np.minimum(at, len(index.vocabulary) - 1)] == hashes) if len(index.vocabulary) else np.zeros(len(hashes), bool)
-                cells, counts = np.unique(of[known] * len(index.vocabulary) + at[known], return_counts=True)
-                rows = cells // max(1, len(index.vocabulary))
-                first = np.searchsorted(rows, np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(first)):
-                    t = cells[first[i] : first[i + 1]] % len(index.vocabulary)
-                    w = (1 + np.log(counts[first[i] : first[i + 1]])) * index.idf[t]
-                    entries, cosines = index.nearest(t, w / np.linalg.norm(w), k)
-                    scores[i] = index.probability(index.vote(entries, cosines))
-                    evidence[i] = index.evidence[entries].tolist()
+                different, number = np.unique(hashes, return_inverse=True)
+                cells, counts = np.unique(of * max(1, len(different)) + number, return_counts=True)
+                rows, number = np.divmod(cells, max(1, len(different)))
+                first, t, w = vectors(index, n, rows, different[number], counts)
+                for i, (entries, cosines) in enumerate(index.nearest_many(first, t, w, k)):
+                    if len(entries):
+                        scores[i] = index.probability(index.vote(entries, cosines))
+                        evidence[i] = index.evidence[entries].tolist()
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")

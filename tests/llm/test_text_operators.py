@@ -329,6 +329,33 @@ def test_toxicity_finds_marks_and_leaves_clean_texts(docs, spark, odd, nothing,
     assert toxicity.classify(odd, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_rare_insults_and_clean_examples_are_neighbours(docs, labels):
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(60)]
+    insults = ["".join(r.choices("uvwxyz", k=4)) for _ in range(10)]  # each in four toxic examples at most
+    texts = [" ".join([*r.choices(words, k=12), *([insults[i // 5 % 10]] * 3 if i % 5 == 0 else [])]) for i in range(300)]
+    got = {x["doc_id"]: x for x in toxicity.classify(docs(texts), labels).collect()}
+    assert all(len(got[i]["evidence"]) == toxicity.NEIGHBOURS for i in got)
+    for i in range(200, 300, 5):
+        assert insults[i // 5 % 10] in texts[got[i]["evidence"][0]]
+    assert np.mean([got[i]["predicted"] == (i % 5 == 0) for i in range(200, 300)]) > 0.9
+
+
+def test_many_texts_at_once_have_the_same_neighbours():
+    rng = np.random.default_rng(3)
+    m, terms, k = 700, 900, 7
+    x = rng.integers(1, 9, (m, terms)) * (rng.random((m, terms)) < 0.05)
+    rows = [{"key": i, "y": i % 2, "doc_id": i, "terms": np.flatnonzero(v).tolist(), "counts": v[v > 0].tolist()} for i, v in enumerate(x)]
+    index = toxicity.index_of(pa.Table.from_pylist(rows, pa.schema([*((c, pa.int64()) for c in ("key", "y", "doc_id")), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])), m, m // 2, 0.5, 0.5)
+    index.weigh()
+    of, t = np.nonzero(x[:100])
+    first, t, w = toxicity.vectors(index, 100, of, t.astype(np.uint64), x[:100][x[:100] > 0])
+    for i, (got, cosines) in enumerate(index.nearest_many(first, t, w, k)):
+        want, best = index.nearest(t[first[i] : first[i + 1]], w[first[i] : first[i + 1]], k)
+        assert got.tolist() == want.tolist() and np.allclose(cosines, best, atol=1e-7)
+        assert got[0] == i
+
+
 def test_word_hashes_follow_the_words():
     texts = ["A b\tc  É", "", "a B", " x ", " ", "É"]
     h, first = shingles.words(pa.array(texts))
