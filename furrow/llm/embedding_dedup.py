@@ -4,7 +4,9 @@ Equal vectors are one class with a multiplicity. A neighbour graph over the clas
 tables of random hyperplanes (buckets cut into chunks of bounded size, neighbours within a chunk), and is
 refined: what two vectors have in common as a neighbour is compared, and each list keeps the best. A list
 whose members all reach the threshold is saturated and gets twice the room. When lists hardly change any
-more, edges at the threshold join classes into components. Links run within components, so the last
+more, edges at the threshold join classes into components. A list that ends up saturated says nothing
+of what lies beyond it, so each component with such a list is compared exactly with all vectors
+outside that its tiles' centroids and radii don't rule out. Links run within components, so the last
 step compares each component's members by tiles and counts, in double precision: lists bound what the
 search finds, not what is counted, and no pairs leave a tile.
 
@@ -180,14 +182,93 @@ def link_counts(labelled: DataFrame, dim: int, threshold: float) -> DataFrame:
     return met.select("a", "b").mapInArrow(run, schema).groupBy("c").agg(F.sum("links").alias("links"))
 
 
+def centroid_batches(dim: int):
+    """(comp, tile, centre, radius): each tile's middle and the widest angle of its vectors from it."""
+    schema = pa.schema([("comp", pa.int64()), ("tile", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, x, first = lists(batch.column("v"), dim)
+            centres, radii = [], []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                middle = x[a:b].sum(0)
+                size = np.linalg.norm(middle)
+                middle = middle / size if size > 1e-6 else x[a]
+                centres.append(middle.tolist())
+                radii.append(float(np.arccos(np.clip(x[a:b] @ middle, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("tile"), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], schema=schema)
+
+    return run, "comp long, tile long, centre array<double>, radius double"
+
+
+def reach_batches(dim: int, threshold: float):
+    """Rows hold a block of vectors (c, x, comp) and a tile's centre and radius: the vectors of other components that may reach the tile."""
+    schema = pa.schema([("comp", pa.int64()), ("tile", pa.int64()), ("c", pa.int64())])
+    most = float(np.arccos(threshold)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, comp, tile, centre, radius in zip(batch.column("v"), batch.column("comp").to_pylist(), batch.column("tile").to_pylist(), batch.column("centre").to_pylist(), batch.column("radius").to_pylist(), strict=True):
+                c, x, _ = lists(pa.ListArray.from_arrays([0, len(v.values)], v.values), dim)
+                near = np.arccos(np.clip(x @ np.array(centre), -1, 1)) - radius <= most
+                own = c[near & (v.values.field("comp").to_numpy() != comp)]
+                yield pa.RecordBatch.from_arrays([pa.array([comp] * len(own), pa.int64()), pa.array([tile] * len(own), pa.int64()), pa.array(own, pa.int64())], schema=schema)
+
+    return run, "comp long, tile long, c long"
+
+
+def cross_batches(dim: int, threshold: float):
+    """Rows hold a tile b and vectors a (c, x, comp) of other components: a component of a each with one of b's, where any vectors link."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, comp in zip(batch.column("a"), batch.column("b"), batch.column("comp").to_pylist(), strict=True):
+                _, xa, _ = lists(pa.ListArray.from_arrays([0, len(a.values)], a.values), dim)
+                _, xb, _ = lists(pa.ListArray.from_arrays([0, len(b.values)], b.values), dim)
+                other = np.unique(a.values.field("comp").to_numpy()[((xa @ xb.T) >= threshold).any(1)])
+                yield pa.RecordBatch.from_arrays([pa.array(other, pa.int64()), pa.array([comp] * len(other), pa.int64())], schema=schema)
+
+    return run, "u long, v long"
+
+
+def settled(own: DataFrame, graph: DataFrame, found: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
+    """found (node, component) with components joined that full lists may have kept apart, and what links to them."""
+    full = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("s").alias("s")).where(f"k >= {LIST} and s >= {threshold}")
+    hot = full.join(found, full.u == found.node).select(F.col("component").alias("comp")).distinct()
+    every = own.join(found, own.c == found.node, "left").select(F.coalesce("component", "c").alias("comp"), "c", "x")
+    every = cut(every, "vector-all")
+    crowded = every.join(hot, "comp")
+    sizes = crowded.groupBy("comp").agg(F.count("*").alias("size"))
+    tiles = crowded.join(sizes, "comp").withColumn("tile", F.expr(f"pmod(xxhash64(c), cast(ceil(size / {TILE}) as long))"))
+    tiles = cut(tiles.groupBy("comp", "tile").agg(F.collect_list(F.struct("c", "x")).alias("v")), "vector-crowded")
+    if not tiles.take(1):
+        return found
+    run, schema = centroid_batches(dim)
+    centres = cut(tiles.mapInArrow(run, schema), "vector-centres")
+    blocks = every.groupBy(F.expr(f"pmod(xxhash64(c, 3), {math.ceil(n / TILE)})").alias("block")).agg(F.collect_list(F.struct("c", "x", "comp")).alias("v")).select("v")
+    run, schema = reach_batches(dim, threshold)
+    asked = cut(blocks.crossJoin(centres).mapInArrow(run, schema), "vector-asked")
+    many = asked.groupBy("comp", "tile").agg(F.count("*").alias("many"))
+    asked = asked.join(many, ["comp", "tile"]).withColumn("part", F.expr(f"pmod(xxhash64(c, 5), cast(ceil(many / {TILE}) as long))"))
+    asked = asked.join(every.withColumnRenamed("comp", "other"), "c").groupBy("comp", "tile", "part").agg(F.collect_list(F.struct("c", "x", F.col("other").alias("comp"))).alias("a"))
+    run, schema = cross_batches(dim, threshold)
+    met = asked.join(tiles.withColumnRenamed("v", "b"), ["comp", "tile"]).select("a", "b", "comp").mapInArrow(run, schema)
+    links = cut(met.distinct(), "vector-cross")
+    if not links.take(1):
+        return found
+    joined = components(links).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+    return cut(every.join(joined, "comp", "left").join(found.select("node"), F.col("c") == F.col("node"), "left").where("node is not null or whole is not null").select(F.col("c").alias("node"), F.coalesce("whole", "comp").alias("component")), "vector-settled")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
     members, classes = classes_of(vectors)
     comps = counts = None
     for dim, n in [(r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()]:
         own = classes.where(F.col("dim") == dim)
-        edges = neighbour_graph(own, dim, n, threshold).where(f"s >= {threshold}").select("u", "v")
-        found = components(edges)
+        graph = neighbour_graph(own, dim, n, threshold)
+        found = settled(own, graph, components(graph.where(f"s >= {threshold}").select("u", "v")), dim, n, threshold)
         labelled = own.join(found, own.c == found.node).select(F.col("component").alias("comp"), "c", "x", "m")
         linked = link_counts(labelled, dim, threshold)
         comps = found if comps is None else comps.unionByName(found)

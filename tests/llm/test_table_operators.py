@@ -96,6 +96,19 @@ def test_links_match_brute_force(spark):
     assert audit["queries"] == len(range(0, len(x), 20)) and audit["recall"] == 1
 
 
+def test_full_lists_keep_no_clusters_apart(spark):
+    """Two tight clusters that link with each other; each vector's list is full of its own cluster's."""
+    rng = np.random.default_rng(4)
+    a, b = np.eye(64)[:2]
+    angle = np.arccos(0.965)
+    x = np.concatenate([c + rng.normal(0, 0.0088, (300, 64)) for c in (a, np.cos(angle) * a + np.sin(angle) * b)])
+    links, comp = plain_links(x)
+    assert set(comp) == {0} and links.min() > 400
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(vectors(spark, x)).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == links.tolist()
+    assert sum(r["kept"] for r in got.values()) == 1
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     df = vectors(spark, [None, [], [0, 0], [nan, 1], [inf, 1], [None, 1], [1, 0], [1, 0], [2, 0, 0], [1, 0], [3e38, 0]], [0, 1, 2, 3, 4, 5, 6, 7, 8, None, 10])
