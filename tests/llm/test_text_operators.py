@@ -238,6 +238,16 @@ def test_probabilities_add_up_and_order_matters(docs):
     assert scores[30] > scores[31] and scores[30] > -40
 
 
+def test_long_texts_go_on_learning():
+    """Bits that the tables predict wrongly: each of 240,000 bits costs little once the weights have learnt."""
+    n = 240_000
+    tables = [np.full(1, (-256 << 2) | 3, "<i2") for _ in range(3)]
+    values = np.concatenate([np.zeros(n // 2, np.uint8), np.ones(n // 2, np.uint8)])
+    bits = lm_scoring.Bits(values, [np.zeros(n, np.int64) for _ in range(3)], np.zeros(n, bool), np.array([0, n]))
+    score = lm_scoring.mixed(bits, tables, lm_scoring.first_weights()[None].copy(), np.zeros((1, lm_scoring.LEVELS), np.float32))
+    assert score[0] > -2000
+
+
 def test_huffman_is_a_prefix_code():
     offsets, nodes, bits = lm_scoring.huffman(np.array([5, 9, 1, 1, 30, 2]))
     codes = ["".join(map(str, bits[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
