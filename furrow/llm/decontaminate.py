@@ -10,8 +10,8 @@ Items shorter than a window are one window of their own length; their hash over
 fingerprint (no k-gram is left out), the rest is the same.
 
 Edge cases: null and empty texts have no words, and so neither hits nor windows; repeated rows and equal
-texts each get the same result; null ids stay null; items without words or with a null id don't count; an
-empty benchmark hits nothing; other columns are ignored, whatever their names.
+texts each get the same result; null ids stay null; items without words don't
+count, those with a null id count as hits but are in no list of ids; an empty benchmark hits nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def windows_at(hits: str, prints: str, words: str, window: int) -> str:
 
 def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
     """(item_id, length, fingerprint, passage): each different window of each item."""
-    rows = items.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    rows = items.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
     long = rows.where(f"size(words) >= {window}").select(
         "item_id",
         F.lit(window).alias("length"),

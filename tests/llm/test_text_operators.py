@@ -197,6 +197,11 @@ def test_decontamination_matches_brute_force(docs, items, spark):
     assert clean == {i for i in got if not got[i]["n_hit"]}
 
 
+def test_items_without_an_id_hit(docs, items):
+    got = decontaminate.contamination(docs(["so no number here is clean", "nothing of it"]), items).orderBy("doc_id").collect()
+    assert [(x["n_hit"], x["item_ids"]) for x in got] == [(3, []), (0, [])]
+
+
 def test_decontamination_is_native(docs, items):
     plan = decontaminate.contamination(docs(["a b c"]), items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
