@@ -361,7 +361,7 @@ def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) ->
 
 
 def score_batches(code, tables):
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
     start = first_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,13 +390,13 @@ def score_batches(code, tables):
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(size), pa.array(np.bincount(of, weights=known, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(of, weights=logs[symbols] * known, minlength=n)), pa.array(score),
+                        pa.array(np.bincount(of, weights=logs[symbols] * known, minlength=n)), pa.array(score), pc.binary_length(pc.fill_null(piece.column("text"), "")).cast(pa.int64()),
                         pa.ListArray.from_arrays(tail_first, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(tail_first, pa.array(np.diff(np.concatenate([new, [len(h)]])).astype(np.int64))),
                     ],
                     schema=schema,
                 )
 
-    return run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, score double, tail array<long>, times array<long>"
+    return run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, score double, n_bytes long, tail array<long>, times array<long>"
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -433,7 +433,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, tuple[int, int], Code, list]:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes for every row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte (null where there are no bytes) for every row of docs."""
     held_out = crc_mod(F.col("doc_id").cast("long"), FOLDS) == HELD_OUT
     context = docs.sparkSession.sparkContext
     counts, (n, v), code, tables = train(docs.where(~held_out).select("text"))
@@ -444,4 +444,4 @@ def score(docs: DataFrame) -> DataFrame:
     tail = tail.join(counts, "h").groupBy("rid").agg(F.sum("m").alias("n_tail"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("logs"))
     out = scored.drop("tail", "times").join(tail, "rid", "left")
     base = F.col("head") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", F.expr("if(n_bytes > 0, -score / log10(2d) / n_bytes, null)").alias("bits_per_byte"))

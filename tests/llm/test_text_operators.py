@@ -259,6 +259,13 @@ def test_huffman_is_a_prefix_code():
     assert sum(2.0 ** -len(c) for c in codes) == 1 and not any(a != b and b.startswith(a) for a in codes for b in codes)
 
 
+def test_bits_per_byte(docs):
+    texts = ["the cat", "", None, "Éa b"]
+    got = {x["doc_id"]: x for x in lm_scoring.score(docs(texts)).collect()}
+    assert [got[i]["n_bytes"] for i in range(4)] == [7, 0, 0, 5]
+    assert got[1]["bits_per_byte"] is None and got[0]["bits_per_byte"] == pytest.approx(-got[0]["score"] / log10(2) / 7)
+
+
 def test_lm_odd_tables(odd, nothing):
     assert lm_scoring.score(odd).where("score is null or score > 0").count() == 0 and lm_scoring.score(odd).count() == 9
     assert lm_scoring.score(nothing).count() == 0
