@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset (tests on one machine).
+#: Used only where spark.checkpoint.dir is unset and the master is local (tests on one machine).
 LOCAL_SHARED = "/tmp/furrow-shared"
 
+#: What holds while an intermediate table is written: its shuffle files go as soon as it is whole, and Python workers get rows in small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{LOCAL_SHARED}"
     if "://" not in base and base.startswith("/"):
         base = f"file://{base}"
     return base.rstrip("/")
@@ -22,15 +30,38 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while; then they are what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df in the shared folder and read it again: the lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more, rather than at the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(*tables: DataFrame | None) -> None:
+    """Delete what cut() wrote for tables that no plan reads any more."""
+    for t in tables:
+        path = getattr(t, "cut_path", None) if t is not None else None
+        if path:
+            spark = t.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
