@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import ascii_lower, cut
+from furrow.llm.common import ascii_lower, cut, whole
 
 WINDOW, K = 10, 5
 #: Everything below 0x80 but digits and letters parts words.
@@ -131,9 +131,9 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, most: float = 0.0, window: int = WINDOW, k: int = K) -> DataFrame:
     """The rows of docs of whose words at most that share is hit, with all their columns."""
     found = overlaps(docs, items, window, k)
-    found = found.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"))
+    found = found.select("key", "n_hit")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    named = docs.withColumn("__key", F.md5(F.col("text").cast("binary"))).join(found, "__key", "left")
+    named = docs.select(whole(docs).alias("doc"), F.md5(F.col("text").cast("binary")).alias("key")).join(found, "key", "left")
     # words are counted only where there are hits
-    return named.where(F.when(F.col("__hit").isNull(), True).otherwise(F.col("__hit") <= F.size(words_of(F.col("text"))) * F.lit(most))).select(docs.columns)
+    return named.where(F.when(F.col("n_hit").isNull(), True).otherwise(F.col("n_hit") <= F.size(words_of(F.col("doc.text"))) * F.lit(most))).select("doc.*")

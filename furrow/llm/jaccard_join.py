@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import cut, release
+from furrow.llm.common import cut, drop, whole
 from furrow.llm.graph import components
 from furrow.llm.shingles import BASE, mix, pieces, set_keys, shingles
 
@@ -180,7 +180,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def class_batches(k: int, t: tuple[int, int]):
-    schema = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("spare", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("spare", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +188,9 @@ def class_batches(k: int, t: tuple[int, int]):
                 grams, first = shingles(piece.column("text"), k)
                 k1, k2 = set_keys(grams, first)
                 _, _, spare = signatures(grams, first, t)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "r1", "r2", "text_key")), *(pa.array(v) for v in (np.diff(first), k1, k2, spare))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "r1", "r2", "t1", "t2")), *(pa.array(v) for v in (np.diff(first), k1, k2, spare))], schema=schema)
 
-    return run, "doc_id long, r1 long, r2 long, text_key long, n long, k1 long, k2 long, spare long"
+    return run, "doc_id long, r1 long, r2 long, t1 long, t2 long, n long, k1 long, k2 long, spare long"
 
 
 def signature_batches(k: int, t: tuple[int, int]):
@@ -214,7 +214,7 @@ def signature_batches(k: int, t: tuple[int, int]):
 
 
 def set_batches(k: int):
-    schema = pa.schema([("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,9 +223,9 @@ def set_batches(k: int):
                 k1, k2 = set_keys(grams, first)
                 sketches = [sketch(grams[first[i] : first[i + 1]]) for i in range(piece.num_rows)]
                 members = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("text_key"), pa.array(k1), pa.array(k2), pa.array(sketches, pa.list_(pa.int64())), members], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column("t1"), piece.column("t2"), pa.array(k1), pa.array(k2), pa.array(sketches, pa.list_(pa.int64())), members], schema=schema)
 
-    return run, "text_key long, k1 long, k2 long, sketch array<long>, members array<long>"
+    return run, "t1 long, t2 long, k1 long, k2 long, sketch array<long>, members array<long>"
 
 
 def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,34 +289,33 @@ def labels_of(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, edges). members: doc_id, r1, r2 (two hashes of the row), n_shingles, k1, k2 (digests of the set), and c, the class's number, where it may have links; edges: links (u, v) between classes that join up all linked classes."""
-    spark = docs.sparkSession
-    texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "r1", "r2", "text", F.xxhash64("text").alias("text_key"))
+    texts = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "r1", "r2", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(11), "text").alias("t2"))
     run, schema = class_batches(k, t)
     members = cut(texts.mapInArrow(run, schema), "jaccard-members")
     run, schema = signature_batches(k, t)
     sigs = docs.select("text").where("text is not null").mapInArrow(run, schema).repartition("sig").sortWithinPartitions("sig", "k1")
     shared = cut(sigs.mapInArrow(shared_batches, schema), "jaccard-shared")
-    release(spark)
     # a set shares more than `spare` signatures with each partner, so one with no more shared at all has none
     held = shared.groupBy("k1").agg(F.count("*").alias("held"))
-    classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min("spare").alias("spare"))
-    classes = cut(classes.join(held, "k1").where("held > spare").drop("held").withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = members.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.min("spare").alias("spare"))
+    classes = cut(classes.join(held, "k1").where("held > spare").select("k1", "k2", "t.t1", "t.t2", "n", "spare").withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
     few = classes.count() <= BROADCAST_ROWS
     alive = classes.select("k1", "c", "spare")
-    rows = cut(shared.join(F.broadcast(alive) if few else alive, "k1").select("sig", "c", "spare"), "jaccard-rows")
-    rows = cut(collapsed(rows), "jaccard-rows")
-    classes = cut(classes.join(rows.select("c").distinct(), "c", "left_semi"), "jaccard-classes")
-    release(spark)
+    every = cut(shared.join(F.broadcast(alive) if few else alive, "k1").select("sig", "c", "spare"), "jaccard-rows")
+    drop(shared)
+    rows = cut(collapsed(every), "jaccard-rows")
+    drop(every)
+    held, classes = classes, cut(classes.join(rows.select("c").distinct(), "c", "left_semi"), "jaccard-classes")
+    drop(held)
     # the sets that are left, from one text for each
-    wanted = cut(classes.select("text_key").distinct(), "jaccard-texts")
+    wanted = cut(classes.select("t1", "t2").distinct(), "jaccard-texts")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    picked = texts.where("text is not null").join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    picked = texts.where("text is not null").join(wanted, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     run, schema = set_batches(k)
     # a class has one text, so each class gets one row
-    names = classes.select("text_key", "k1", "k2", "c", "n")
-    sets = cut(picked.mapInArrow(run, schema).join(F.broadcast(names) if few else names, ["text_key", "k1", "k2"]).drop("text_key", "k1", "k2"), "jaccard-sets")
-    release(spark)
+    names = classes.select("t1", "t2", "k1", "k2", "c", "n")
+    sets = cut(picked.mapInArrow(run, schema).join(F.broadcast(names) if few else names, ["t1", "t2", "k1", "k2"]).drop("t1", "t2", "k1", "k2"), "jaccard-sets")
 
     found, comps, tried = None, None, None
     weight = rows.groupBy("c").agg(F.sum("w").alias("held"))
@@ -336,7 +335,6 @@ def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple
         pairs = cut(pairs, "jaccard-star")
         new = cut(verified(sketched(pairs, sets, t), sets, t), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        release(spark)
         if not new.count():
             break
         found = new if found is None else found.unionByName(new)
@@ -353,7 +351,6 @@ def links(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) -> tuple
         pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     new = cut(verified(cut(pairs, "jaccard-open-pairs"), sets, t), "jaccard-links")
     found = new if found is None else found.unionByName(new)
-    release(spark)
     members = members.join(classes.select("k1", "k2", "c"), ["k1", "k2"], "left").select("doc_id", "r1", "r2", F.col("n").alias("n_shingles"), "k1", "k2", "c")
     return members, found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -411,10 +408,9 @@ def keep_first(docs: DataFrame, k: int = K, t: tuple[int, int] = SIMILARITY) ->
     dropped, repeated = several.where("kept is null").select("r1", "r2"), several.where("kept and rows > 1").select("r1", "r2")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    named = docs.withColumn("__r1", F.xxhash64("doc_id", "text")).withColumn("__r2", F.xxhash64(F.lit(3), "text", "doc_id"))
-    on = lambda keys: [F.col("__r1") == keys.r1, F.col("__r2") == keys.r2]
-    out = named.join(dropped, on(dropped), "left_anti")
+    row = ["r1", "r2"]
+    out = docs.select(whole(docs).alias("doc"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "text", "doc_id").alias("r2")).join(dropped, row, "left_anti")
     if repeated.count():
-        again = out.join(repeated, on(repeated), "left_semi").dropDuplicates(["__r1", "__r2"])
-        out = out.join(repeated, on(repeated), "left_anti").unionByName(again)
-    return out.select(docs.columns)
+        again = out.join(repeated, row, "left_semi").groupBy(row).agg(F.first("doc").alias("doc")).select("doc", *row)
+        out = out.join(repeated, row, "left_anti").unionByName(again)
+    return out.select("doc.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import cut
+from furrow.llm.common import cut, whole
 
 #: Target weights of the domains, and the share of the corpus's tokens to be drawn.
 WEIGHTS = {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}
@@ -94,15 +94,13 @@ def limits(rows: DataFrame) -> DataFrame:
     Each level sums up buckets of the next two hexadecimal digits and goes on in the first bucket that doesn't fit.
     """
     leaf = list(LEVELS)
-    inside, prefix = rows, F.lit("")
-    state = None
+    inside = rows
     for level in range(2):
         bucket = F.substring("h", 2 * level + 1, 2)
         sums = inside.groupBy(*leaf, bucket.alias("b")).agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest"))
         run = F.sum("t").over(Window.partitionBy(*leaf).orderBy("b"))
         sums = sums.withColumn("run", run)
         over = sums.where("run > rest").groupBy(*leaf).agg(F.min(F.struct("b", (F.col("rest") - F.col("run") + F.col("t")).alias("left"))).alias("first")).select(*leaf, F.col("first.b").alias("b"), F.col("first.left").alias("left"))
-        state = over if state is None else state
         inside = cut(inside.join(over, leaf).where(bucket == F.col("b")).drop("b", "rest").withColumnRenamed("left", "rest"), "mix-bucket")
     run = F.sum("n_tokens").over(Window.partitionBy(*leaf, F.substring("h", 1, 4)).orderBy("h"))
     return inside.withColumn("run", run).where("run > rest").groupBy(*leaf).agg(F.min("h").alias("limit"))
@@ -133,13 +131,11 @@ def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     return out.select("doc_id", "domain", F.col("language").alias("lang"), F.col("origin").alias("source"), "n_tokens", "copies")
 
 
-def select(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns, and __copies. The narrow plan meets them; texts aren't shuffled while it is small."""
+def select(docs: DataFrame, seed: int = SEED, copies: str = "copies", **how) -> DataFrame:
+    """The rows of docs that are drawn, with all their columns but one named as `copies`, which now says how often each is drawn. The narrow plan meets them; texts aren't shuffled while it is small."""
     _, leaves = plan(docs, seed=seed, **how)
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     keys = {"domain": domain_of(source), "language": F.coalesce(F.col("lang").cast("string"), F.lit("")), "origin": source}
-    plans = leaves.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("times").alias("__times"), F.col("limit").alias("__limit"))
-    named = docs.withColumns({f"__{k}": v for k, v in keys.items()})
-    more = F.when(order_of(seed, F.col("__times"), F.col("doc_id").cast("long")) < F.col("__limit"), 1).otherwise(0)
-    out = named.join(plans, [f"__{k}" for k in keys]).withColumn("__copies", (F.col("__times") + more).cast("long")).where("__copies > 0")
-    return out.select(*docs.columns, "__copies")
+    named = docs.select(whole(docs.drop(copies)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), *(v.alias(k) for k, v in keys.items()))
+    out = named.join(leaves, list(keys)).withColumn(copies, drawn_copies(seed)).where(F.col(copies) > 0)
+    return out.select("doc.*", copies)

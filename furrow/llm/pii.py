@@ -17,13 +17,12 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import cut
+from furrow.llm.common import cut, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -226,28 +225,39 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     Base spans are found again beside the texts; only what the patterns added must meet its text, by a hash of it.
     """
     found = extract(docs.select(F.xxhash64("text").alias("doc_id"), "text"), **how)
-    added = cut(found.where(F.size("added") > 0).groupBy(F.col("doc_id").alias("__text")).agg(F.first("added").alias("__added")), "pii-added")
+    added = cut(found.where(F.size("added") > 0).groupBy(F.col("doc_id").alias("key")).agg(F.first("added").alias("added")), "pii-added")
     if added.count() <= BROADCAST_ROWS:
         added = F.broadcast(added)
-    out = docs.withColumn("__text", F.xxhash64("text")).join(added, "__text", "left")
-    return out.withColumn("text", masked("text", "__added")).select(docs.columns)
-
-
-@F.pandas_udf(T.StringType())
-def masked(texts: pd.Series, added: pd.Series) -> pd.Series:
-    """Each text with a mark for every span, from left to right; of spans that overlap the first one's mark stands."""
-
-    def one(text: str | None, more: list | None) -> str | None:
-        if text is None:
-            return None
-        spans = base_spans(text) if LIKELY.search(text) else []
-        if more is not None:
-            spans = sorted([*spans, *((s["start"], s["kind"], s["end"]) for s in more)])
-        out, at = [], 0
-        for start, kind, end in spans:
-            if start >= at:
-                out += [text[at:start], f"[{KINDS[kind]}]"]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
-
-    return pd.Series([one(t, m) for t, m in zip(texts, added, strict=True)], dtype=object)
+    out = docs.select(F.xxhash64("text").alias("key"), "text", whole(docs).alias("doc")).join(added, "key", "left").select("text", "added", "doc")
+    place = docs.columns.index("text")
+    schema = T.StructType([T.StructField("doc", T.StructType(docs.schema.fields))])
+    return out.mapInArrow(masking(place), schema).select("doc.*")
+
+
+def masked(text: str | None, added: list[dict] | None) -> str | None:
+    """The text with a mark for every span, from left to right; of spans that overlap the first one's mark stands."""
+    if text is None:
+        return None
+    spans = base_spans(text) if LIKELY.search(text) else []
+    if added:
+        spans = sorted([*spans, *((s["start"], s["kind"], s["end"]) for s in added)])
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if out else text
+
+
+def masking(place: int):
+    """Rows (text, added, doc) as doc alone, its field at `place` masked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, doc = batch.column("text"), batch.column("doc")
+            new = pa.array([masked(t, a) for t, a in zip(text.to_pylist(), batch.column("added").to_pylist(), strict=True)], text.type)
+            fields = doc.flatten()
+            fields[place] = new
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(doc.type))], names=["doc"])
+
+    return run

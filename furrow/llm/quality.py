@@ -6,8 +6,8 @@ from how much the means differ beyond chance, shrink sparse paths toward their h
 toward the corpus. A document's score joins its own evidence with what the others on its path say (it is
 left out of its own path's mean).
 
-The model is fitted on at most FIT_ROWS labelled rows, those with the smallest hashes; everything else
-covers all rows.
+The model is fitted on one row for each of at most FIT_ROWS labelled ids, those with the smallest hashes;
+everything else covers all rows.
 
 Edge cases: null and empty texts have features of zero and a score like others; rows with a null source
 or language share the host or path ""; repeated rows each count and get equal scores; labels that are null
@@ -21,14 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import cut
+from furrow.llm.common import cut, smallest, whole
 from furrow.llm.shingles import pieces, words
 
 FIT_ROWS = 20_000
@@ -87,26 +86,22 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float64()))])
+    """All columns of the rows but the text, which comes first, and x, the text's features."""
     for batch in batches:
         for piece in pieces(batch, most=PIECE):
             x = features(piece.column("text"))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("rid", "doc_id", "host", "path")), lists], schema=schema)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*piece.columns[1:], lists], names=[*piece.schema.names[1:], "x"])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def feature_list(texts: pd.Series) -> pd.Series:
-    """features() beside other columns."""
-    return pd.Series([row for piece in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), most=PIECE) for row in features(piece.column(0))], dtype=object)
-
-
-def featured(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def featured(docs: DataFrame, host: str = "source", path: str = "lang", keep: bool = False) -> DataFrame:
+    """rid, doc_id, host, path, x, and with `keep` doc, a struct of the row's own columns, for every row of docs."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
+        "text", F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), *([whole(docs).alias("doc")] if keep else []),
     )
-    return cut(rows.mapInArrow(feature_batches, "rid long, doc_id long, host string, path string, x array<double>"), "quality-features")
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return cut(rows.mapInArrow(feature_batches, schema), "quality-features")
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -129,11 +124,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) ->
 
 
 def train(rows: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """The model from at most `most` labelled rows, those whose ids have the smallest hashes."""
+    """The model from one row for each of at most `most` labelled ids, those with the smallest hashes."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("double").alias("y"))
-    some = rows.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "rid").orderBy("h", "rid").limit(most).collect()
+    told = rows.select("doc_id", "x").join(known, "doc_id").groupBy("doc_id", "y").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    some = smallest(cut(told, "quality-labelled"), most, "doc_id").select("doc_id", "x", "y").collect()
     if not some:
         return np.zeros(len(NAMES)), 0.0
+    some.sort(key=lambda r: r["doc_id"])  # sums in one order, whatever the partitions
     return fit(np.array([r["x"] for r in some], float), np.array([r["y"] for r in some], float))
 
 
@@ -201,12 +198,11 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, host: str =
 def accepted(docs: DataFrame, labels: DataFrame, keep: float = KEEP, host: str = "source", path: str = "lang", most: int = FIT_ROWS) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns.
 
-    Features are worked out again beside the texts, so no text is shuffled to meet its score.
+    Rows are written once beside their features, so no text is read twice or shuffled to meet its score.
     """
-    rows = featured(docs, host, path)
+    rows = featured(docs, host, path, keep=True)
     model = train(rows, labels, most=most)
-    paths, prior, strength = sites(rows.select("host", "path", evidence("x", model).alias("e")).withColumn("p", chance("e")))
-    paths = paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "total", "host_posterior")
-    named = docs.select(F.struct(*docs.columns).alias("__doc"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((host, "__host"), (path, "__path"))), feature_list(F.col("text")).alias("__x"))
-    out = named.withColumn("__e", evidence("__x", model)).join(paths, ["__host", "__path"]).withColumn("__post", path_posterior("(1 / (1 + exp(-__e)))", strength))
-    return out.where(joint("__e", "__post", prior) >= keep).select("__doc.*")
+    own = rows.withColumn("e", evidence("x", model)).withColumn("p", chance("e"))
+    paths, prior, strength = sites(own.select("host", "path", "p"))
+    out = own.select("doc", "host", "path", "e", "p").join(paths, ["host", "path"]).withColumn("posterior", path_posterior("p", strength))
+    return out.where(joint("e", "posterior", prior) >= keep).select("doc.*")

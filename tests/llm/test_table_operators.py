@@ -154,7 +154,7 @@ def test_prefixes_fit_and_are_the_longest(docs):
 
 def test_mixing_odd_tables(odd, nothing):
     assert mixing.mix(odd).where("copies <= 0").count() == 0 and mixing.mix(nothing).count() == 0
-    assert mixing.select(odd).columns == [*odd.columns, "__copies"]
+    assert mixing.select(odd).columns == [*odd.columns, "copies"]
     assert mixing.select(odd, share=1.0, epochs=1).count() == mixing.mix(odd, share=1.0, epochs=1).count()
 
 
@@ -190,5 +190,35 @@ def test_pipeline(spark, odd):
         assert 0 < out.count() <= at.count()
         at = out.cache()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "mixing"]
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, DATA).count() <= 9
+
+
+CLASHES = ("__hit", "__key", "__r1", "__r2", "__text", "__added", "__times", "__limit", "__copies", "__doc", "doc", "e", "p", "posterior", "r1", "added", "limit", "times", "copies", "n_hit", "domain", "odd name.with`marks")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_stages_with_odd_tables(spark, odd, nothing):
+    """Columns of any name pass through, rows stay whole, and empty tables stay empty."""
+    import corpus_pipeline
+
+    clash = odd.withColumns({c: F.concat_ws(":", F.lit(c), "doc_id") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, DATA)
+        assert sorted(out.columns) == sorted(clash.columns)
+        rows = out.collect()
+        assert 0 < len(rows) <= 9
+        for r in rows:
+            assert all(r[c] == ":".join([c, *([] if r["doc_id"] is None else [str(r["doc_id"])])]) for c in CLASHES if (name, c) != ("mixing", "copies"))
+        assert stage(spark, nothing, DATA).count() == 0
+
+
+def test_smallest_takes_rows_by_their_hashes(spark):
+    from furrow.llm.common import smallest
+
+    rows = spark.range(5000).withColumn("k", F.when(F.col("id") < 600, F.lit(-1)).otherwise(F.col("id")))
+    for most in (0, 1, 37, 3000, 4400, 4401, 5000, 9000):
+        got = {r["k"] for r in smallest(rows, most, "k").collect()}
+        order = [r["k"] for r in rows.groupBy("k").count().orderBy(F.shiftrightunsigned(F.xxhash64("k"), 1)).collect()]
+        n = len(got)
+        assert got == set(order[:n])
+        size = sum(600 if k == -1 else 1 for k in got)
+        assert size <= most and (n == len(order) or size + (600 if order[n] == -1 else 1) > most)
