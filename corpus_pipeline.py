@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents for the next one; the last returns the
 documents that are drawn with `copies`, how often each is read.
+
+Edge cases: null texts and texts without words pass all filters but the classifier, whose features of
+them are zero, and count no tokens in the mix; repeated rows are copies of which one stays; null ids,
+sources and languages are values like others; empty tables stay empty through all stages; other columns
+pass through whatever their names, but one named `copies` gives way to the mix's.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that target weights draw, and how often."""
-    return mixing.select(docs).withColumnRenamed("__copies", "copies")
+    return mixing.select(docs)
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one), ("decontamination", keep_clean), ("personal_data", mask_personal), ("mixing", mix_sources)]
