@@ -1,30 +1,30 @@
 """Toxicity by the nearest labelled examples.
 
-A text's terms are its words and their beginnings of four and six letters. All terms of the examples make
-up the vocabulary, and examples and texts are TF-IDF vectors over it; a term that occurs more in toxic
-examples weighs 1 + z times as much, z being the z-score of its log odds. For each text the examples with the
-highest cosine are found exactly: the commonest terms' weights are a dense matrix that many texts are
-multiplied with at once, all other terms' come from an inverted index; the k-th best of the blocks' largest
-sums bounds the k-th result from below, and what can reach it is worked out again in double precision.
-(nearest() does the same for one text by block-max bounds, which leave out little where texts are long.) The
-neighbours vote with weights that grow as distance falls, and a logistic curve fitted on the examples
+A text's terms are its words and the beginnings of longer ones. All terms of the examples make up the
+vocabulary, without selection, and examples and texts are TF-IDF vectors over it; a term that occurs more
+in toxic examples weighs 1 + z times as much, z being the z-score of its log odds. For each text the examples with the highest cosine are found exactly by a
+block-max inverted index: entries are put in order of what they have in common, so that a block of them
+shares its terms; the largest weight of each term in each block bounds what a block can reach, blocks are
+opened from the highest bound down, and those whose bound is below the k-th best cosine so far stay shut.
+Many texts open a block together: its commonest terms are a dense matrix, all others come from postings.
+The neighbours vote with weights that grow as distance falls, and a logistic curve fitted on the examples
 (each without itself) turns votes into probabilities. Neighbours' ids are the evidence.
 
-Examples are at most EXAMPLES labelled rows, those whose ids have the smallest hashes; only so much is
-collected or broadcast, whatever the corpus. Texts are scored whole, each on its own.
+Examples are one row for each of at most EXAMPLES labelled ids, those with the smallest hashes; only so
+much is collected or broadcast, whatever the corpus. Texts are scored whole, each on its own.
 
-Edge cases: null and empty texts, and texts without a term of any example, get the share of toxic rows
-among the examples without terms; equal vectors are one entry of the index with all their votes; ties at
+Edge cases: null and empty texts, and texts without a word of any example, get the share of toxic rows
+among the examples without words; equal vectors are one entry of the index with all their votes; ties at
 the k-th place go to the entry that comes first; labels that are null are ignored, of several for one id
-the largest holds; without labels every score is 0.5 - just below it, so nothing is flagged; repeated rows
-get equal scores; an empty table gives an empty result; other columns don't matter, whatever their names.
+the largest holds, of several rows with one id the text with the least hash; without labels every score is
+0.5 - just below it, so nothing is flagged; repeated rows get equal scores; an empty table gives an empty
+result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import crc_mod, cut
+from furrow.llm.common import crc_mod, cut, smallest
 from furrow.llm.quality import fit
 from furrow.llm.shingles import BASE, hash_words, mix, pieces, spans
 
 EXAMPLES = 24_000
 NEIGHBOURS = 15
-BLOCK = 64
-#: So many of the commonest terms are columns of the dense matrix; so many texts are multiplied with it at once.
-COMMON, TOGETHER = 512, 64
-BEGINNINGS = (4, 6)
+#: Entries of a block, and so many of a block's commonest words are columns of its dense matrix.
+BLOCK, COMMON = 512, 768
+#: Longer words also count as their beginnings of so many bytes.
+BEGINNING = 4
+#: Groups of entries that are alike, rounds of grouping, and so many of the commonest words that it looks at.
+GROUPS, ROUNDS, SHARED = 8, 6, 512
+#: Texts whose blocks are bounded together, postings that are added up at once.
+TOGETHER, POSTINGS = 1024, 1 << 20
 #: Labels of ids with this remainder are held out.
 FOLDS, HELD_OUT = 5, 0
 
@@ -53,12 +57,9 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms of the texts, and which text each is of."""
     data, starts, ends, first = spans(pc.fill_null(texts, ""), LETTERS)
     of = np.repeat(np.arange(len(texts)), np.diff(first))
-    kinds, owners = [hash_words(data, starts, ends)], [of]
-    for n in BEGINNINGS:
-        longer = ends - starts > n
-        kinds.append(mix(hash_words(data, starts[longer], starts[longer] + n) ^ np.uint64(n * int(BASE) % (1 << 64))))
-        owners.append(of[longer])
-    return np.concatenate(kinds), np.concatenate(owners)
+    longer = ends - starts > BEGINNING
+    stems = mix(hash_words(data, starts[longer], starts[longer] + BEGINNING) ^ np.uint64(BEGINNING * int(BASE) % (1 << 64)))
+    return np.concatenate([hash_words(data, starts, ends), stems]), np.concatenate([of, of[longer]])
 
 
 def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,148 +78,187 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, y, text) of at most `most` labelled rows that aren't held out, those with the smallest hashes of their ids."""
+    """(doc_id, y, text), one row for each of at most `most` labelled ids that aren't held out, those with the smallest hashes."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("long").alias("y"))
-    known = known.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "y", "text")
+    known = cut(known.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT), "toxic-labels")
+    chosen = F.broadcast(smallest(known, most, "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for lengths[i] places each, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over entries (different example vectors)."""
+    """Block-max inverted index over entries (different example vectors, in order of likeness)."""
 
-    vocabulary: np.ndarray  # sorted term hashes
+    vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
-    blocks: int
-    bound: np.ndarray  # term x block: the largest weight
-    starts: np.ndarray  # term x block: where the postings start; row-major, one more at the end
-    entries: np.ndarray  # postings' entries
-    weights: np.ndarray
+    first: np.ndarray  # where each entry's words start in terms and counts, one more at the end
+    terms: np.ndarray
+    counts: np.ndarray
     toxic: np.ndarray  # votes of each entry
     votes: np.ndarray
     evidence: np.ndarray  # an example's id for each entry
+    keys: np.ndarray  # digests of the entries
     prior: float
-    blank: float  # probability of a text without terms
+    blank: float  # probability of a text without words
     curve: tuple[float, float] = (1.0, 0.0)
-    keys: np.ndarray | None = None  # digests of the entries, sorted
-    counts: np.ndarray | None = None  # how often a posting's entry has the term; tasks work out the weights
 
     def weigh(self) -> None:
-        """Weights and bounds from counts, in single precision."""
-        length = np.diff(self.starts)
-        self.weights = (1 + np.log(np.maximum(np.arange(int(self.counts.max(initial=1)) + 1), 1))).astype(np.float32)[self.counts] * np.repeat(self.idf.astype(np.float32), length)
-        norms = np.sqrt(np.bincount(self.entries, weights=self.weights * self.weights, minlength=len(self.votes))).astype(np.float32)
-        self.weights /= norms[self.entries]
-        self.bound = (np.maximum.reduceat(self.weights, self.starts[:-1]) if len(self.weights) else np.zeros(0))[:, None]
+        """What tasks work out for themselves: postings, dense matrices and bounds of each block."""
+        m, v = len(self.votes), len(self.vocabulary)
+        self.blocks = -(-m // BLOCK)
+        of = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.first))
+        w = weights_of(self.idf, self.terms, self.counts, of, m).astype(np.float32)
+        order = np.lexsort((of, self.terms, of // BLOCK))
+        t, e, w = self.terms[order], of[order], w[order]
+        cell = (e // BLOCK).astype(np.int64) * v + t
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.starts = np.searchsorted(cell, np.arange(self.blocks * v + 1)).astype(np.int32)  # block x word
+        self.bound = np.zeros((v, self.blocks), np.float32)
+        if len(new):
+            self.bound[t[new], e[new] // BLOCK] = np.maximum.reduceat(w, new)
+        self.entries, self.weights = (e % BLOCK).astype(np.int16), w
+        self.columns = np.full((self.blocks, v), -1, np.int16)
+        self.dense = []
+        for b in range(self.blocks):
+            length = np.diff(self.starts[b * v : (b + 1) * v + 1])
+            often = np.argsort(-length, kind="stable")[: min(COMMON, int((length > 0).sum()))]
+            self.columns[b, often] = np.arange(len(often))
+            dense = np.zeros((len(often), BLOCK), np.float32)
+            for i, word in enumerate(often):
+                own = slice(self.starts[b * v + word], self.starts[b * v + word + 1])
+                dense[i, self.entries[own]] = w[own]
+            self.dense.append(dense)
 
     def __getstate__(self) -> dict:
-        state = {c: v for c, v in self.__dict__.items() if c not in ("begins", "common")}
-        return state if self.counts is None else state | {"weights": None, "bound": None}
+        return {c: self.__dict__[c] for c in self.__dataclass_fields__}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        if self.counts is not None:
-            self.weigh()
-
-    def opened(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of the blocks that share a term, and their cosines."""
-        cell = (t[:, None] * self.blocks + blocks).ravel()
-        length = self.starts[cell + 1] - self.starts[cell]
-        at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length - self.starts[cell], length)
-        entries, inverse = np.unique(self.entries[at], return_inverse=True)
-        return entries, np.bincount(inverse, weights=self.weights[at] * np.repeat(np.repeat(w, len(blocks)), length), minlength=len(entries))
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries with the highest cosine to the unit vector (terms t, weights w), and the cosines."""
-        reach = w @ self.bound[t]
-        order = np.argsort(-reach, kind="stable")
-        order = order[reach[order] > 0]
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        at, many = 0, 2
-        while at < len(order) and (len(best_s) < k or reach[order[at]] >= best_s[-1] - 1e-9):
-            blocks = order[at : at + many]
-            at, many = at + many, many * 4  # most texts need few blocks; the rest opens them in few steps
-            if len(best_s) == k:
-                blocks = blocks[reach[blocks] >= best_s[-1] - 1e-9]
-            entries, scores = self.opened(t, w, blocks)
-            best_e, best_s = np.concatenate([best_e, entries]), np.concatenate([best_s, scores])
-            top = np.lexsort((best_e, -np.round(best_s, 9)))[:k]
-            best_e, best_s = best_e[top], best_s[top]
-        return best_e, best_s
-
-    @cached_property
-    def begins(self) -> np.ndarray:
-        """Where each term's postings start, one more at the end."""
-        return self.starts[:: self.blocks]
-
-    @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """(columns, dense): each term's column or -1, and the weights of the commonest terms, entry x column."""
-        often = np.argsort(-np.diff(self.begins), kind="stable")[:COMMON]
-        columns = np.full(len(self.begins) - 1, -1, np.int64)
-        columns[often] = np.arange(len(often))
-        dense = np.zeros((len(self.votes), len(often)), np.float32)
-        for i, t in enumerate(often):
-            own = slice(self.begins[t], self.begins[t + 1])
-            dense[self.entries[own], i] = self.weights[own]
-        return columns, dense
-
-    def nearest_many(self, first: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """As nearest() for many texts: text i has the terms and weights from first[i] to first[i + 1]."""
-        columns, dense = self.common
-        n, m = len(first) - 1, len(self.votes)
+        self.weigh()
+
+    def opened(self, b: int, first: np.ndarray, t: np.ndarray, w: np.ndarray, rows: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, cosine) of what may be among the k best in block b of the texts `rows`, whose k-th best so far are `least`."""
+        size = first[rows + 1] - first[rows]
+        at, row = ragged(first[rows], size), np.repeat(np.arange(len(rows)), size)
+        column = self.columns[b, t[at]]
+        common = column >= 0
+        asked = np.zeros((len(rows), len(self.dense[b])), np.float32)
+        asked[row[common], column[common]] = w[at[common]]
+        cell = b * len(self.vocabulary) + t[at[~common]]
+        begin = self.starts[cell].astype(np.int64)
+        length = self.starts[cell + 1] - begin
+        has = length > 0
+        begin, length, scale, row = begin[has], length[has], w[at[~common]][has], row[~common][has]
+        post = ragged(begin, length)
+        part = np.bincount(np.repeat(row * BLOCK, length) + self.entries[post], weights=self.weights[post] * np.repeat(scale, length), minlength=len(rows) * BLOCK).reshape(len(rows), BLOCK)
+        total = asked @ self.dense[b]
+        total += part
+        # sums are in single precision: what may be equal is kept and worked out again
+        least = np.maximum(least, np.partition(total, BLOCK - k, axis=1)[:, BLOCK - k]) if k <= BLOCK else least
+        r, e = np.nonzero((total >= least[:, None] - 1e-4) & (total > 0))
+        exact = part[r, e] + np.einsum("ij,ij->i", asked[r].astype(float), self.dense[b].T[e].astype(float)) if len(r) else np.zeros(0)
+        return rows[r], b * BLOCK + e, exact
+
+    def nearest(self, first: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, cosine) of the k entries nearest to each text, in order of texts and nearness; text i has the words t and weights w from first[i] to first[i + 1]."""
+        n = len(first) - 1
+        found = [], [], []
         for a in range(0, n, TOGETHER):
-            b = min(n, a + TOGETHER)
-            asked = np.zeros((b - a, dense.shape[1]))
-            own = slice(first[a], first[b])
-            column, of = columns[t[own]], np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
-            asked[of[column >= 0], column[column >= 0]] = w[own][column >= 0]
-            sums = asked.astype(np.float32) @ dense.T
-            rest, scale = t[own][column < 0], w[own][column < 0]
-            bounds = np.searchsorted(of[column < 0], np.arange(b - a + 1))
-            begin, end = self.begins[rest], self.begins[rest + 1]
-            for i in range(b - a):
-                x, z = bounds[i], bounds[i + 1]
-                part = np.zeros(m)
-                if z > x:
-                    lists = [slice(p, q) for p, q in zip(begin[x:z].tolist(), end[x:z].tolist(), strict=True)]
-                    values = np.concatenate([self.weights[p] for p in lists]) * np.repeat(scale[x:z], end[x:z] - begin[x:z])
-                    part = np.bincount(np.concatenate([self.entries[p] for p in lists]), weights=values, minlength=m)
-                total = part + sums[i]
-                tops = np.maximum.reduceat(total, np.arange(0, m, BLOCK))
-                least = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else 0.0
-                # sums are in single precision: what may be equal is kept
-                found = np.flatnonzero((total >= least - 1e-4) & (total > 0))
-                if len(found) > 4 * k:
-                    least = np.partition(total[found], len(found) - k)[len(found) - k]
-                    found = found[total[found] >= least - 1e-4]
-                exact = part[found] + dense[found].astype(float) @ asked[i]
-                top = np.lexsort((found, -np.round(exact, 9)))[:k]
-                yield found[top], exact[top]
-
-    def vote(self, entries: np.ndarray, cosines: np.ndarray, without: tuple[int, int] | None = None) -> float:
-        """The toxic share among neighbours by weight of nearness, as a logit; without: an entry and label that don't count once."""
-        toxic, votes = self.toxic[entries].astype(float), self.votes[entries].astype(float)
-        if without is not None:
-            own = entries == without[0]
-            toxic[own] -= without[1]
-            votes[own] -= 1
-        near = cosines**2 / (1.05 - np.minimum(cosines, 1.0))
+            own = first[a : min(n, a + TOGETHER) + 1]
+            got = self.nearest_some(own - own[0], t[own[0] : own[-1]], w[own[0] : own[-1]], k)
+            for part, x in zip(found, (got[0] + a, got[1], got[2]), strict=True):
+                part.append(x)
+        return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(found, (np.int64, np.int64, float), strict=True))
+
+    def nearest_some(self, first: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(first) - 1
+        reach = np.zeros((n, self.blocks), np.float32)
+        has = np.flatnonzero(np.diff(first))
+        for i in range(0, len(has), 32):
+            some = has[i : i + 32]
+            own = slice(first[some[0]], first[some[-1] + 1])
+            reach[some] = np.add.reduceat(self.bound[t[own]] * w[own, None].astype(np.float32), first[some] - first[some[0]], axis=0)
+        order = np.argsort(-reach, axis=1, kind="stable")
+        ranked = np.take_along_axis(reach, order, 1)
+        row, entry, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.zeros(n, np.float32)
+        rank, step = 0, 1
+        while rank < self.blocks:
+            to = min(self.blocks, rank + step)
+            r, j = np.nonzero((ranked[:, rank:to] > 0) & (ranked[:, rank:to] >= least[:, None] - 1e-4))
+            if not len(r):
+                break  # later blocks reach no further
+            blocks = order[r, rank + j]
+            parts = [(row, entry, cosine)]
+            for b in np.unique(blocks):
+                rows = r[blocks == b]
+                chunk = max(1, int(POSTINGS // (1 + (first[rows + 1] - first[rows]).mean() * 8)))
+                parts += [self.opened(int(b), first, t, w, rows[x : x + chunk], least[rows[x : x + chunk]], k) for x in range(0, len(rows), chunk)]
+            row, entry, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
+            best = np.lexsort((entry, -np.round(cosine, 9), row))
+            row, entry, cosine = row[best], entry[best], cosine[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            least[row[place == k - 1]] = cosine[place == k - 1]
+            row, entry, cosine = row[place < k], entry[place < k], cosine[place < k]
+            rank, step = to, step * 2
+        return row, entry, cosine
+
+    def vote(self, row: np.ndarray, entry: np.ndarray, cosine: np.ndarray, n: int, own: np.ndarray | None = None, y: np.ndarray | None = None) -> np.ndarray:
+        """For each of n texts the toxic share among neighbours by weight of nearness, as a logit; own and y: entries and labels that don't count once."""
+        toxic, votes = self.toxic[entry].astype(float), self.votes[entry].astype(float)
+        if own is not None:
+            self_vote = entry == own[row]
+            toxic -= self_vote * y[row]
+            votes -= self_vote
+        near = cosine**2 / (1.05 - np.minimum(cosine, 1.0))
         # a vector that many examples share counts as one neighbour with their common share
-        share = (toxic + self.prior) / (votes + 1.0)
         sure = near * np.log1p(votes)
-        p = ((sure * share).sum() + 0.05 * self.prior) / (sure.sum() + 0.05)
-        return float(np.log(p / (1 - p)))
-
-    def probability(self, logit: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * logit + self.curve[1], -30, 30))))
+        share = (toxic + self.prior) / (votes + 1.0)
+        p = (np.bincount(row, weights=sure * share, minlength=n) + 0.05 * self.prior) / (np.bincount(row, weights=sure, minlength=n) + 0.05)
+        return np.log(p / (1 - p))
+
+    def probability(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * logit + self.curve[1], -30, 30)))
+
+
+def weights_of(idf: np.ndarray, t: np.ndarray, counts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """TF-IDF weights of n vectors, each scaled to length one."""
+    w = (1 + np.log(counts.astype(float))) * idf[t]
+    return w / np.sqrt(np.bincount(of, weights=w * w, minlength=n))[of]
+
+
+def alike(first: np.ndarray, t: np.ndarray, w: np.ndarray, v: int) -> np.ndarray:
+    """An order of the vectors that puts those side by side that share common words (a few rounds of spherical k-means from evenly spaced vectors) and have about as many words, and so weights of a size. It only decides how many blocks stay shut."""
+    m = len(first) - 1
+    often = np.argsort(-np.bincount(t, minlength=v), kind="stable")[:SHARED]
+    column = np.full(v, -1)
+    column[often] = np.arange(len(often))
+    of, own = np.repeat(np.arange(m), np.diff(first)), column[t]
+    x = np.zeros((m, len(often)), np.float32)
+    x[of[own >= 0], own[own >= 0]] = w[own >= 0]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    k = min(GROUPS, m)
+    centres, group = x[np.linspace(0, m - 1, k).astype(int)], np.zeros(m, int)
+    for _ in range(ROUNDS):
+        group = (x @ centres.T).argmax(1)
+        for g in range(k):
+            if (group == g).any():
+                centres[g] = x[group == g].sum(0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((np.arange(m), np.diff(first), group))
 
 
 def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES, k: int = NEIGHBOURS) -> Index | None:
     """The index of the examples. What comes to the driver is bounded by `most` vectors."""
     # equal texts with equal labels are one example: copies don't make a word common
-    texts = training_rows(docs, labels, label, most).groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    texts = training_rows(docs, labels, label, most).groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(3), "text").alias("h2"), "y").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     rows = texts.select("doc_id", "y", "text").mapInArrow(term_rows, "doc_id long, y long, terms array<long>, counts array<int>")
     rows = cut(rows.withColumn("key", F.xxhash64("terms", "counts")), "toxic-examples")
     got = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
@@ -229,11 +269,13 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     index = index_of(rows.where("size(terms) > 0").toArrow(), n, n1, n1 / n, (blank["toxic"] + n1 / n) / (blank["n"] + 1))
     # calibration on the examples, each without its own vote
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    told = rows.where("size(terms) > 0").mapInArrow(votes_of(shared, k), "y long, logit double").toArrow()
+    told = rows.where("size(terms) > 0").mapInArrow(votes_of(shared, k), "doc_id long, y long, logit double").toArrow().sort_by("doc_id")
     shared.destroy()
     if told.num_rows:
         slope, offset = fit(told.column("logit").to_numpy()[:, None], told.column("y").to_numpy().astype(float))
-        index.curve = (float(slope[0]), offset) if slope[0] > 0 else (1.0, 0.0)
+        if slope[0] <= 0:
+            raise RuntimeError("the neighbours' votes don't follow the labels: no calibration")
+        index.curve = (float(slope[0]), offset)
     return index
 
 
@@ -244,65 +286,63 @@ def index_of(table: pa.Table, n: int, n1: int, prior: float, blank: float) -> In
     toxic = np.bincount(place, weights=table.column("y").to_numpy()).astype(np.int64)
     ids = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(ids, place, table.column("doc_id").to_numpy())
-    if len(once) < len(place):
-        table, place = table.take(np.sort(once)), place[np.sort(once)]
-    of = np.repeat(place.astype(np.int32), pc.list_value_length(table.column("terms")).to_numpy())
+    table = table.select(["terms", "counts"]).take(once)
+    length = pc.list_value_length(table.column("terms")).to_numpy()
     hashes, counts = (pc.list_flatten(table.column(c)).to_numpy() for c in ("terms", "counts"))
     del table
-    hashes = hashes.view(np.uint64)
-    vocabulary = np.unique(hashes)
-    t = np.empty(len(hashes), np.int32)
-    for a in range(0, len(t), 1 << 20):
-        t[a : a + (1 << 20)] = np.searchsorted(vocabulary, hashes[a : a + (1 << 20)])
+    vocabulary, t = np.unique(hashes.view(np.uint64), return_inverse=True)
+    t = t.astype(np.int32)
     del hashes
+    of = np.repeat(np.arange(len(keys), dtype=np.int32), length)
     d, d1 = (np.bincount(t, weights=x[of], minlength=len(vocabulary)) for x in (votes, toxic))
     d0 = d - d1
     odds = np.log((d1 + 0.5) / (n1 - d1 + 0.5)) - np.log((d0 + 0.5) / (n - n1 - d0 + 0.5))
     marks = 1 + np.maximum(0, odds / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)))
     idf = (np.log((n + 1) / (d + 1)) + 1) * marks
-    starts = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(vocabulary)))])
-    # postings in order of terms and entries; sorted as numbers in place, as the driver has little room
-    m, c = len(keys), int(counts.max(initial=1)) + 1
-    post = t.astype(np.int64)
-    post *= m
-    post += of
-    post *= c
-    post += counts
-    del t, of
-    post.sort()
-    counts = (post % c).astype(np.min_scalar_type(c))
-    post //= c
-    post %= m
-    entries = post.astype(np.min_scalar_type(m))
-    return Index(vocabulary, idf, 1, np.zeros((0, 1)), starts, entries, np.zeros(0), toxic, votes, ids, prior, blank, keys=keys, counts=counts)
+    first = np.concatenate([[0], np.cumsum(length)])
+    order = alike(first, t, weights_of(idf, t, counts, of, len(keys)), len(vocabulary))
+    at = ragged(first[order], length[order])
+    counts = counts[at].astype(np.min_scalar_type(int(counts.max(initial=1))))
+    return Index(vocabulary, idf, np.concatenate([[0], np.cumsum(length[order])]), t[at], counts, toxic[order], votes[order], ids[order], keys[order], prior, blank)
 
 
 def vectors(index: Index, n: int, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, terms, weights) of n texts: their known terms, weights scaled to length one. of, hashes: each text's different terms, in order of texts."""
+    """(first, terms, weights) of n texts: their known words, weights scaled to length one. of, hashes: each text's different words, in order of texts."""
     at = np.minimum(np.searchsorted(index.vocabulary, hashes), max(0, len(index.vocabulary) - 1))
     known = index.vocabulary[at] == hashes if len(index.vocabulary) else np.zeros(len(hashes), bool)
     t, of = at[known], of[known]
-    w = (1 + np.log(counts[known])) * index.idf[t]
-    w /= np.sqrt(np.bincount(of, weights=w * w, minlength=n))[of]
-    return np.searchsorted(of, np.arange(n + 1)), t, w
+    return np.searchsorted(of, np.arange(n + 1)), t, weights_of(index.idf, t, counts[known], of, n)
 
 
 def votes_of(index, k: int):
-    """(y, logit) of each example by its neighbours, its own vote left out."""
-    schema = pa.schema([("y", pa.int64()), ("logit", pa.float64())])
+    """(doc_id, y, logit) of each example by its neighbours, its own vote left out."""
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("logit", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = index.value
+        place = np.argsort(x.keys)
         for batch in batches:
-            ys, own = batch.column("y").to_pylist(), np.searchsorted(index.value.keys, batch.column("key").to_numpy())
-            of = np.repeat(np.arange(len(ys)), batch.column("terms").value_lengths().to_numpy())
+            y, own = batch.column("y").to_numpy(), place[np.searchsorted(x.keys[place], batch.column("key").to_numpy())]
+            of = np.repeat(np.arange(len(y)), batch.column("terms").value_lengths().to_numpy())
             hashes, counts = (batch.column(c).flatten().to_numpy() for c in ("terms", "counts"))
-            found = index.value.nearest_many(*vectors(index.value, len(ys), of, hashes.view(np.uint64), counts), k)
-            logits = [index.value.vote(*got, without=(int(e), y)) for got, e, y in zip(found, own, ys, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int64()), pa.array(logits, pa.float64())], schema=schema)
+            found = x.nearest(*vectors(x, len(y), of, hashes.view(np.uint64), counts), k)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x.vote(*found, len(y), own, y))], schema=schema)
 
     return run
 
 
+def scored(index: Index, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, first, evidence): evidence of text i from first[i] to first[i + 1]."""
+    n = len(texts)
+    hashes, of = terms(texts)
+    different, number = np.unique(hashes, return_inverse=True)
+    cells, counts = np.unique(of * max(1, len(different)) + number, return_counts=True)
+    rows, number = np.divmod(cells, max(1, len(different)))
+    row, entry, cosine = index.nearest(*vectors(index, n, rows, different[number], counts), k)
+    first = np.searchsorted(row, np.arange(n + 1))
+    return np.where(np.diff(first) > 0, index.probability(index.vote(row, entry, cosine, n)), index.blank), first, index.evidence[entry]
+
+
 def score(docs: DataFrame, index: Index | None, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples, at most k) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES
@@ -313,20 +353,8 @@ def score(docs: DataFrame, index: Index | None, k: int = NEIGHBOURS) -> DataFram
         for batch in batches:
             for piece in pieces(batch):
                 n = piece.num_rows
-                if index is None:
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([0.4999] * n), pa.array([[]] * n, pa.list_(pa.int64()))], schema=schema)
-                    continue
-                scores, evidence = np.full(n, index.blank), [[] for _ in range(n)]
-                hashes, of = terms(piece.column("text"))
-                different, number = np.unique(hashes, return_inverse=True)
-                cells, counts = np.unique(of * max(1, len(different)) + number, return_counts=True)
-                rows, number = np.divmod(cells, max(1, len(different)))
-                first, t, w = vectors(index, n, rows, different[number], counts)
-                for i, (entries, cosines) in enumerate(index.nearest_many(first, t, w, k)):
-                    if len(entries):
-                        scores[i] = index.probability(index.vote(entries, cosines))
-                        evidence[i] = index.evidence[entries].tolist()
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], schema=schema)
+                scores, first, evidence = (np.full(n, 0.4999), np.zeros(n + 1, int), np.zeros(0, np.int64)) if index is None else scored(index, piece.column("text"), k)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(evidence))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
 

@@ -313,26 +313,45 @@ def test_quality_learns_and_sites_shrink(docs, spark, odd, nothing, labels):
     assert quality.classify(odd, labels.limit(0)).count() == 9
 
 
-def test_index_is_exact():
-    rng = np.random.default_rng(2)
-    m, terms, k = 500, 40, 7
-    x = rng.random((m, terms)) * (rng.random((m, terms)) < 0.1)
-    x = x[x.any(1)]
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    e, t = np.nonzero(x)
-    order = np.lexsort((e, t))
-    t, e = t[order], e[order]
-    blocks = -(-len(x) // toxicity.BLOCK)
-    bound = np.zeros((terms, blocks))
-    np.maximum.at(bound, (t, e // toxicity.BLOCK), x[e, t])
-    starts = np.searchsorted(t * blocks + e // toxicity.BLOCK, np.arange(terms * blocks + 1))
-    index = toxicity.Index(np.arange(terms, dtype=np.uint64), np.ones(terms), blocks, bound, starts, e, x[e, t], *(np.ones(len(x), int) for _ in range(3)), 0.5, 0.5)
-    for q in x[:100]:
-        at = np.flatnonzero(q)
-        got, cosines = index.nearest(at, q[at], k)
-        want = np.round(x @ q, 9)
-        best = np.lexsort((np.arange(len(x)), -want))[:k]
-        assert np.allclose(cosines, want[best][: len(cosines)], atol=1e-8) and got.tolist() == best[: len(got)].tolist()
+def example_rows(x, y):
+    rows = [{"key": i, "y": int(y[i]), "doc_id": i, "terms": np.flatnonzero(v).tolist(), "counts": v[v > 0].tolist()} for i, v in enumerate(x)]
+    return pa.Table.from_pylist(rows, pa.schema([*((c, pa.int64()) for c in ("key", "y", "doc_id")), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
+
+
+@pytest.mark.parametrize(("block", "common", "m"), [(16, 20, 300), (64, 0, 300), (512, 768, 700), (8, 5, 5)])
+def test_index_is_exact(monkeypatch, block, common, m):
+    """Neighbours, votes and cosines as by a plain matrix product, whatever the blocks."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "TOGETHER", 37)
+    rng = np.random.default_rng(m + block)
+    terms, k, asked = 900, 7, 100
+    x = rng.integers(1, 9, (m, terms)) * (rng.random((m, terms)) < 0.05)
+    x[1] = x[0] if m > 1 else x[1]  # a tie
+    y = rng.random(m) < 0.4
+    y[:2] = True, False
+    n1 = int(y.sum())
+    index = toxicity.index_of(example_rows(x, y), m, n1, n1 / m, 0.5)
+    index.weigh()
+    q = np.concatenate([x[: asked // 2], rng.integers(0, 3, (asked // 2, terms)) * (rng.random((asked // 2, terms)) < 0.03)])
+    q[-1] = 0
+    of, t = np.nonzero(q)
+    row, entry, cosine = index.nearest(*toxicity.vectors(index, len(q), of, t.astype(np.uint64), q[q > 0]), k)
+    idf = np.zeros(terms)
+    idf[index.vocabulary.astype(int)] = index.idf
+    full = [np.where(v > 0, (1 + np.log(np.maximum(v, 1))) * idf, 0) for v in (x, q)]
+    full = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in full]
+    sims = full[1] @ full[0].T
+    for i in range(len(q)):
+        got, own = index.evidence[entry[row == i]], cosine[row == i]
+        best = np.sort(sims[i][sims[i] > 0])[::-1][:k]
+        assert np.allclose(own, best, atol=1e-5) and np.allclose(sims[i][got], own, atol=1e-5) and len(set(got)) == len(got)
+    logits = index.vote(row, entry, cosine, len(q))
+    for i in range(len(q)):
+        e, c = entry[row == i], cosine[row == i]
+        up = sum(v**2 / (1.05 - min(v, 1)) * np.log(2) * (y[index.evidence[j]] + n1 / m) / 2 for j, v in zip(e, c, strict=True)) + 0.05 * n1 / m
+        down = sum(v**2 / (1.05 - min(v, 1)) * np.log(2) for v in c) + 0.05
+        assert logits[i] == pytest.approx(np.log(up / (down - up)))
 
 
 def test_toxicity_finds_marks_and_leaves_clean_texts(docs, spark, odd, nothing, labels):
@@ -363,21 +382,6 @@ def test_rare_insults_and_clean_examples_are_neighbours(docs, labels):
     assert np.mean([got[i]["predicted"] == (i % 5 == 0) for i in range(200, 300)]) > 0.9
 
 
-def test_many_texts_at_once_have_the_same_neighbours():
-    rng = np.random.default_rng(3)
-    m, terms, k = 700, 900, 7
-    x = rng.integers(1, 9, (m, terms)) * (rng.random((m, terms)) < 0.05)
-    rows = [{"key": i, "y": i % 2, "doc_id": i, "terms": np.flatnonzero(v).tolist(), "counts": v[v > 0].tolist()} for i, v in enumerate(x)]
-    index = toxicity.index_of(pa.Table.from_pylist(rows, pa.schema([*((c, pa.int64()) for c in ("key", "y", "doc_id")), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])), m, m // 2, 0.5, 0.5)
-    index.weigh()
-    of, t = np.nonzero(x[:100])
-    first, t, w = toxicity.vectors(index, 100, of, t.astype(np.uint64), x[:100][x[:100] > 0])
-    for i, (got, cosines) in enumerate(index.nearest_many(first, t, w, k)):
-        want, best = index.nearest(t[first[i] : first[i + 1]], w[first[i] : first[i + 1]], k)
-        assert got.tolist() == want.tolist() and np.allclose(cosines, best, atol=1e-7)
-        assert got[0] == i
-
-
 def test_word_hashes_follow_the_words():
     texts = ["A b\tc  É", "", "a B", " x ", " ", "É"]
     h, first = shingles.words(pa.array(texts))
