@@ -23,6 +23,7 @@ result; other columns don't matter, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ from furrow.llm.shingles import BASE, hash_words, mix, pieces, spans
 EXAMPLES = 24_000
 NEIGHBOURS = 15
 #: Entries of a block, and so many of a block's commonest words are columns of its dense matrix.
-BLOCK, COMMON = 512, 768
+BLOCK, COMMON = 1024, 768
 #: Longer words also count as their beginnings of so many bytes.
 BEGINNING = 4
 #: Groups of entries that are alike, rounds of grouping, and so many of the commonest words that it looks at.
@@ -98,8 +99,10 @@ class Index:
 
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
-    first: np.ndarray  # where each entry's words start in terms and counts, one more at the end
-    terms: np.ndarray
+    runs: np.ndarray  # where each block's runs of postings start, one more at the end
+    words: np.ndarray  # each run's term and length
+    lengths: np.ndarray
+    entries: np.ndarray  # postings by block, term and entry: the entry's place in the block, how often it has the term
     counts: np.ndarray
     toxic: np.ndarray  # votes of each entry
     votes: np.ndarray
@@ -109,40 +112,37 @@ class Index:
     blank: float  # probability of a text without words
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def weigh(self) -> None:
-        """What tasks work out for themselves: postings, dense matrices and bounds of each block."""
-        m, v = len(self.votes), len(self.vocabulary)
-        self.blocks = -(-m // BLOCK)
-        of = np.repeat(np.arange(m, dtype=np.int32), np.diff(self.first))
-        w = weights_of(self.idf, self.terms, self.counts, of, m).astype(np.float32)
-        order = np.lexsort((of, self.terms, of // BLOCK))
-        t, e, w = self.terms[order], of[order], w[order]
-        cell = (e // BLOCK).astype(np.int64) * v + t
-        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.starts = np.searchsorted(cell, np.arange(self.blocks * v + 1)).astype(np.int32)  # block x word
-        self.bound = np.zeros((v, self.blocks), np.float32)
-        if len(new):
-            self.bound[t[new], e[new] // BLOCK] = np.maximum.reduceat(w, new)
-        self.entries, self.weights = (e % BLOCK).astype(np.int16), w
-        self.columns = np.full((self.blocks, v), -1, np.int16)
-        self.dense = []
+    def weigh(self) -> "Index":
+        """What tasks work out for themselves, once: weights, dense matrices and bounds of each block."""
+        if hasattr(self, "weights"):
+            return self
+        v = len(self.vocabulary)
+        self.blocks = len(self.runs) - 1
+        self.weights = np.empty(len(self.entries), np.float32)
+        self.starts = np.empty((self.blocks, v + 1), np.int32)
+        self.bound, self.columns, self.dense = np.zeros((v, self.blocks), np.float32), np.full((self.blocks, v), -1, np.int16), []
+        end = 0
         for b in range(self.blocks):
-            length = np.diff(self.starts[b * v : (b + 1) * v + 1])
-            often = np.argsort(-length, kind="stable")[: min(COMMON, int((length > 0).sum()))]
-            self.columns[b, often] = np.arange(len(often))
+            words, length = (x[self.runs[b] : self.runs[b + 1]] for x in (self.words, self.lengths))
+            begin, end = end, end + int(length.sum(dtype=np.int64))
+            entry = self.entries[begin:end]
+            w = weights_of(self.idf, np.repeat(words, length), self.counts[begin:end], entry, BLOCK).astype(np.float32)
+            self.weights[begin:end] = w
+            each = np.zeros(v, np.int32)
+            each[words] = length
+            self.starts[b, 0], self.starts[b, 1:] = begin, begin + np.cumsum(each)
+            self.bound[words, b] = np.maximum.reduceat(w, np.cumsum(length, dtype=np.int64) - length)
+            often = np.argsort(-length, kind="stable")[:COMMON]
+            self.columns[b, words[often]] = np.arange(len(often))
+            column = np.repeat(self.columns[b, words], length)
             dense = np.zeros((len(often), BLOCK), np.float32)
-            for i, word in enumerate(often):
-                own = slice(self.starts[b * v + word], self.starts[b * v + word + 1])
-                dense[i, self.entries[own]] = w[own]
+            dense[column[column >= 0], entry[column >= 0]] = w[column >= 0]
             self.dense.append(dense)
+        return self
 
     def __getstate__(self) -> dict:
         return {c: self.__dict__[c] for c in self.__dataclass_fields__}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.weigh()
-
     def opened(self, b: int, first: np.ndarray, t: np.ndarray, w: np.ndarray, rows: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, entry, cosine) of what may be among the k best in block b of the texts `rows`, whose k-th best so far are `least`."""
         size = first[rows + 1] - first[rows]
@@ -151,9 +151,9 @@ class Index:
         common = column >= 0
         asked = np.zeros((len(rows), len(self.dense[b])), np.float32)
         asked[row[common], column[common]] = w[at[common]]
-        cell = b * len(self.vocabulary) + t[at[~common]]
-        begin = self.starts[cell].astype(np.int64)
-        length = self.starts[cell + 1] - begin
+        cell = t[at[~common]]
+        begin = self.starts[b, cell].astype(np.int64)
+        length = self.starts[b, cell + 1] - begin
         has = length > 0
         begin, length, scale, row = begin[has], length[has], w[at[~common]][has], row[~common][has]
         post = ragged(begin, length)
@@ -266,7 +266,13 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     if not n or not n1 or n1 == n:
         return None
     blank = rows.where("size(terms) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
-    index = index_of(rows.where("size(terms) > 0").toArrow(), n, n1, n1 / n, (blank["toxic"] + n1 / n) / (blank["n"] + 1))
+    # one task puts the bounded examples in order; the driver only hands on what it makes
+    run = index_task(n, n1, n1 / n, (blank["toxic"] + n1 / n) / (blank["n"] + 1))
+    made = cut(rows.where("size(terms) > 0").repartition(1).mapInArrow(run, "at long, data binary"), "toxic-index").collect()
+    if not made:
+        return None
+    index = pickle.loads(b"".join(bytes(r["data"]) for r in sorted(made, key=lambda r: r["at"])))
+    del made
     # calibration on the examples, each without its own vote
     shared = docs.sparkSession.sparkContext.broadcast(index)
     told = rows.where("size(terms) > 0").mapInArrow(votes_of(shared, k), "doc_id long, y long, logit double").toArrow().sort_by("doc_id")
@@ -299,11 +305,38 @@ def index_of(table: pa.Table, n: int, n1: int, prior: float, blank: float) -> In
     odds = np.log((d1 + 0.5) / (n1 - d1 + 0.5)) - np.log((d0 + 0.5) / (n - n1 - d0 + 0.5))
     marks = 1 + np.maximum(0, odds / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)))
     idf = (np.log((n + 1) / (d + 1)) + 1) * marks
-    first = np.concatenate([[0], np.cumsum(length)])
-    order = alike(first, t, weights_of(idf, t, counts, of, len(keys)), len(vocabulary))
-    at = ragged(first[order], length[order])
-    counts = counts[at].astype(np.min_scalar_type(int(counts.max(initial=1))))
-    return Index(vocabulary, idf, np.concatenate([[0], np.cumsum(length[order])]), t[at], counts, toxic[order], votes[order], ids[order], keys[order], prior, blank)
+    order = alike(np.concatenate([[0], np.cumsum(length)]), t, weights_of(idf, t, counts, of, len(keys)), len(vocabulary))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # postings in order of blocks, terms and entries, sorted in place as numbers
+    v, c = len(vocabulary), int(counts.max(initial=1)) + 1
+    post = place[of]
+    del of
+    post = ((post // BLOCK * v + t) * BLOCK + post % BLOCK) * c + counts
+    del t
+    post.sort()
+    counts = (post % c).astype(np.min_scalar_type(c))
+    post //= c
+    entries = (post % BLOCK).astype(np.int16)
+    post //= BLOCK
+    new = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]])) if len(post) else np.zeros(0, np.int64)
+    block, words = np.divmod(post[new], max(1, v))
+    lengths = np.diff(np.append(new, len(post))).astype(np.int16)
+    runs = np.searchsorted(block, np.arange(-(-len(keys) // BLOCK) + 1))
+    return Index(vocabulary, idf, runs, words.astype(np.int32), lengths, entries, counts, toxic[order], votes[order], ids[order], keys[order], prior, blank)
+
+
+def index_task(*figures):
+    """All examples of one task's rows as an index, in pieces; see index_of()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            data = pickle.dumps(index_of(pa.Table.from_batches(parts), *figures), protocol=5)
+            for a in range(0, len(data), 1 << 23):
+                yield pa.RecordBatch.from_pydict({"at": [a], "data": [data[a : a + (1 << 23)]]}, schema=pa.schema([("at", pa.int64()), ("data", pa.binary())]))
+
+    return run
 
 
 def vectors(index: Index, n: int, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,7 +352,7 @@ def votes_of(index, k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("logit", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
+        x = index.value.weigh()
         place = np.argsort(x.keys)
         for batch in batches:
             y, own = batch.column("y").to_numpy(), place[np.searchsorted(x.keys[place], batch.column("key").to_numpy())]
@@ -349,7 +382,7 @@ def score(docs: DataFrame, index: Index | None, k: int = NEIGHBOURS) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = shared.value and shared.value.weigh()
         for batch in batches:
             for piece in pieces(batch):
                 n = piece.num_rows
