@@ -234,15 +234,9 @@ def weights_of(idf: np.ndarray, t: np.ndarray, counts: np.ndarray, of: np.ndarra
     return w / np.sqrt(np.bincount(of, weights=w * w, minlength=n))[of]
 
 
-def alike(first: np.ndarray, t: np.ndarray, w: np.ndarray, v: int) -> np.ndarray:
-    """An order of the vectors that puts those side by side that share common words (a few rounds of spherical k-means from evenly spaced vectors) and have about as many words, and so weights of a size. It only decides how many blocks stay shut."""
-    m = len(first) - 1
-    often = np.argsort(-np.bincount(t, minlength=v), kind="stable")[:SHARED]
-    column = np.full(v, -1)
-    column[often] = np.arange(len(often))
-    of, own = np.repeat(np.arange(m), np.diff(first)), column[t]
-    x = np.zeros((m, len(often)), np.float32)
-    x[of[own >= 0], own[own >= 0]] = w[own >= 0]
+def alike(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """An order of vectors that puts those side by side that share common terms (x; a few rounds of spherical k-means from evenly spaced vectors) and have about as many, and so weights of a size. It only decides how many blocks stay shut."""
+    m = len(x)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     k = min(GROUPS, m)
     centres, group = x[np.linspace(0, m - 1, k).astype(int)], np.zeros(m, int)
@@ -252,7 +246,7 @@ def alike(first: np.ndarray, t: np.ndarray, w: np.ndarray, v: int) -> np.ndarray
             if (group == g).any():
                 centres[g] = x[group == g].sum(0)
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-    return np.lexsort((np.arange(m), np.diff(first), group))
+    return np.lexsort((np.arange(m), size, group))
 
 
 def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = EXAMPLES, k: int = NEIGHBOURS) -> Index | None:
@@ -285,45 +279,60 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return index
 
 
-def index_of(table: pa.Table, n: int, n1: int, prior: float, blank: float) -> Index:
-    """The index of examples (key, y, doc_id, terms, counts); equal vectors, which have equal keys, are one entry. n, n1: examples and toxic ones in all."""
-    keys, once, place = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
-    votes = np.bincount(place)
-    toxic = np.bincount(place, weights=table.column("y").to_numpy()).astype(np.int64)
-    ids = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(ids, place, table.column("doc_id").to_numpy())
-    table = table.select(["terms", "counts"]).take(once)
-    length = pc.list_value_length(table.column("terms")).to_numpy()
-    hashes, counts = (pc.list_flatten(table.column(c)).to_numpy() for c in ("terms", "counts"))
-    del table
-    vocabulary, t = np.unique(hashes.view(np.uint64), return_inverse=True)
-    t = t.astype(np.int32)
-    del hashes
-    of = np.repeat(np.arange(len(keys), dtype=np.int32), length)
-    d, d1 = (np.bincount(t, weights=x[of], minlength=len(vocabulary)) for x in (votes, toxic))
+def index_of(batches: list[pa.RecordBatch], n: int, n1: int, prior: float, blank: float) -> Index:
+    """The index of examples (key, y, doc_id, terms, counts); equal vectors, which have equal keys, are one entry. n, n1: examples and toxic ones in all. Postings are worked on a batch or block at a time."""
+    key, y, doc_id = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("key", "y", "doc_id"))
+    keys, once, place = np.unique(key, return_index=True, return_inverse=True)
+    m, votes = len(keys), np.bincount(place)
+    toxic = np.bincount(place, weights=y).astype(np.int64)
+    ids = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(ids, place, doc_id)
+    hashes = lambda b: b.column("terms").flatten().to_numpy().view(np.uint64)
+    vocabulary = np.zeros(0, np.uint64)
+    for b in batches:
+        vocabulary = np.union1d(vocabulary, hashes(b))
+    v, t, counts, lengths = len(vocabulary), [], [], []
+    while batches:
+        b = batches.pop(0)
+        t.append(np.searchsorted(vocabulary, hashes(b)).astype(np.int32))
+        c = b.column("counts").flatten().to_numpy()
+        counts.append(c.astype(np.min_scalar_type(int(c.max(initial=1)))))
+        lengths.append(b.column("terms").value_lengths().to_numpy())
+        del b, c
+    t, counts, lengths = np.concatenate(t), np.concatenate(counts), np.concatenate(lengths)
+    # of rows with equal keys the first one stands for all
+    size, begin = lengths[once].astype(np.int64), (np.cumsum(lengths, dtype=np.int64) - lengths)[once]
+    d, d1 = np.zeros(v), np.zeros(v)
+    for a in range(0, m, BLOCK):
+        own = slice(a, a + BLOCK)
+        at = ragged(begin[own], size[own])
+        d += np.bincount(t[at], weights=np.repeat(votes[own], size[own]), minlength=v)
+        d1 += np.bincount(t[at], weights=np.repeat(toxic[own], size[own]), minlength=v)
     d0 = d - d1
     odds = np.log((d1 + 0.5) / (n1 - d1 + 0.5)) - np.log((d0 + 0.5) / (n - n1 - d0 + 0.5))
     marks = 1 + np.maximum(0, odds / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)))
     idf = (np.log((n + 1) / (d + 1)) + 1) * marks
-    order = alike(np.concatenate([[0], np.cumsum(length)]), t, weights_of(idf, t, counts, of, len(keys)), len(vocabulary))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    # postings in order of blocks, terms and entries, sorted in place as numbers
-    v, c = len(vocabulary), int(counts.max(initial=1)) + 1
-    post = place[of]
-    del of
-    post = ((post // BLOCK * v + t) * BLOCK + post % BLOCK) * c + counts
-    del t
-    post.sort()
-    counts = (post % c).astype(np.min_scalar_type(c))
-    post //= c
-    entries = (post % BLOCK).astype(np.int16)
-    post //= BLOCK
-    new = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]])) if len(post) else np.zeros(0, np.int64)
-    block, words = np.divmod(post[new], max(1, v))
-    lengths = np.diff(np.append(new, len(post))).astype(np.int16)
-    runs = np.searchsorted(block, np.arange(-(-len(keys) // BLOCK) + 1))
-    return Index(vocabulary, idf, runs, words.astype(np.int32), lengths, entries, counts, toxic[order], votes[order], ids[order], keys[order], prior, blank)
+    often = np.argsort(-d, kind="stable")[:SHARED]
+    column = np.full(v, -1)
+    column[often] = np.arange(len(often))
+    x = np.zeros((m, len(often)), np.float32)
+    for a in range(0, m, BLOCK):
+        at = ragged(begin[a : a + BLOCK], size[a : a + BLOCK])
+        of, col = np.repeat(np.arange(len(size[a : a + BLOCK])), size[a : a + BLOCK]), column[t[at]]
+        x[a + of[col >= 0], col[col >= 0]] = weights_of(idf, t[at], counts[at], of, BLOCK)[col >= 0]
+    order = alike(x, size)
+    del x
+    runs, parts = [0], []
+    for a in range(0, m, BLOCK):
+        own = order[a : a + BLOCK]
+        at, entry = ragged(begin[own], size[own]), np.repeat(np.arange(len(own)), size[own])
+        by = np.lexsort((entry, t[at]))
+        at, entry = at[by], entry[by]
+        new = np.flatnonzero(np.concatenate([[True], t[at[1:]] != t[at[:-1]]])) if len(at) else np.zeros(0, np.int64)
+        parts.append((t[at[new]], np.diff(np.append(new, len(at))).astype(np.int16), entry.astype(np.int16), counts[at]))
+        runs.append(runs[-1] + len(new))
+    words, length, entries, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return Index(vocabulary, idf, np.array(runs), words, length, entries, counts, toxic[order], votes[order], ids[order], keys[order], prior, blank)
 
 
 def index_task(*figures):
@@ -332,7 +341,7 @@ def index_task(*figures):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if parts:
-            data = pickle.dumps(index_of(pa.Table.from_batches(parts), *figures), protocol=5)
+            data = pickle.dumps(index_of(parts, *figures), protocol=5)
             for a in range(0, len(data), 1 << 23):
                 yield pa.RecordBatch.from_pydict({"at": [a], "data": [data[a : a + (1 << 23)]]}, schema=pa.schema([("at", pa.int64()), ("data", pa.binary())]))
 

@@ -331,7 +331,7 @@ def test_index_is_exact(monkeypatch, block, common, m):
     y = rng.random(m) < 0.4
     y[:2] = True, False
     n1 = int(y.sum())
-    index = toxicity.index_of(example_rows(x, y), m, n1, n1 / m, 0.5)
+    index = toxicity.index_of(example_rows(x, y).to_batches(max_chunksize=50), m, n1, n1 / m, 0.5)
     index.weigh()
     q = np.concatenate([x[: asked // 2], rng.integers(0, 3, (asked // 2, terms)) * (rng.random((asked // 2, terms)) < 0.03)])
     q[-1] = 0
