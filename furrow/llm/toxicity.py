@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-A text's terms are its words and the beginnings of longer ones. All terms of the examples make up the
+A text's terms are the stems of its words. All terms of the examples make up the
 vocabulary, without selection, and examples and texts are TF-IDF vectors over it; a term that occurs more
 in toxic examples weighs 1 + z times as much, z being the z-score of its log odds. For each text the examples with the highest cosine are found exactly by a
 block-max inverted index: entries are put in order of what they have in common, so that a block of them
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import crc_mod, cut, smallest
 from furrow.llm.quality import fit
-from furrow.llm.shingles import BASE, hash_words, mix, pieces, spans
+from furrow.llm.shingles import hash_words, pieces, spans
 
 EXAMPLES = 24_000
 NEIGHBOURS = 15
 #: Entries of a block, and so many of a block's commonest words are columns of its dense matrix.
 BLOCK, COMMON = 1024, 768
-#: Longer words also count as their beginnings of so many bytes.
-BEGINNING = 4
+#: A word counts as its stem, its first bytes.
+STEM = 4
 #: Groups of entries that are alike, rounds of grouping, and so many of the commonest words that it looks at.
 GROUPS, ROUNDS, SHARED = 8, 6, 512
 #: Texts whose blocks are bounded together, postings that are added up at once.
@@ -55,12 +55,9 @@ LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of the texts, and which text each is of."""
+    """Hashes of all words' stems in the texts, and which text each is of."""
     data, starts, ends, first = spans(pc.fill_null(texts, ""), LETTERS)
-    of = np.repeat(np.arange(len(texts)), np.diff(first))
-    longer = ends - starts > BEGINNING
-    stems = mix(hash_words(data, starts[longer], starts[longer] + BEGINNING) ^ np.uint64(BEGINNING * int(BASE) % (1 << 64)))
-    return np.concatenate([hash_words(data, starts, ends), stems]), np.concatenate([of, of[longer]])
+    return hash_words(data, starts, np.minimum(ends, starts + STEM)), np.repeat(np.arange(len(texts)), np.diff(first))
 
 
 def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +157,10 @@ class Index:
         part = np.bincount(np.repeat(row * BLOCK, length) + self.entries[post], weights=self.weights[post] * np.repeat(scale, length), minlength=len(rows) * BLOCK).reshape(len(rows), BLOCK)
         total = asked @ self.dense[b]
         total += part
-        # sums are in single precision: what may be equal is kept and worked out again
+        # sums are in single precision: what may be equal is kept
         least = np.maximum(least, np.partition(total, BLOCK - k, axis=1)[:, BLOCK - k]) if k <= BLOCK else least
-        r, e = np.nonzero((total >= least[:, None] - 1e-4) & (total > 0))
-        exact = part[r, e] + np.einsum("ij,ij->i", asked[r].astype(float), self.dense[b].T[e].astype(float)) if len(r) else np.zeros(0)
-        return rows[r], b * BLOCK + e, exact
+        r, e = np.nonzero((total >= least[:, None] - 1e-5) & (total > 0))
+        return rows[r], b * BLOCK + e, total[r, e].astype(float)
 
     def nearest(self, first: np.ndarray, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, entry, cosine) of the k entries nearest to each text, in order of texts and nearness; text i has the words t and weights w from first[i] to first[i + 1]."""
@@ -192,7 +188,7 @@ class Index:
         rank, step = 0, 1
         while rank < self.blocks:
             to = min(self.blocks, rank + step)
-            r, j = np.nonzero((ranked[:, rank:to] > 0) & (ranked[:, rank:to] >= least[:, None] - 1e-4))
+            r, j = np.nonzero((ranked[:, rank:to] > 0) & (ranked[:, rank:to] >= least[:, None] - 1e-5))
             if not len(r):
                 break  # later blocks reach no further
             blocks = order[r, rank + j]
@@ -202,7 +198,7 @@ class Index:
                 chunk = max(1, int(POSTINGS // (1 + (first[rows + 1] - first[rows]).mean() * 8)))
                 parts += [self.opened(int(b), first, t, w, rows[x : x + chunk], least[rows[x : x + chunk]], k) for x in range(0, len(rows), chunk)]
             row, entry, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
-            best = np.lexsort((entry, -np.round(cosine, 9), row))
+            best = np.lexsort((entry, -np.round(cosine, 6), row))
             row, entry, cosine = row[best], entry[best], cosine[best]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             least[row[place == k - 1]] = cosine[place == k - 1]
