@@ -5,8 +5,9 @@ tables of random hyperplanes (buckets cut into chunks of bounded size, neighbour
 refined: what two vectors have in common as a neighbour is compared, and each list keeps the best. A list
 whose members all reach the threshold is saturated and gets twice the room. When lists hardly change any
 more, edges at the threshold join classes into components. A list that ends up saturated says nothing
-of what lies beyond it, so each component with such a list is compared exactly with all vectors
-outside that its tiles' centroids and radii don't rule out. Links run within components, so the last
+of what lies beyond it, and a link between two vectors may be in neither list when both are saturated. So
+components with saturated lists are compared exactly with each other, by those of their tiles that
+centroids and radii don't rule out. Links run within components, so the last
 step compares each component's members by tiles and counts, in double precision: lists bound what the
 search finds, not what is counted, and no pairs leave a tile.
 
@@ -32,8 +33,8 @@ from furrow.llm.common import cut
 from furrow.llm.graph import components
 
 THRESHOLD = 0.95
-#: Neighbours in a list at first and at most, tables of hyperplanes, rounds, and candidates a vector gets from one meeting.
-LIST, LONGEST, TABLES, ROUNDS, OFFERS = 8, 64, 6, 5, 3
+#: Neighbours in a list at first and at most, tables of hyperplanes, rounds after which a search that goes on is an error, and candidates a vector gets from one meeting.
+LIST, LONGEST, TABLES, ROUNDS, OFFERS = 8, 64, 6, 40, 3
 #: Vectors of a bucket's chunk, and of a tile of a component.
 CHUNK, TILE = 384, 1024
 #: Share of list entries that change from which another round is worth it.
@@ -152,8 +153,8 @@ def neighbour_graph(classes: DataFrame, dim: int, n: int, threshold: float) -> D
         changed, total = new.join(graph.select("u", "v"), ["u", "v"], "left_anti").count(), new.count()
         graph = new
         if changed <= STIR * total:
-            break
-    return graph
+            return graph
+    raise RuntimeError("the neighbour graph has not settled")
 
 
 def tile_batches(dim: int, threshold: float):
@@ -175,7 +176,8 @@ def link_counts(labelled: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(c, links): for each class of labelled (comp, c, x, m) the rows of its component at the threshold, its own included."""
     sizes = labelled.groupBy("comp").agg(F.count("*").alias("size"))
     tiled = labelled.join(sizes, "comp").withColumn("tiles", F.expr(f"cast(ceil(size / {TILE}) as long)")).withColumn("tile", F.expr("pmod(xxhash64(c), tiles)"))
-    tiles = cut(tiled.groupBy("comp", "tile").agg(F.collect_list(F.struct("c", "x", "m")).alias("v"), F.first("tiles").alias("tiles")), "vector-tiles")
+    # dealt by tiles, not by components, of which one may hold a third of all vectors
+    tiles = cut(tiled.repartition("comp", "tile").groupBy("comp", "tile").agg(F.collect_list(F.struct("c", "x", "m")).alias("v"), F.first("tiles").alias("tiles")), "vector-tiles")
     left = tiles.select("comp", F.col("v").alias("a"), F.explode(F.expr("sequence(cast(0 as bigint), tiles - 1)")).alias("tile"))
     met = left.join(tiles.select("comp", "tile", F.col("v").alias("b")), ["comp", "tile"])
     run, schema = tile_batches(dim, threshold)
@@ -201,64 +203,61 @@ def centroid_batches(dim: int):
     return run, "comp long, tile long, centre array<double>, radius double"
 
 
-def reach_batches(dim: int, threshold: float):
-    """Rows hold a block of vectors (c, x, comp) and a tile's centre and radius: the vectors of other components that may reach the tile."""
-    schema = pa.schema([("comp", pa.int64()), ("tile", pa.int64()), ("c", pa.int64())])
+def reach_batches(threshold: float):
+    """Rows hold two blocks of tiles (comp, tile, centre, radius): the pairs of tiles of different components that may hold linked vectors, each pair once."""
+    schema = pa.schema([(n, pa.int64()) for n in ("comp", "tile", "other", "other_tile")])
     most = float(np.arccos(threshold)) + 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, comp, tile, centre, radius in zip(batch.column("v"), batch.column("comp").to_pylist(), batch.column("tile").to_pylist(), batch.column("centre").to_pylist(), batch.column("radius").to_pylist(), strict=True):
-                c, x, _ = lists(pa.ListArray.from_arrays([0, len(v.values)], v.values), dim)
-                near = np.arccos(np.clip(x @ np.array(centre), -1, 1)) - radius <= most
-                own = c[near & (v.values.field("comp").to_numpy() != comp)]
-                yield pa.RecordBatch.from_arrays([pa.array([comp] * len(own), pa.int64()), pa.array([tile] * len(own), pa.int64()), pa.array(own, pa.int64())], schema=schema)
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                (ca, ta, xa, ra), (cb, tb, xb, rb) = ([np.array([r[n] for r in v]) for n in ("comp", "tile", "centre", "radius")] for v in (a, b))
+                i, j = np.nonzero((np.arccos(np.clip(xa @ xb.T, -1, 1)) <= ra[:, None] + rb + most) & (ca[:, None] < cb))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ca[i], ta[i], cb[j], tb[j])], schema=schema)
 
-    return run, "comp long, tile long, c long"
+    return run, "comp long, tile long, other long, other_tile long"
 
 
 def cross_batches(dim: int, threshold: float):
-    """Rows hold a tile b and vectors a (c, x, comp) of other components: a component of a each with one of b's, where any vectors link."""
+    """Rows hold two tiles a and b of components comp and other: the components of tiles where any vectors link."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, comp in zip(batch.column("a"), batch.column("b"), batch.column("comp").to_pylist(), strict=True):
-                _, xa, _ = lists(pa.ListArray.from_arrays([0, len(a.values)], a.values), dim)
-                _, xb, _ = lists(pa.ListArray.from_arrays([0, len(b.values)], b.values), dim)
-                other = np.unique(a.values.field("comp").to_numpy()[((xa @ xb.T) >= threshold).any(1)])
-                yield pa.RecordBatch.from_arrays([pa.array(other, pa.int64()), pa.array([comp] * len(other), pa.int64())], schema=schema)
+            for a, b, comp, other in zip(batch.column("a"), batch.column("b"), batch.column("comp").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                (_, xa, _), (_, xb, _) = (lists(pa.ListArray.from_arrays([0, len(v.values)], v.values), dim) for v in (a, b))
+                if (xa @ xb.T >= threshold).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([comp]), pa.array([other])], schema=schema)
 
     return run, "u long, v long"
 
 
-def settled(own: DataFrame, graph: DataFrame, found: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
-    """found (node, component) with components joined that full lists may have kept apart, and what links to them."""
+def settled(own: DataFrame, graph: DataFrame, found: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """found (node, component) with components joined that full lists may have kept apart."""
     full = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("s").alias("s")).where(f"k >= {LIST} and s >= {threshold}")
     hot = full.join(found, full.u == found.node).select(F.col("component").alias("comp")).distinct()
-    every = own.join(found, own.c == found.node, "left").select(F.coalesce("component", "c").alias("comp"), "c", "x")
-    every = cut(every, "vector-all")
-    crowded = every.join(hot, "comp")
+    crowded = found.withColumnRenamed("component", "comp").join(hot, "comp").join(own, F.col("node") == F.col("c")).select("comp", "c", "x")
+    crowded = cut(crowded, "vector-all")
     sizes = crowded.groupBy("comp").agg(F.count("*").alias("size"))
     tiles = crowded.join(sizes, "comp").withColumn("tile", F.expr(f"pmod(xxhash64(c), cast(ceil(size / {TILE}) as long))"))
-    tiles = cut(tiles.groupBy("comp", "tile").agg(F.collect_list(F.struct("c", "x")).alias("v")), "vector-crowded")
+    tiles = cut(tiles.repartition("comp", "tile").groupBy("comp", "tile").agg(F.collect_list(F.struct("c", "x")).alias("v")), "vector-crowded")
     if not tiles.take(1):
         return found
     run, schema = centroid_batches(dim)
     centres = cut(tiles.mapInArrow(run, schema), "vector-centres")
-    blocks = every.groupBy(F.expr(f"pmod(xxhash64(c, 3), {math.ceil(n / TILE)})").alias("block")).agg(F.collect_list(F.struct("c", "x", "comp")).alias("v")).select("v")
-    run, schema = reach_batches(dim, threshold)
-    asked = cut(blocks.crossJoin(centres).mapInArrow(run, schema), "vector-asked")
-    many = asked.groupBy("comp", "tile").agg(F.count("*").alias("many"))
-    asked = asked.join(many, ["comp", "tile"]).withColumn("part", F.expr(f"pmod(xxhash64(c, 5), cast(ceil(many / {TILE}) as long))"))
-    asked = asked.join(every.withColumnRenamed("comp", "other"), "c").groupBy("comp", "tile", "part").agg(F.collect_list(F.struct("c", "x", F.col("other").alias("comp"))).alias("a"))
+    # the tiles' middles meet in blocks, each pair of blocks in a task of its own
+    many = -(-centres.count() // TILE)
+    blocks = cut(centres.groupBy(F.expr(f"pmod(xxhash64(comp, tile), {many})").alias("block")).agg(F.collect_list(F.struct("comp", "tile", "centre", "radius")).alias("v")), "vector-blocks")
+    asked = blocks.select(F.col("v").alias("a"), F.explode(F.expr(f"sequence(cast(0 as bigint), cast({many - 1} as bigint))")).alias("block")).join(blocks.withColumnRenamed("v", "b"), "block")
+    run, schema = reach_batches(threshold)
+    asked = cut(asked.select("a", "b").mapInArrow(run, schema), "vector-asked")
     run, schema = cross_batches(dim, threshold)
-    met = asked.join(tiles.withColumnRenamed("v", "b"), ["comp", "tile"]).select("a", "b", "comp").mapInArrow(run, schema)
-    links = cut(met.distinct(), "vector-cross")
+    left, right = tiles.withColumnRenamed("v", "a"), tiles.toDF("other", "other_tile", "b")
+    links = cut(asked.join(left, ["comp", "tile"]).join(right, ["other", "other_tile"]).select("a", "b", "comp", "other").mapInArrow(run, schema).distinct(), "vector-cross")
     if not links.take(1):
         return found
     joined = components(links).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
-    return cut(every.join(joined, "comp", "left").join(found.select("node"), F.col("c") == F.col("node"), "left").where("node is not null or whole is not null").select(F.col("c").alias("node"), F.coalesce("whole", "comp").alias("component")), "vector-settled")
+    return cut(found.join(joined, found.component == joined.comp, "left").select("node", F.coalesce("whole", "component").alias("component")), "vector-settled")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +267,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     for dim, n in [(r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()]:
         own = classes.where(F.col("dim") == dim)
         graph = neighbour_graph(own, dim, n, threshold)
-        found = settled(own, graph, components(graph.where(f"s >= {threshold}").select("u", "v")), dim, n, threshold)
+        found = settled(own, graph, components(graph.where(f"s >= {threshold}").select("u", "v")), dim, threshold)
         labelled = own.join(found, own.c == found.node).select(F.col("component").alias("comp"), "c", "x", "m")
         linked = link_counts(labelled, dim, threshold)
         comps = found if comps is None else comps.unionByName(found)
