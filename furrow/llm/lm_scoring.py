@@ -5,16 +5,23 @@ frequent vocabulary, others by an escape and their bytes. Each bit is predicted
 hashed into a table of counts of zeros and ones that was gathered from all training texts; the logits are
 mixed by weights, of which gates (how much each context has seen) choose a set; weights start equal in
 every text and learn online as its bits go by, and a last stage corrects the mixed probability by how well
-its level has done so far in this text. The probability of a text is the product over its bits, so it is
+its level has done so far in this text.
+
+Bits see contexts of a fixed number. What the whole corpus holds comes in by phrases: tokens whose hash
+with the one before says so end a phrase, so equal passages fall into equal phrases, and every phrase of
+every training text is counted. A phrase's probability mixes its discounted share of all phrases with the
+product over its bits; the weight is a logit for each of two gates (was the phrase before a known one?),
+and learns online as phrases go by. The probability of a text is the product over its phrases, so it is
 a proper distribution over texts, and bits per byte follow.
 
 Texts go through NumPy many at once: weights are fixed within a step of STEP bits of each text.
 
 Tables have a fixed number of slots. Tasks send the slots they touched, in blocks, and blocks are summed up
 in parallel; the finished tables (two bytes a slot) and the frequent vocabulary are what is broadcast.
-Counts of all other tokens never leave the cluster: texts' rare tokens meet them in a join.
+Counts of all other tokens and of all phrases grow with the corpus and never leave the cluster: texts'
+rare tokens and phrases meet them in joins.
 
-Tokens are told apart by 64-bit hashes.
+Tokens and phrases are told apart by 64-bit hashes.
 
 Edge cases: null and empty texts are the end alone; very long texts go through in windows; without training
 texts every token is unknown; a null id counts as the empty text for the split; repeated rows train and are
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import crc_mod, cut
-from furrow.llm.shingles import SPACE, hash_words, pieces, spans
+from furrow.llm.shingles import BASE, SPACE, Powers, hash_words, mix, pieces, spans
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of the frequent vocabulary at most, and those that serve as contexts.
@@ -46,6 +53,8 @@ BLOCK = 4096
 STEP, WINDOW, PIECE = 128, 1 << 16, 1 << 19
 RATE, LEVEL_RATE, LEVELS = 2.0, 0.5, 24
 END = np.uint64(0x454E44)
+#: One token in so many ends a phrase (a power of two); the chance of a known phrase after a known one at first; and how fast such chances learn.
+PHRASE, GOES_ON, PHRASE_RATE = 8, 0.9, 0.5
 TOP = 20
 GATES = 32
 
@@ -60,29 +69,49 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, starts, ends, hashes, first + np.arange(n + 1)
 
 
+def phrases(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, ends, first): each phrase's hash and the token after its last one, in order, and each text's first phrase's number."""
+    n = len(hashes)
+    before = np.concatenate([np.zeros(min(1, n), np.uint64), hashes[:-1]])
+    before[first[:-1]] = 0
+    last = (mix(hashes + before * np.uint64(3)) & np.uint64(PHRASE - 1)) == 0
+    last[first[1:] - 1] = True
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    up, down = Powers.reach(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
+    return mix(mix((sums[ends] - sums[starts]) * down[starts]) + (ends - starts).astype(np.uint64) * BASE), ends, np.searchsorted(ends, first[:-1], "right") if n else np.zeros(0, np.int64)
+
+
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+    """How often tokens (kind 0) and phrases (kind 1) occur."""
+    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
 
     def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
         h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         different, inverse = np.unique(h, return_inverse=True)
         return different, np.bincount(inverse, weights=c).astype(np.int64)
 
-    parts, held = [], 0
+    def rows(kind: int, parts: list) -> pa.RecordBatch:
+        h, c = parts[0] if len(parts) == 1 else merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], schema=schema)
+
+    held, size = [[], []], [0, 0]
     for batch in batches:
         for piece in pieces(batch):
-            _, _, _, hashes, _ = tokens(piece.column("text"))
-            parts.append(np.unique(hashes, return_counts=True))
-            held += len(parts[-1][0])
-            if held > 1_500_000:
-                parts = [merged(parts)]
-                held = len(parts[0][0])
-                if held > 1_000_000:  # mostly different: the rest is Spark's
-                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], schema=schema)
-                    parts, held = [], 0
-    if parts:
-        h, c = merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=schema)
+            _, _, _, hashes, first = tokens(piece.column("text"))
+            for kind, found in enumerate((hashes, phrases(hashes, first)[0])):
+                held[kind].append(np.unique(found, return_counts=True))
+                size[kind] += len(held[kind][-1][0])
+                if size[kind] > 1_000_000:
+                    held[kind] = [merged(held[kind])]
+                    size[kind] = len(held[kind][0][0])
+                    if size[kind] > 700_000:  # mostly different: the rest is Spark's
+                        yield rows(kind, held[kind])
+                        held[kind], size[kind] = [], 0
+    for kind in (0, 1):
+        if held[kind]:
+            yield rows(kind, held[kind])
 
 
 @dataclass
@@ -160,12 +189,13 @@ def make_code(hashes: np.ndarray, counts: np.ndarray, rare: int) -> Code:
 
 @dataclass
 class Bits:
-    """All bits of some texts in order: values, a slot in each table, whether they spell bytes, and each text's first bit."""
+    """All bits of some texts in order: values, a slot in each table, whether they spell bytes, and each text's and each token's first bit."""
 
     values: np.ndarray
     slots: list
     spelt: np.ndarray
     first: np.ndarray
+    tokens: np.ndarray
 
 
 def lookup(code: Code, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +280,7 @@ def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     nodes = code.nodes[of]
     slots = [(np.repeat(held[i], path) + nodes) >> np.uint32(33 - SLOTS[i].bit_length()) for i in range(3)]
     bounds = np.concatenate([[0], np.cumsum(path)])
-    return Bits(code.bits[of], slots, np.repeat(spelt, path), bounds[np.append(begin, n)[first]])
+    return Bits(code.bits[of], slots, np.repeat(spelt, path), bounds[np.append(begin, n)[first]], bounds[np.append(begin, n)])
 
 
 def table_batches(code):
@@ -320,10 +350,10 @@ def first_weights() -> np.ndarray:
 
 
 def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text's bits; weights (text, gate, input) and levels (text, level) go on learning."""
+    """The log probability of each token; weights (text, gate, input) and levels (text, level) go on learning."""
     n = len(bits.first) - 1
     size = np.diff(bits.first)
-    total = np.zeros(n)
+    logs = np.zeros(len(bits.values))
     seen = [tables[i][bits.slots[i]] for i in range(3)]
     x = np.empty((4, len(bits.values)), np.float32)
     for i in range(3):
@@ -350,18 +380,55 @@ def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) ->
         p2 = 1 / (1 + np.exp(-z1 - bias[spot]))
         p = (p1 + p2) * np.float32(0.5)
         np.clip(p, 2**-18, 1 - 2**-18, out=p)
-        total[active] += np.bincount(local, weights=np.log(np.where(ys, p, 1 - p)), minlength=len(active))
+        logs[at] = np.log(np.where(ys, p, 1 - p))
         wrong = ys - p1
         many = np.bincount(cell, minlength=cells) + 200
         slope = np.stack([np.bincount(cell, weights=wrong * xs[i], minlength=cells) for i in range(4)], 1)
         weights[active] = (flat + (RATE / many)[:, None] * slope).reshape(len(active), GATES, 4)
         off = np.bincount(spot, weights=ys - p2, minlength=spots) / (np.bincount(spot, weights=p2 * (1 - p2), minlength=spots) + 8)
         levels[active] = np.clip(bias + LEVEL_RATE * off, -3, 3).reshape(len(active), LEVELS)
-    return total / np.log(10)
+    sums = np.concatenate([[0.0], np.cumsum(logs)])
+    return np.diff(sums[bits.tokens])
+
+
+def phrase_mix(logs: np.ndarray, shares: np.ndarray, first: np.ndarray, start: float) -> np.ndarray:
+    """The log probability of each text: phrase by phrase its share of all phrases (0: unknown) and the product over its bits (logs), mixed by a logit for each gate that learns online. Phrases of text i go from first[i] to first[i + 1]; start: the chance of a known phrase after an unknown one."""
+    n, size = len(first) - 1, np.diff(first)
+    state = np.tile(np.log([start / (1 - start), GOES_ON / (1 - GOES_ON)]), (n, 1))
+    gate, total = np.zeros(n, np.int64), np.zeros(n)
+    order = np.argsort(-size, kind="stable")
+    for step in range(int(size.max()) if n else 0):
+        active = order[: int(np.searchsorted(-size[order], -step, "left"))]
+        at = first[active] + step
+        weight = 1 / (1 + np.exp(-state[active, gate[active]]))
+        with np.errstate(divide="ignore"):
+            known = np.log(weight) + np.log(shares[at])
+        both = np.logaddexp(known, np.log1p(-weight) + logs[at])
+        total[active] += both
+        was = np.exp(known - both)
+        state[active, gate[active]] = np.clip(state[active, gate[active]] + PHRASE_RATE * (was - weight), -12, 12)
+        gate[active] = was > 0.5
+    return total
+
+
+def phrase_batches(most: int, discount: float, start: float):
+    """Rows with logs of all phrases and (seq, c) of the known ones: the score of each text, in log10."""
+    schema = pa.schema([("rid", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs, known = batch.column("logs"), batch.column("known")
+            first = np.concatenate([[0], np.cumsum(logs.value_lengths().to_numpy())])
+            shares, flat = np.zeros(first[-1]), known.flatten()
+            of = np.repeat(np.arange(batch.num_rows), pc.fill_null(known.value_lengths(), 0).to_numpy())
+            shares[first[of] + flat.field("seq").to_numpy()] = np.maximum(flat.field("c").to_numpy() - discount, 0) / max(most, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(phrase_mix(logs.flatten().to_numpy(), shares, first, start) / np.log(10))], schema=schema)
+
+    return run, "rid long, score double"
 
 
 def score_batches(code, tables):
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("phrases", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64()))])
     start = first_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,14 +441,17 @@ def score_batches(code, tables):
                 n, size = piece.num_rows, np.diff(first)
                 of = np.repeat(np.arange(n), size)
                 ctx = contexts(c, symbols, known, first)
-                score = np.zeros(n)
+                logs_of = np.zeros(len(hashes))
                 weights, levels = np.repeat(start[None], n, 0), np.zeros((n, LEVELS), np.float32)
                 for a in range(0, max(1, int(size.max())), WINDOW):  # windows of each text's tokens
                     lengths = np.clip(size - a, 0, WINDOW)
                     own = ragged(first[:-1] + a, lengths)
                     bounds = np.concatenate([[0], np.cumsum(lengths)])
                     got = bits_of(c, data, starts[own], ends[own], symbols[own], known[own], (ctx[0][own], ctx[1][own]), bounds)
-                    score += mixed(got, t, weights, levels)
+                    logs_of[own] = mixed(got, t, weights, levels)
+                named, ends, lead = phrases(hashes, first)
+                sums = np.concatenate([[0.0], np.cumsum(logs_of)])
+                lead = pa.array(np.append(lead, len(named)), pa.int32())
                 rare = np.flatnonzero(~known)
                 o = np.lexsort((hashes[rare], of[rare]))
                 h, w = hashes[rare][o], of[rare][o]
@@ -390,13 +460,14 @@ def score_batches(code, tables):
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(size), pa.array(np.bincount(of, weights=known, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(of, weights=logs[symbols] * known, minlength=n)), pa.array(score), pc.binary_length(pc.fill_null(piece.column("text"), "")).cast(pa.int64()),
+                        pa.array(np.bincount(of, weights=logs[symbols] * known, minlength=n)), pc.binary_length(pc.fill_null(piece.column("text"), "")).cast(pa.int64()),
                         pa.ListArray.from_arrays(tail_first, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(tail_first, pa.array(np.diff(np.concatenate([new, [len(h)]])).astype(np.int64))),
+                        pa.ListArray.from_arrays(lead, pa.array(named.view(np.int64))), pa.ListArray.from_arrays(lead, pa.array(np.diff(sums[np.concatenate([[0], ends])]))),
                     ],
                     schema=schema,
                 )
 
-    return run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, score double, n_bytes long, tail array<long>, times array<long>"
+    return run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, n_bytes long, tail array<long>, times array<long>, phrases array<long>, logs array<double>"
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -415,9 +486,10 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, tuple[int, int], Code, list]:
-    """From texts (text) to learn from: all tokens' counts (h, c), their sum and number, the code, and the tables."""
-    counts = cut(docs.mapInArrow(count_batches, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int], Code, list]:
+    """From texts (text) to learn from: all tokens' and all phrases' counts (h, c), the tokens' sum and number, the code, and the tables."""
+    every = cut(docs.mapInArrow(count_batches, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")), "lm-counts")
+    counts, told = every.where("kind = 0").select("h", "c"), every.where("kind = 1").select("h", "c")
     got = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = got["n"] or 0, got["v"]
     hashes, c = frequent(counts, VOCABULARY)
@@ -429,19 +501,26 @@ def train(docs: DataFrame) -> tuple[DataFrame, tuple[int, int], Code, list]:
     tables = [packed(np.zeros((2, s))) for s in SLOTS]
     for r in blocks.toArrow().to_pylist():  # at most the tables themselves
         tables[r["part"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["slots"], "<i2")
-    return counts, (n, v), code, tables
+    return counts, told, (n, v), code, tables
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte (null where there are no bytes) for every row of docs."""
     held_out = crc_mod(F.col("doc_id").cast("long"), FOLDS) == HELD_OUT
     context = docs.sparkSession.sparkContext
-    counts, (n, v), code, tables = train(docs.where(~held_out).select("text"))
+    counts, told, (n, v), code, tables = train(docs.where(~held_out).select("text"))
     run, schema = score_batches(context.broadcast(code), context.broadcast(tables))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     scored = cut(rows.mapInArrow(run, schema), "lm-scored")
     tail = scored.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("h"), F.col("x.times").alias("m"))
     tail = tail.join(counts, "h").groupBy("rid").agg(F.sum("m").alias("n_tail"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    out = scored.drop("tail", "times").join(tail, "rid", "left")
+    # all phrases of the training texts: how many there are, and how much of a count is chance (by those seen once and twice)
+    got = told.agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    most, discount = got["n"] or 0, min(0.999, got["once"] / max(1, got["once"] + 2 * got["twice"]))
+    start = min(0.5, max(1e-4, 1 - got["once"] / max(1, most)))
+    known = scored.select("rid", F.posexplode("phrases").alias("seq", "h")).join(told, "h").groupBy("rid").agg(F.collect_list(F.struct("seq", "c")).alias("known"))
+    run, schema = phrase_batches(most, discount, start)
+    mixed_in = scored.select("rid", "logs").join(known, "rid", "left").select("rid", "logs", "known").mapInArrow(run, schema)
+    out = scored.drop("tail", "times", "phrases", "logs").join(tail, "rid", "left").join(mixed_in, "rid")
     base = F.col("head") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", F.expr("if(n_bytes > 0, -score / log10(2d) / n_bytes, null)").alias("bits_per_byte"))
