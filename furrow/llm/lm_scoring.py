@@ -353,41 +353,58 @@ def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) ->
     """The log probability of each token; weights (text, gate, input) and levels (text, level) go on learning."""
     n = len(bits.first) - 1
     size = np.diff(bits.first)
-    logs = np.zeros(len(bits.values))
-    seen = [tables[i][bits.slots[i]] for i in range(3)]
-    x = np.empty((4, len(bits.values)), np.float32)
-    for i in range(3):
-        np.multiply(seen[i] >> 2, np.float32(1 / 256), out=x[i])
-    x[3] = 0.3
-    gates = (seen[1] & 3) + ((seen[2] & 3) << 2) + (bits.spelt.astype(np.int16) << 4)
-    # the longest first: those still active at a step are a prefix
+    # a block is a step of a text; blocks of a step lie together, the longest texts first, so that those still active are a prefix
     order = np.argsort(-size, kind="stable")
-    for step in range(int(-(-size.max() // STEP)) if n else 0):
-        active = order[: int(np.searchsorted(-size[order], -step * STEP, "left"))]
-        lengths = np.minimum(size[active] - step * STEP, STEP)
-        at = ragged(bits.first[active] + step * STEP, lengths)
-        local = np.repeat(np.arange(len(active)), lengths)
-        xs, ys = x[:, at], bits.values[at]
-        cells, spots = len(active) * GATES, len(active) * LEVELS
-        cell = local * GATES + gates[at]
-        flat = weights[active].reshape(cells, 4)
-        w = flat[cell]
-        z1 = xs[0] * w[:, 0] + xs[1] * w[:, 1] + xs[2] * w[:, 2] + xs[3] * w[:, 3]
-        np.clip(z1, -13, 13, out=z1)
-        spot = local * LEVELS + ((z1 + np.float32(12)) * np.float32(LEVELS / 24)).astype(np.int64).clip(0, LEVELS - 1)
-        bias = levels[active].ravel()
-        p1 = 1 / (1 + np.exp(-z1))
-        p2 = 1 / (1 + np.exp(-z1 - bias[spot]))
-        p = (p1 + p2) * np.float32(0.5)
-        np.clip(p, 2**-18, 1 - 2**-18, out=p)
-        logs[at] = np.log(np.where(ys, p, 1 - p))
-        wrong = ys - p1
-        many = np.bincount(cell, minlength=cells) + 200
-        slope = np.stack([np.bincount(cell, weights=wrong * xs[i], minlength=cells) for i in range(4)], 1)
-        weights[active] = (flat + (RATE / many)[:, None] * slope).reshape(len(active), GATES, 4)
-        off = np.bincount(spot, weights=ys - p2, minlength=spots) / (np.bincount(spot, weights=p2 * (1 - p2), minlength=spots) + 8)
-        levels[active] = np.clip(bias + LEVEL_RATE * off, -3, 3).reshape(len(active), LEVELS)
-    sums = np.concatenate([[0.0], np.cumsum(logs)])
+    turns = -(-size[order] // STEP)
+    active = np.searchsorted(-turns, -np.arange(int(turns.max()) if n else 0), "left")
+    begin = np.concatenate([[0], np.cumsum(active)])
+    text, step = ragged(np.zeros(len(active), np.int64), active), np.repeat(np.arange(len(active)), active)
+    lengths = np.minimum(size[order][text] - step * STEP, STEP)
+    at = ragged(bits.first[order][text] + step * STEP, lengths)
+    edge = np.concatenate([[0], np.cumsum(lengths)])[begin]
+    seen = [tables[i].take(bits.slots[i].take(at)) for i in range(3)]
+    x = [(s >> 2) * np.float32(1 / 256) for s in seen]
+    always = np.float32(0.3)
+    gates = ((seen[1] & 3) + ((seen[2] & 3) << 2) + (bits.spelt.take(at).astype(np.int16) << 4)).astype(np.int64)
+    pace = RATE / (np.bincount(np.repeat(np.arange(len(text)) * GATES, lengths) + gates, minlength=len(text) * GATES) + 200)
+    cells = np.repeat(text * GATES, lengths) + gates
+    ground = np.repeat(text * LEVELS, lengths)
+    ys, p = bits.values.take(at), np.empty(len(at), np.float32)
+    held = [weights[order, :, i].ravel() for i in range(4)]
+    biases = levels[order].ravel()
+    for turn, many in enumerate(active):
+        own = slice(edge[turn], edge[turn + 1])
+        cell, y, xs = cells[own], ys[own], [v[own] for v in x]
+        w = [v[: many * GATES] for v in held]
+        bias = biases[: many * LEVELS]
+        z = w[3].take(cell)
+        z *= always
+        for i in range(3):
+            z += xs[i] * w[i].take(cell)
+        np.minimum(np.maximum(z, np.float32(-13), out=z), np.float32(13), out=z)
+        spot = np.minimum(np.maximum((z + np.float32(12)) * np.float32(LEVELS / 24), np.float32(0)), np.float32(LEVELS - 1)).astype(np.int64)
+        spot += ground[own]
+        e = np.exp(-z)
+        p1 = 1 / (1 + e)
+        p2 = 1 / (1 + e * np.exp(-bias).take(spot))
+        np.add(p1, p2, out=p[own])
+        wrong = y - p1
+        rate = pace[begin[turn] * GATES : begin[turn + 1] * GATES]
+        for i in range(3):
+            w[i] += rate * np.bincount(cell, weights=wrong * xs[i], minlength=len(rate))
+        w[3] += rate * np.bincount(cell, weights=wrong * always, minlength=len(rate))
+        bias += LEVEL_RATE * np.bincount(spot, weights=y - p2, minlength=len(bias)) / (np.bincount(spot, weights=p2 * (1 - p2), minlength=len(bias)) + 8)
+        np.minimum(np.maximum(bias, np.float32(-3), out=bias), np.float32(3), out=bias)
+    for i in range(4):
+        weights[order, :, i] = held[i].reshape(n, GATES)
+    levels[order] = biases.reshape(n, LEVELS)
+    p *= np.float32(0.5)
+    np.clip(p, 2**-18, 1 - 2**-18, out=p)
+    p -= np.uint8(1) - ys  # the chance of a one, or less that of a zero
+    logs = np.empty(len(at), np.float32)
+    logs[at] = np.log(np.abs(p, out=p), out=p)
+    sums = np.zeros(len(at) + 1)
+    np.cumsum(logs, dtype=np.float64, out=sums[1:])
     return np.diff(sums[bits.tokens])
 
 
@@ -435,6 +452,8 @@ def score_batches(code, tables):
         c, t = code.value, tables.value
         logs = np.append(np.log10(c.counts + 1.0), 0.0)
         for batch in batches:
+            # texts of like lengths go through together: their steps are shared by many
+            batch = batch.take(pa.array(np.argsort(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), kind="stable")))
             for piece in pieces(batch, most=PIECE):
                 data, starts, ends, hashes, first = tokens(piece.column("text"))
                 symbols, known = lookup(c, hashes)
