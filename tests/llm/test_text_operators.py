@@ -253,6 +253,42 @@ def test_long_texts_go_on_learning():
     assert score[0] > -4600
 
 
+def test_mixing_matches_a_plain_loop():
+    """Texts of several lengths, one empty here, go on with their weights from one window to the next. No bit lies on a level's edge, where single precision would decide."""
+    rng = np.random.default_rng(4)
+    tables = [lm_scoring.packed(rng.integers(0, 40, (2, 64)).astype(float)) for _ in range(3)]
+    start = lm_scoring.first_weights()
+    sizes = [[300, 0, 128, 700, 5], [90, 0, 0, 257, 0]]
+    n = len(sizes[0])
+    weights, levels = np.repeat(start[None], n, 0), np.zeros((n, lm_scoring.LEVELS), np.float32)
+    own, bias = [start.astype(float) for _ in range(n)], np.zeros((n, lm_scoring.LEVELS))
+    for size in sizes:
+        first = np.concatenate([[0], np.cumsum(size)])
+        total = int(first[-1])
+        bits = lm_scoring.Bits(rng.integers(0, 2, total).astype(np.uint8), [rng.integers(0, 64, total).astype(np.uint32) for _ in range(3)], rng.random(total) < 0.3, first, np.arange(total + 1))
+        got = lm_scoring.mixed(bits, tables, weights, levels)
+        for t in range(n):
+            for a in range(first[t], first[t + 1], lm_scoring.STEP):
+                slope, seen, off, room = np.zeros((lm_scoring.GATES, 4)), np.zeros(lm_scoring.GATES), np.zeros(lm_scoring.LEVELS), np.full(lm_scoring.LEVELS, 8.0)
+                for b in range(a, min(a + lm_scoring.STEP, first[t + 1])):
+                    cell = [int(tables[i][bits.slots[i][b]]) for i in range(3)]
+                    x = np.array([*((v >> 2) / 256 for v in cell), 0.3])
+                    gate = (cell[1] & 3) + 4 * (cell[2] & 3) + 16 * int(bits.spelt[b])
+                    y, z = int(bits.values[b]), min(13.0, max(-13.0, float(x @ own[t][gate])))
+                    assert abs(z - round(z)) > 1e-6
+                    level = min(lm_scoring.LEVELS - 1, max(0, int((z + 12) * lm_scoring.LEVELS / 24)))
+                    p1, p2 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z - bias[t, level]))
+                    p = (p1 + p2) / 2
+                    assert abs(got[b] - np.log(p if y else 1 - p)) < 1e-4
+                    slope[gate] += (y - p1) * x
+                    seen[gate] += 1
+                    off[level] += y - p2
+                    room[level] += p2 * (1 - p2)
+                own[t] = own[t] + lm_scoring.RATE / (seen + 200)[:, None] * slope
+                bias[t] = np.clip(bias[t] + lm_scoring.LEVEL_RATE * off / room, -3, 3)
+    assert np.abs(weights - np.array(own)).max() < 1e-4 and np.abs(levels - bias).max() < 1e-4
+
+
 def test_phrases_follow_the_content():
     """Equal passages fall into equal phrases, whatever stands around them."""
     r = random.Random(8)
