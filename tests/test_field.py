@@ -1,6 +1,7 @@
 import json
 import math
 import struct
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -197,6 +198,44 @@ def test_literal_lag_search_says_nothing(spark):
     assert scores["rsc"].abs().max() < 1e-9
 
 
+@pytest.mark.parametrize("n, span, literal", [(64, 20, False), (64, 64, False), (32, 1, False), (64, 20, True)])
+def test_lag_scores_equal_those_of_whole_images(n, span, literal, monkeypatch):
+    monkeypatch.setattr(lag, "HELD", span * 12)  # so that the field's lines take several rounds
+    monkeypatch.setattr(lag, "BLOCK", n * 4)
+    rng = np.random.default_rng(1)
+    i, j = (c[order] for c in np.nonzero(rng.random((span, n)) < 0.7) for order in [np.random.default_rng(2).permutation(len(c))])
+    v, noise = rng.normal(50, 9, len(i)), lag.Noise(n, span, 50.0, 9.0, 0, 3)
+    fields = []
+    for image in (0, 1):
+        beyond = np.concatenate([noise.beyond(k, min(k + 4, n // 2 + 1), image) for k in range(0, n // 2 + 1, 4)])
+        fields.append(np.concatenate([[noise.line(k, image) for k in range(span)], np.fft.irfft(beyond.T, n) if n > span else np.empty((0, n))]))
+    grid_, mask = np.zeros((n, n)), np.zeros((n, n), bool)
+    grid_[i, j], mask[i, j] = v, True
+    coupled = mask & np.roll(mask, (1, 1), (0, 1))
+    first = np.where(coupled, grid_, fields[0])
+    second = np.roll(first, (1, 1), (0, 1)) if literal else np.where(coupled, np.roll(grid_, (1, 1), (0, 1)), fields[1])
+    assert lag.field_phase_consistency(i, j, v, noise, literal) == pytest.approx(lag.phase_consistency(first, second), abs=1e-12)
+    assert fields[0].mean() == pytest.approx(50, abs=1) and fields[1].std() == pytest.approx(9, abs=1) and abs(np.corrcoef(fields[0].ravel(), fields[1].ravel())[0, 1]) < 0.1
+
+
+def test_lag_search_holds_no_whole_image():
+    """A strip of 4,096 pixels: one image would take 134 MB."""
+    i, j = np.divmod(np.arange(20 * 4096), 4096)
+    tracemalloc.start()
+    lag.field_phase_consistency(i, j, np.sin(i + j / 7.0), lag.Noise(4096, 20, 0.0, 1.0, 0, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_lag_search_on_either_axis(spark):
+    """Turning the field by its diagonal changes neither pixels nor couplings."""
+    df = serpentine(spark, passes=8)
+    turned = df.select("rid", "seq", F.col("y").alias("x"), F.col("x").alias("y"), "v")
+    one, two = ({(r["iter"], r["delay"]): r["rsc"] for r in lag.pcdi(d, 6.0, 6, 9, 3).collect()} for d in (df, turned))
+    assert one == pytest.approx(two) and len(one) == 12
+
+
 def test_manual_lag(spark):
     df = spark.createDataFrame([(i, float(i), 0.0, f"2024-01-01 00:00:{i // 2:02d}", float(i)) for i in range(20)], "rid long, x double, y double, t string, v double")
     got = {r["rid"]: r["v"] for r in lag.manual_lag_correction(df, "t", 2, 1).collect()}
