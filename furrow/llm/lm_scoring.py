@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import crc_mod, cut
+from furrow.llm.common import crc_mod, cut, drop
 from furrow.llm.shingles import BASE, SPACE, Powers, hash_words, mix, pieces, spans
 
 FOLDS, HELD_OUT = 7, 2
@@ -516,10 +516,12 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int], Code,
     code = make_code(hashes, c, n - int(c.sum()) + int((c == 1).sum()))
     shared = docs.sparkSession.sparkContext.broadcast(code)
     run, schema = table_batches(shared)
-    blocks = docs.mapInArrow(run, schema).groupBy("part", "block").applyInArrow(sum_blocks, "part int, block int, slots binary")
+    # as a table, so that the shuffle files of all tasks' blocks go now and not with the session
+    blocks = cut(docs.mapInArrow(run, schema).groupBy("part", "block").applyInArrow(sum_blocks, "part int, block int, slots binary"), "lm-tables")
     tables = [packed(np.zeros((2, s))) for s in SLOTS]
     for r in blocks.toArrow().to_pylist():  # at most the tables themselves
         tables[r["part"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["slots"], "<i2")
+    drop(blocks)
     return counts, told, (n, v), code, tables
 
 

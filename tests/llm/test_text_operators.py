@@ -236,6 +236,17 @@ def test_base_scores_match_brute_force(docs):
         assert g["score"] <= 0
 
 
+def test_lm_tables_leave_no_shuffle_files(docs, monkeypatch):
+    """The blocks of all tasks' tables are a table of their own, which is dropped."""
+    written, dropped = {}, []
+    keep = lm_scoring.cut
+    monkeypatch.setattr(lm_scoring, "cut", lambda df, what: written.setdefault(what, keep(df, what)))
+    monkeypatch.setattr(lm_scoring, "drop", lambda *tables: dropped.extend(tables), raising=False)
+    tables = lm_scoring.train(docs(["the cat sat on the mat"] * 20).select("text"))[-1]
+    blocks = written["lm-tables"]
+    assert dropped == [blocks] and {r["part"] for r in blocks.select("part").distinct().collect()} <= set(range(len(tables))) and all(t.any() for t in tables)
+
+
 def test_probabilities_add_up_and_order_matters(docs):
     """All one-word texts over a tiny alphabet hold less than 1, and text like the training's is likelier than shuffled letters."""
     text = "the cat sat on the mat and the dog sat on the log "
