@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import decontaminate, jaccard_join, lm_scoring, pii, quality, shingles, token_counts, toxicity
+from furrow.llm import decontaminate, graph, jaccard_join, lm_scoring, pii, quality, shingles, token_counts, toxicity
 
 # ---- personal data ----
 
@@ -117,6 +117,32 @@ def test_join_matches_brute_force(docs):
     assert kept == set(comp)
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    r = random.Random(6)
+    chain = r.sample(range(2000, 3000), 300)
+    pairs = [*zip(chain, chain[1:], strict=False), *((r.randrange(1500), r.randrange(1500)) for _ in range(700)), (5, 5), (7, 1 << 40)]
+    up = {}
+
+    def find(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    edges = spark.createDataFrame(pairs + pairs[:50], "u long, v long")
+    spark.sparkContext.setJobGroup("few-links", "")
+    got = graph.components(edges).collect()
+    spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 6
+    assert sorted(map(tuple, got)) == sorted((a, find(a)) for a in up)
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert sorted(map(tuple, graph.components(edges).collect())) == sorted(map(tuple, got))
+    assert graph.components(edges.where("u < 0")).count() == 0
+
+
 def test_every_linked_pair_shares_more_signatures_than_its_spare_ones():
     rng = np.random.default_rng(5)
     pairs = 0
