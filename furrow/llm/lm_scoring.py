@@ -250,8 +250,8 @@ def ragged(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - offsets, lengths)
 
 
-def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, known: np.ndarray, ctx: tuple, first: np.ndarray) -> Bits:
-    """The bits of tokens: each token's unit, and after an escape the units of its bytes and of the word's end."""
+def units_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, known: np.ndarray, ctx: tuple) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """(units, whether they spell bytes, their contexts' hashes for each table, each token's first): each token's unit, and after an escape the units of its bytes and of the word's end."""
     letters = np.where(known, 0, ends - starts + 1)
     begin = np.cumsum(letters + 1) - letters - 1
     n = int(begin[-1] + letters[-1] + 1) if len(letters) else 0
@@ -275,6 +275,13 @@ def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
             context = context * np.uint32(0x01000193) + np.where(inside >= j, back + np.uint32(1), np.uint32(0))
             if i is not None:
                 held[i][to] = spread(context, 0x9E3779B1 * j % (1 << 32))
+    return units, spelt, held, begin
+
+
+def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, known: np.ndarray, ctx: tuple, first: np.ndarray) -> Bits:
+    """The bits of tokens, those of their units one after the other."""
+    units, spelt, held, begin = units_of(code, data, starts, ends, symbols, known, ctx)
+    n = len(units)
     path = code.lengths[units]
     of = ragged(code.offsets[units], path)
     nodes = code.nodes[of]
@@ -283,6 +290,16 @@ def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return Bits(code.bits[of], slots, np.repeat(spelt, path), bounds[np.append(begin, n)[first]], bounds[np.append(begin, n)])
 
 
+def counted(code: Code, i: int, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """How many zeros and ones the units' bits bring to each slot of table i. Equal units in equal contexts have equal bits, so these are laid out once."""
+    pairs, times = np.unique((contexts.astype(np.uint64) << np.uint64(32)) | units.astype(np.uint64), return_counts=True)
+    units = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    path = code.lengths[units]
+    of = ragged(code.offsets[units], path)
+    slots = (np.repeat((pairs >> np.uint64(32)).astype(np.uint32), path) + code.nodes[of]) >> np.uint32(33 - SLOTS[i].bit_length())
+    return np.bincount((slots << np.uint32(1)) | code.bits[of], weights=np.repeat(times, path), minlength=2 * SLOTS[i]).astype(np.uint32)
+
+
 def table_batches(code):
     """Counts of zeros and ones in each slot that a task touched, by blocks."""
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("slots", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary())])
@@ -300,9 +317,9 @@ def table_batches(code):
                 escape, unknown = np.full(len(once), len(code.value.hashes)), np.zeros(len(once), bool)
                 runs = [slice(a, a + 5 * WINDOW) for a in range(0, len(hashes), 5 * WINDOW)]
                 for own, code_of, is_known in [*((r, symbols[r], known[r]) for r in runs), (once, escape, unknown)]:
-                    got = bits_of(code.value, data, starts[own], ends[own], code_of, is_known, (ctx[0][own], ctx[1][own]), np.zeros(1, np.int64))
+                    units, _, named, _ = units_of(code.value, data, starts[own], ends[own], code_of, is_known, (ctx[0][own], ctx[1][own]))
                     for i in range(3):
-                        held[i] += np.bincount((got.slots[i] << np.uint32(1)) | got.values, minlength=2 * SLOTS[i]).astype(np.uint32)
+                        held[i] += counted(code.value, i, named[i], units)
         for i, counts in enumerate(held or []):
             rows = []
             pairs = counts.reshape(-1, 2)
@@ -367,7 +384,7 @@ def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) ->
     always = np.float32(0.3)
     gates = ((seen[1] & 3) + ((seen[2] & 3) << 2) + (bits.spelt.take(at).astype(np.int16) << 4)).astype(np.int64)
     pace = RATE / (np.bincount(np.repeat(np.arange(len(text)) * GATES, lengths) + gates, minlength=len(text) * GATES) + 200)
-    cells = np.repeat(text * GATES, lengths) + gates
+    cells = np.add(np.repeat(text * GATES, lengths), gates, out=gates)
     ground = np.repeat(text * LEVELS, lengths)
     ys, p = bits.values.take(at), np.empty(len(at), np.float32)
     held = [weights[order, :, i].ravel() for i in range(4)]

@@ -508,3 +508,23 @@ def test_word_hashes_follow_the_words():
         for w, x in zip(words, h[first[i] : first[i + 1]], strict=True):
             names[w].add(int(x))
     assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == len(names)
+
+
+def test_equal_units_in_equal_contexts_are_laid_out_once(monkeypatch):
+    r = random.Random(8)
+    words = [f"Word{i}" for i in range(60)]
+    text = " ".join(r.choice(words[:40]) if r.random() < 0.9 else r.choice(words) for _ in range(400))
+    data, starts, ends, hashes, first = lm_scoring.tokens(pa.array([text + " " + text] * 20))
+    common, times = np.unique(hashes, return_counts=True)
+    code = lm_scoring.make_code(common[times > 400], times[times > 400], 50)
+    symbols, known = lm_scoring.lookup(code, hashes)
+    assert known.any() and not known.all()
+    ctx = lm_scoring.contexts(code, symbols, known, first)
+    units, _, held, _ = lm_scoring.units_of(code, data, starts, ends, symbols, known, ctx)
+    bits = lm_scoring.bits_of(code, data, starts, ends, symbols, known, ctx, first)
+    laid, ragged = [], lm_scoring.ragged
+    monkeypatch.setattr(lm_scoring, "ragged", lambda offsets, lengths: laid.append(int(lengths.sum())) or ragged(offsets, lengths))
+    for i in range(3):
+        plain = np.bincount((bits.slots[i] << np.uint32(1)) | bits.values, minlength=2 * lm_scoring.SLOTS[i])
+        assert (lm_scoring.counted(code, i, held[i], units) == plain).all()
+    assert 0 < max(laid) < len(bits.values) / 20
