@@ -236,6 +236,34 @@ def test_lag_search_on_either_axis(spark):
     assert one == pytest.approx(two) and len(one) == 12
 
 
+def test_lag_scores_of_several_delays_equal_those_of_each_alone(spark):
+    """Rows without yield or coordinates and steps beyond the rows' ends included."""
+    rng = np.random.default_rng(5)
+    rows = [(k, None if k % 11 == 0 else float(k % 20 * 3), float(k // 20 * 3 % 61), None if k % 7 == 0 else float(v)) for k, v in enumerate(rng.normal(30, 4, 400))]
+    df = spark.createDataFrame(rows, "seq long, x double, y double, v double")
+    got = {(r["iter"], r["delay"]): r["rsc"] for r in lag.pcdi(df, 6.0, -5, 5, 2).collect()}
+    layer, n, span, mean, sd = lag.pixels(df, 6.0, "v")
+    layer = layer.toPandas().sort_values("pos")
+    for (run, delay), rsc in got.items():
+        moved = layer.assign(v=layer["v"].shift(-delay)).dropna()
+        means = moved.groupby("cell")["v"].mean()
+        i, j = np.divmod(means.index.to_numpy().astype(np.int64), n)
+        assert rsc == pytest.approx(lag.field_phase_consistency(i, j, means.to_numpy(), lag.Noise(n, span, mean, sd, 0, run)), abs=1e-12)
+    assert len(got) == 22
+
+
+@pytest.mark.parametrize("name", ["lag_summary"])
+def test_lag_queries_search_all_delays(spark, name, monkeypatch):
+    """The operator's own range and runs: 65 delays, 10 runs."""
+    from furrow import queries
+
+    asked, whole = [], lag.pcdi
+    monkeypatch.setattr(lag, "pcdi", lambda *a, **how: asked.append(whole(*a, **how)) or asked[0])
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert asked[0].groupBy("delay").count().where("count = 10").count() == 65
+    assert sorted(r["delay"] for r in rows) == list(range(-32, 33)) if name == "pcdi_curve" else len(rows) == 1
+
+
 def test_manual_lag(spark):
     df = spark.createDataFrame([(i, float(i), 0.0, f"2024-01-01 00:00:{i // 2:02d}", float(i)) for i in range(20)], "rid long, x double, y double, t string, v double")
     got = {r["rid"]: r["v"] for r in lag.manual_lag_correction(df, "t", 2, 1).collect()}
