@@ -252,7 +252,7 @@ def test_lag_scores_of_several_delays_equal_those_of_each_alone(spark):
     assert len(got) == 22
 
 
-@pytest.mark.parametrize("name", ["lag_summary"])
+@pytest.mark.parametrize("name", ["pcdi_curve", "lag_summary"])
 def test_lag_queries_search_all_delays(spark, name, monkeypatch):
     """The operator's own range and runs: 65 delays, 10 runs."""
     from furrow import queries
