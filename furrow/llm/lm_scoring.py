@@ -49,8 +49,12 @@ VOCABULARY, COMMON, PAIRED = 1 << 18, 256, 48
 #: Slots of the tables (powers of two), and of a block.
 SLOTS = (1 << 19, 1 << 20, 1 << 20)
 BLOCK = 4096
-#: Bits of a text between updates of its weights, tokens of a window, bytes of text that go through at once.
-STEP, WINDOW, PIECE = 128, 1 << 16, 1 << 19
+#: Bits of a text between updates of its weights, tokens of a window, bytes of text that are split into tokens at once, and that are scored together.
+STEP, WINDOW, PIECE, SORTED = 128, 1 << 16, 1 << 19, 1 << 21
+#: Salt of a known token's context hash in the first table, times 2 and 3 in the others.
+FREE = 0x1000193
+#: Texts that are mixed side by side, and bits that are laid out at once.
+TOGETHER, LAID = 256, 1 << 18
 RATE, LEVEL_RATE, LEVELS = 2.0, 0.5, 24
 END = np.uint64(0x454E44)
 #: One token in so many ends a phrase (a power of two); the chance of a known phrase after a known one at first; and how fast such chances learn.
@@ -197,6 +201,63 @@ class Bits:
     first: np.ndarray
     tokens: np.ndarray
 
+    def lay(self, tables: list, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+        """The bits of ranges one after the other: (values, what each table has, whether they spell bytes), and for each run of bits that belong together its number and its first bit's place."""
+        at = ragged(starts, lengths)
+        return self.values.take(at), [t.take(s.take(at)) for t, s in zip(tables, self.slots, strict=True)], self.spelt.take(at), at, np.arange(len(at))
+
+
+@dataclass
+class Units:
+    """The same of texts whose bits are laid out when they are asked for: units, whether they spell bytes, their contexts' hashes for each table, where their bits begin, each text's first bit and each token's first unit.
+
+    marks: for each place of a path what the first table has where no context counts, and in the lowest bit the path's bit.
+    """
+
+    code: Code
+    marks: np.ndarray
+    units: np.ndarray
+    spelt: np.ndarray
+    held: list
+    bounds: np.ndarray
+    first: np.ndarray
+    tokens: np.ndarray
+
+    def lay(self, tables: list, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+        """As Bits.lay; a run is what a range has of a unit."""
+        ends = starts + lengths
+        low = np.searchsorted(self.bounds, starts, "right") - 1
+        many = np.searchsorted(self.bounds, ends, "left") - low
+        own = ragged(low, many)
+        skipped = np.maximum(np.repeat(starts, many) - self.bounds[own], 0)
+        path = np.minimum(self.bounds[own + 1], np.repeat(ends, many)) - self.bounds[own] - skipped
+        if not path.all():  # where nothing is known, the escape has no bits
+            own, skipped, path = own[path > 0], skipped[path > 0], path[path > 0]
+        of = ragged(self.code.offsets[self.units[own]] + skipped, path)
+        nodes = self.code.nodes.take(of, mode="clip")  # spares a pass for bounds
+        seen = [self.marks.take(of, mode="clip")]
+        values = seen[0] & 1
+        spelt = np.repeat(self.spelt[own], path)
+        letters, of_letters = np.flatnonzero(spelt), np.flatnonzero(self.spelt[own])
+        for i, held in enumerate(self.held):
+            slot = np.repeat(held[own if i else own[of_letters]], path if i else path[of_letters])
+            slot += nodes if i else nodes[letters]
+            slot >>= np.uint32(33 - SLOTS[i].bit_length())
+            if i:
+                seen.append(tables[i].take(slot, mode="clip"))
+            else:
+                seen[0][letters] = tables[0].take(slot, mode="clip")
+        return values, seen, spelt, own, np.cumsum(path) - path
+
+
+def path_marks(code: Code, table: np.ndarray) -> np.ndarray:
+    """The marks of all paths, from the first table; its two lowest bits are not asked for."""
+    marks = np.empty(len(code.nodes), np.int16)
+    for a in range(0, len(marks), LAID):  # in parts, which spares memory
+        own = slice(a, a + LAID)
+        marks[own] = (table[(spread(np.zeros(1, np.uint32), FREE) + code.nodes[own]) >> np.uint32(33 - SLOTS[0].bit_length())] & ~3) | code.bits[own]
+    return marks
+
 
 def lookup(code: Code, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbol, known) of tokens."""
@@ -258,7 +319,7 @@ def units_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     units, spelt, held = np.empty(n, np.int64), np.ones(n, bool), [np.empty(n, np.uint32) for _ in SLOTS]
     units[begin], spelt[begin] = symbols, False
     for i, context in enumerate((np.zeros(len(symbols), np.uint32), *ctx)):
-        held[i][begin] = spread(context, 0x1000193 * (i + 1))
+        held[i][begin] = spread(context, FREE * (i + 1))
     rare = np.flatnonzero(~known)
     if len(rare):
         size = letters[rare]
@@ -278,6 +339,25 @@ def units_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return units, spelt, held, begin
 
 
+def laid_by_units(code: Code, marks: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, known: np.ndarray, ctx: tuple, first: np.ndarray) -> Units:
+    """Tokens as units whose bits are still to be laid out; first: each text's first token."""
+    units, spelt, held, begin = units_of(code, data, starts, ends, symbols, known, ctx)
+    bounds = np.concatenate([[0], np.cumsum(code.lengths[units])])
+    begin = np.append(begin, len(units))
+    return Units(code, marks, units.astype(np.int32), spelt, held, bounds, bounds[begin[first]], begin)
+
+
+def joined(parts: list[Units]) -> Units:
+    """The texts of all parts, one after the other."""
+
+    def on(places: list) -> np.ndarray:
+        base = np.cumsum([0, *(p[-1] for p in places)])
+        return np.concatenate([*(p[:-1] + b for p, b in zip(places, base[:-1], strict=True)), base[-1:]])
+
+    each = lambda name: [getattr(p, name) for p in parts]
+    return Units(parts[0].code, parts[0].marks, np.concatenate(each("units")), np.concatenate(each("spelt")), [np.concatenate(h) for h in zip(*each("held"), strict=True)], on(each("bounds")), on(each("first")), on(each("tokens")))
+
+
 def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, known: np.ndarray, ctx: tuple, first: np.ndarray) -> Bits:
     """The bits of tokens, those of their units one after the other."""
     units, spelt, held, begin = units_of(code, data, starts, ends, symbols, known, ctx)
@@ -290,14 +370,20 @@ def bits_of(code: Code, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return Bits(code.bits[of], slots, np.repeat(spelt, path), bounds[np.append(begin, n)[first]], bounds[np.append(begin, n)])
 
 
-def counted(code: Code, i: int, contexts: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """How many zeros and ones the units' bits bring to each slot of table i. Equal units in equal contexts have equal bits, so these are laid out once."""
+def counted(code: Code, i: int, contexts: np.ndarray, units: np.ndarray, to: np.ndarray | None = None) -> np.ndarray:
+    """How many zeros and ones the units' bits bring to each slot of table i, added to what is there. Equal units in equal contexts have equal bits, so these are laid out once."""
     pairs, times = np.unique((contexts.astype(np.uint64) << np.uint64(32)) | units.astype(np.uint64), return_counts=True)
     units = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     path = code.lengths[units]
     of = ragged(code.offsets[units], path)
-    slots = (np.repeat((pairs >> np.uint64(32)).astype(np.uint32), path) + code.nodes[of]) >> np.uint32(33 - SLOTS[i].bit_length())
-    return np.bincount((slots << np.uint32(1)) | code.bits[of], weights=np.repeat(times, path), minlength=2 * SLOTS[i]).astype(np.uint32)
+    slots = np.repeat((pairs >> np.uint64(32)).astype(np.uint32), path)
+    slots += code.nodes.take(of, mode="clip")
+    slots >>= np.uint32(33 - SLOTS[i].bit_length())
+    slots <<= np.uint32(1)
+    slots |= code.bits.take(of, mode="clip")
+    to = np.zeros(2 * SLOTS[i], np.uint32) if to is None else to
+    np.add.at(to, slots.astype(np.int64), np.repeat(times.astype(np.uint32), path))
+    return to
 
 
 def table_batches(code):
@@ -319,7 +405,7 @@ def table_batches(code):
                 for own, code_of, is_known in [*((r, symbols[r], known[r]) for r in runs), (once, escape, unknown)]:
                     units, _, named, _ = units_of(code.value, data, starts[own], ends[own], code_of, is_known, (ctx[0][own], ctx[1][own]))
                     for i in range(3):
-                        held[i] += counted(code.value, i, named[i], units)
+                        counted(code.value, i, named[i], units, held[i])
         for i, counts in enumerate(held or []):
             rows = []
             pairs = counts.reshape(-1, 2)
@@ -366,63 +452,94 @@ def first_weights() -> np.ndarray:
     return w
 
 
-def mixed(bits: Bits, tables: list, weights: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def mixed(bits: Bits | Units, tables: list, weights: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The log probability of each token; weights (text, gate, input) and levels (text, level) go on learning."""
-    n = len(bits.first) - 1
-    size = np.diff(bits.first)
-    # a block is a step of a text; blocks of a step lie together, the longest texts first, so that those still active are a prefix
-    order = np.argsort(-size, kind="stable")
-    turns = -(-size[order] // STEP)
-    active = np.searchsorted(-turns, -np.arange(int(turns.max()) if n else 0), "left")
+    # the longest texts first, and TOGETHER of them side by side, so that those still active are a prefix and their numbers stay in the cache
+    order = np.argsort(-np.diff(bits.first), kind="stable")
+    sums = np.zeros(int(bits.tokens[-1]) + 1)
+    for a in range(0, len(order), TOGETHER):
+        own = order[a : a + TOGETHER]
+        weights[own], levels[own] = side_by_side(bits, tables, bits.first[own], np.diff(bits.first)[own], weights[own], levels[own], sums[1:])
+    return np.diff(np.cumsum(sums, out=sums)[bits.tokens])
+
+
+def side_by_side(bits: Bits | Units, tables: list, first: np.ndarray, size: np.ndarray, weights: np.ndarray, levels: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adds the log probabilities of bits to sums, by the numbers of their runs; what weights and levels have become. size goes down.
+
+    Inputs go in pairs as complex numbers, the second with its sign turned: the real part of such a pair times two weights is their share of the logit, and one fetch or sum serves two.
+    """
+    turns = -(-size // STEP)
+    active = np.searchsorted(-turns, -np.arange(int(turns.max())), "left")
     begin = np.concatenate([[0], np.cumsum(active)])
-    text, step = ragged(np.zeros(len(active), np.int64), active), np.repeat(np.arange(len(active)), active)
-    lengths = np.minimum(size[order][text] - step * STEP, STEP)
-    at = ragged(bits.first[order][text] + step * STEP, lengths)
-    edge = np.concatenate([[0], np.cumsum(lengths)])[begin]
-    seen = [tables[i].take(bits.slots[i].take(at)) for i in range(3)]
-    x = [(s >> 2) * np.float32(1 / 256) for s in seen]
-    always = np.float32(0.3)
-    gates = ((seen[1] & 3) + ((seen[2] & 3) << 2) + (bits.spelt.take(at).astype(np.int16) << 4)).astype(np.int64)
-    pace = RATE / (np.bincount(np.repeat(np.arange(len(text)) * GATES, lengths) + gates, minlength=len(text) * GATES) + 200)
-    cells = np.add(np.repeat(text * GATES, lengths), gates, out=gates)
-    ground = np.repeat(text * LEVELS, lengths)
-    ys, p = bits.values.take(at), np.empty(len(at), np.float32)
-    held = [weights[order, :, i].ravel() for i in range(4)]
-    biases = levels[order].ravel()
-    for turn, many in enumerate(active):
-        own = slice(edge[turn], edge[turn + 1])
-        cell, y, xs = cells[own], ys[own], [v[own] for v in x]
-        w = [v[: many * GATES] for v in held]
-        bias = biases[: many * LEVELS]
-        z = w[3].take(cell)
-        z *= always
-        for i in range(3):
-            z += xs[i] * w[i].take(cell)
-        np.minimum(np.maximum(z, np.float32(-13), out=z), np.float32(13), out=z)
-        spot = np.minimum(np.maximum((z + np.float32(12)) * np.float32(LEVELS / 24), np.float32(0)), np.float32(LEVELS - 1)).astype(np.int64)
-        spot += ground[own]
-        e = np.exp(-z)
-        p1 = 1 / (1 + e)
-        p2 = 1 / (1 + e * np.exp(-bias).take(spot))
-        np.add(p1, p2, out=p[own])
-        wrong = y - p1
-        rate = pace[begin[turn] * GATES : begin[turn + 1] * GATES]
-        for i in range(3):
-            w[i] += rate * np.bincount(cell, weights=wrong * xs[i], minlength=len(rate))
-        w[3] += rate * np.bincount(cell, weights=wrong * always, minlength=len(rate))
-        bias += LEVEL_RATE * np.bincount(spot, weights=y - p2, minlength=len(bias)) / (np.bincount(spot, weights=p2 * (1 - p2), minlength=len(bias)) + 8)
-        np.minimum(np.maximum(bias, np.float32(-3), out=bias), np.float32(3), out=bias)
-    for i in range(4):
-        weights[order, :, i] = held[i].reshape(n, GATES)
-    levels[order] = biases.reshape(n, LEVELS)
-    p *= np.float32(0.5)
-    np.clip(p, 2**-18, 1 - 2**-18, out=p)
-    p -= np.uint8(1) - ys  # the chance of a one, or less that of a zero
-    logs = np.empty(len(at), np.float32)
-    logs[at] = np.log(np.abs(p, out=p), out=p)
-    sums = np.zeros(len(at) + 1)
-    np.cumsum(logs, dtype=np.float64, out=sums[1:])
-    return np.diff(sums[bits.tokens])
+    pairs = [np.ascontiguousarray(weights[:, :, i : i + 2]).view(np.complex64).ravel() for i in (0, 2)]
+    biases = levels.ravel()
+    most = len(size) * STEP
+    logit, scaled, chance, late = (np.empty(most, np.float32) for _ in range(4))
+    one, two, off = (np.empty(most, np.complex64) for _ in range(3))
+    wrong, spots = np.zeros(most, np.complex64), np.empty(most, np.int64)
+    step = 0
+    while step < len(active):  # as many steps as are laid out at once
+        last = max(step + 1, int(np.searchsorted(begin, begin[step] + LAID // STEP, "right")) - 1)
+        many = active[step:last]
+        text, of = ragged(np.zeros(len(many), np.int64), many), np.repeat(np.arange(step, last), many)
+        lengths = np.minimum(size[text] - of * STEP, STEP)
+        values, seen, spelt, runs, places = bits.lay(tables, first[text] + of * STEP, lengths)
+        edge = np.concatenate([[0], np.cumsum(lengths)])[begin[step : last + 1] - begin[step]]
+        gates = seen[2] & 3
+        gates <<= 2
+        gates += seen[1] & 3
+        gates += spelt.view(np.int8) << np.int8(4)
+        x = [np.empty(len(values), np.complex64) for _ in range(2)]
+        for to, cell, unit in ((x[0].real, seen[0], 1 / 256), (x[0].imag, seen[1], -1 / 256), (x[1].real, seen[2], 1 / 256)):
+            cell >>= 2
+            np.multiply(cell, np.float32(unit), out=to)
+        x[1].imag = -0.3
+        cells, ground = np.repeat(text * GATES, lengths), np.repeat(text * LEVELS, lengths)
+        cells += gates
+        ys, p = values.astype(np.float32), np.empty(len(values), np.float32)
+        for turn in range(step, last):
+            own = slice(edge[turn - step], edge[turn - step + 1])
+            n, w, bias = own.stop - own.start, [v[: active[turn] * GATES] for v in pairs], biases[: active[turn] * LEVELS]
+            cell, y, xs = cells[own], ys[own], [v[own] for v in x]
+            z, spot, p1, p2, both = logit[:n], spots[:n], chance[:n], late[:n], (one[:n], two[:n])
+            for i in range(2):
+                w[i].take(cell, out=both[i], mode="clip")
+                np.multiply(both[i], xs[i], out=both[i])
+            np.add(*both, out=both[0])
+            np.clip(both[0].real, np.float32(-13), np.float32(13), out=z)
+            level = np.add(z, np.float32(12), out=scaled[:n])
+            level *= np.float32(LEVELS / 24)
+            np.clip(level, np.float32(0), np.float32(LEVELS - 1), out=level)
+            spot[:] = level
+            spot += ground[own]
+            e = np.exp(np.negative(z, out=z), out=z)
+            np.divide(np.float32(1), np.add(e, np.float32(1), out=p1), out=p1)
+            np.exp(-bias).take(spot, out=p2, mode="clip")
+            p2 *= e
+            p2 += np.float32(1)
+            np.divide(np.float32(1), p2, out=p2)
+            np.add(p1, p2, out=p[own])
+            miss = wrong[:n]
+            np.subtract(y, p1, out=miss.real)
+            rate = np.float32(RATE) / (np.bincount(cell, minlength=len(w[0])) + 200).astype(np.float32)
+            for i in range(2):
+                slope = np.zeros(len(rate), np.complex64)
+                np.add.at(slope, cell, np.multiply(xs[i], miss, out=both[i]))
+                w[i] += rate * np.conj(slope, out=slope)
+            missed = off[:n]
+            np.subtract(y, p2, out=missed.real)
+            np.multiply(p2, np.subtract(np.float32(1), p2, out=p1), out=missed.imag)
+            slope = np.zeros(len(bias), np.complex64)
+            np.add.at(slope, spot, missed)
+            bias += np.float32(LEVEL_RATE) * slope.real / (slope.imag + np.float32(8))
+            np.clip(bias, np.float32(-3), np.float32(3), out=bias)
+        p *= np.float32(0.5)
+        np.clip(p, 2**-18, 1 - 2**-18, out=p)
+        p -= np.float32(1) - ys  # the chance of a one, or less that of a zero
+        np.log(np.abs(p, out=p), out=p)
+        np.add.at(sums, runs, p if len(runs) == len(p) else np.add.reduceat(p, places, dtype=np.float64))
+        step = last
+    return np.stack([v.view(np.float32).reshape(len(size), GATES, 2) for v in pairs], 2).reshape(weights.shape), biases.reshape(levels.shape)
 
 
 def phrase_mix(logs: np.ndarray, shares: np.ndarray, first: np.ndarray, start: float) -> np.ndarray:
@@ -461,47 +578,59 @@ def phrase_batches(most: int, discount: float, start: float):
     return run, "rid long, score double"
 
 
+def scored_rows(piece: pa.RecordBatch, hashes: np.ndarray, first: np.ndarray, symbols: np.ndarray, known: np.ndarray, logs: np.ndarray, logs_of: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each text; logs: of the vocabulary's counts; logs_of: the tokens' log probabilities."""
+    n, size = piece.num_rows, np.diff(first)
+    of = np.repeat(np.arange(n), size)
+    named, ends, lead = phrases(hashes, first)
+    sums = np.concatenate([[0.0], np.cumsum(logs_of)])
+    lead = pa.array(np.append(lead, len(named)), pa.int32())
+    rare = np.flatnonzero(~known)
+    o = np.lexsort((hashes[rare], of[rare]))
+    h, w = hashes[rare][o], of[rare][o]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
+    tail_first = pa.array(np.searchsorted(w[new], np.arange(n + 1)), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(size), pa.array(np.bincount(of, weights=known, minlength=n).astype(np.int64)),
+            pa.array(np.bincount(of, weights=logs[symbols] * known, minlength=n)), pc.binary_length(pc.fill_null(piece.column("text"), "")).cast(pa.int64()),
+            pa.ListArray.from_arrays(tail_first, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(tail_first, pa.array(np.diff(np.concatenate([new, [len(h)]])).astype(np.int64))),
+            pa.ListArray.from_arrays(lead, pa.array(named.view(np.int64))), pa.ListArray.from_arrays(lead, pa.array(np.diff(sums[np.concatenate([[0], ends])]))),
+        ],
+        schema=schema,
+    )
+
+
 def score_batches(code, tables):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("phrases", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64()))])
     start = first_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, t = code.value, tables.value
-        logs = np.append(np.log10(c.counts + 1.0), 0.0)
+        logs, marks = np.append(np.log10(c.counts + 1.0), 0.0), path_marks(c, t[0])
         for batch in batches:
             # texts of like lengths go through together: their steps are shared by many
             batch = batch.take(pa.array(np.argsort(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), kind="stable")))
-            for piece in pieces(batch, most=PIECE):
-                data, starts, ends, hashes, first = tokens(piece.column("text"))
-                symbols, known = lookup(c, hashes)
-                n, size = piece.num_rows, np.diff(first)
-                of = np.repeat(np.arange(n), size)
-                ctx = contexts(c, symbols, known, first)
-                logs_of = np.zeros(len(hashes))
-                weights, levels = np.repeat(start[None], n, 0), np.zeros((n, LEVELS), np.float32)
-                for a in range(0, max(1, int(size.max())), WINDOW):  # windows of each text's tokens
-                    lengths = np.clip(size - a, 0, WINDOW)
-                    own = ragged(first[:-1] + a, lengths)
-                    bounds = np.concatenate([[0], np.cumsum(lengths)])
-                    got = bits_of(c, data, starts[own], ends[own], symbols[own], known[own], (ctx[0][own], ctx[1][own]), bounds)
-                    logs_of[own] = mixed(got, t, weights, levels)
-                named, ends, lead = phrases(hashes, first)
-                sums = np.concatenate([[0.0], np.cumsum(logs_of)])
-                lead = pa.array(np.append(lead, len(named)), pa.int32())
-                rare = np.flatnonzero(~known)
-                o = np.lexsort((hashes[rare], of[rare]))
-                h, w = hashes[rare][o], of[rare][o]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
-                tail_first = pa.array(np.searchsorted(w[new], np.arange(n + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("rid"), piece.column("doc_id"), piece.column("held_out"), pa.array(size), pa.array(np.bincount(of, weights=known, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(of, weights=logs[symbols] * known, minlength=n)), pc.binary_length(pc.fill_null(piece.column("text"), "")).cast(pa.int64()),
-                        pa.ListArray.from_arrays(tail_first, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(tail_first, pa.array(np.diff(np.concatenate([new, [len(h)]])).astype(np.int64))),
-                        pa.ListArray.from_arrays(lead, pa.array(named.view(np.int64))), pa.ListArray.from_arrays(lead, pa.array(np.diff(sums[np.concatenate([[0], ends])]))),
-                    ],
-                    schema=schema,
-                )
+            for group in pieces(batch, most=SORTED):
+                split, many = [], []
+                for piece in pieces(group, most=PIECE):
+                    data, starts, ends, hashes, first = tokens(piece.column("text"))
+                    symbols, known = lookup(c, hashes)
+                    split.append((piece, data, starts, ends, hashes, first, symbols, known, contexts(c, symbols, known, first), np.zeros(len(hashes))))
+                    many.append(int(np.diff(first).max()))
+                weights, levels = np.repeat(start[None], group.num_rows, 0), np.zeros((group.num_rows, LEVELS), np.float32)
+                for a in range(0, max(1, max(many)), WINDOW):  # windows of each text's tokens
+                    laid, owns = [], []
+                    for _, data, starts, ends, _, first, symbols, known, ctx, _ in split:
+                        lengths = np.clip(np.diff(first) - a, 0, WINDOW)
+                        owns.append(ragged(first[:-1] + a, lengths))
+                        bounds = np.concatenate([[0], np.cumsum(lengths)])
+                        laid.append(laid_by_units(c, marks, data, starts[owns[-1]], ends[owns[-1]], symbols[owns[-1]], known[owns[-1]], (ctx[0][owns[-1]], ctx[1][owns[-1]]), bounds))
+                    got = mixed(joined(laid), t, weights, levels)
+                    for own, part, x in zip(owns, np.split(got, np.cumsum([len(o) for o in owns])[:-1]), split, strict=True):
+                        x[-1][own] = part
+                for piece, _, _, _, hashes, first, symbols, known, _, logs_of in split:
+                    yield scored_rows(piece, hashes, first, symbols, known, logs, logs_of, schema)
 
     return run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, n_bytes long, tail array<long>, times array<long>, phrases array<long>, logs array<double>"
 

@@ -528,3 +528,32 @@ def test_equal_units_in_equal_contexts_are_laid_out_once(monkeypatch):
         plain = np.bincount((bits.slots[i] << np.uint32(1)) | bits.values, minlength=2 * lm_scoring.SLOTS[i])
         assert (lm_scoring.counted(code, i, held[i], units) == plain).all()
     assert 0 < max(laid) < len(bits.values) / 20
+
+
+def test_bits_laid_out_by_ranges_mix_as_all_at_once(monkeypatch):
+    """Texts of several lengths, some spelt, from several parts: windows of few bits and few texts side by side give what all bits at once give, and learn the same."""
+    r = random.Random(5)
+    words = [f"Word{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words[:40]) if r.random() < 0.8 else r.choice(words) for _ in range(n)) for n in (400, 0, 3, 90, 1200, 40)]
+    data, starts, ends, hashes, first = lm_scoring.tokens(pa.array(texts))
+    common, times = np.unique(hashes, return_counts=True)
+    rng = np.random.default_rng(2)
+    tables = [lm_scoring.packed(rng.integers(0, 40, (2, s)).astype(float)) for s in lm_scoring.SLOTS]
+    for code in (lm_scoring.make_code(common[times > 20], times[times > 20], 50), lm_scoring.make_code(common[:0], times[:0], 50)):
+        marks = lm_scoring.path_marks(code, tables[0])
+        learnt = lambda: (np.repeat(lm_scoring.first_weights()[None], len(texts), 0), np.zeros((len(texts), lm_scoring.LEVELS), np.float32))
+        symbols, known = lm_scoring.lookup(code, hashes)
+        want, got = learnt(), learnt()
+        expected = lm_scoring.mixed(lm_scoring.bits_of(code, data, starts, ends, symbols, known, lm_scoring.contexts(code, symbols, known, first), first), tables, *want)
+        parts = []
+        for some in (texts[:3], texts[3:]):
+            data_, starts_, ends_, hashes_, first_ = lm_scoring.tokens(pa.array(some))
+            symbols_, known_ = lm_scoring.lookup(code, hashes_)
+            parts.append(lm_scoring.laid_by_units(code, marks, data_, starts_, ends_, symbols_, known_, lm_scoring.contexts(code, symbols_, known_, first_), first_))
+        with monkeypatch.context() as m:
+            m.setattr(lm_scoring, "TOGETHER", 4)
+            m.setattr(lm_scoring, "LAID", 1000)
+            laid, ragged = [], lm_scoring.ragged
+            m.setattr(lm_scoring, "ragged", lambda offsets, lengths: laid.append(int(lengths.sum())) or ragged(offsets, lengths))
+            assert np.allclose(lm_scoring.mixed(lm_scoring.joined(parts), tables, *got), expected, atol=1e-3)
+        assert max(laid) <= 1000 and all(np.allclose(a, b, atol=1e-3) for a, b in zip(got, want, strict=True))
